@@ -28,6 +28,7 @@ from tessera.functions.tiles import (
     bounds_intersect,
     bounds_width,
     is_null_island,
+    let,
     tile_bounds,
     tile_bounds_3857,
     to_3857,
@@ -46,10 +47,21 @@ def to_byte(v: Column) -> Column:
 
 # -- tiles and pixels ---------------------------------------------------------
 
-def with_index(tiles: DataFrame, width="width", height="height") -> DataFrame:
-    """One row per pixel position ``px, py`` beside the untouched arrays."""
-    last = (as_col(width) * as_col(height) - 1).cast("int")
-    return tiles.withColumn("_i", F.explode(F.sequence(F.lit(0), last))).withColumns(
+def with_index(tiles: DataFrame, width="width", height="height", bands: Sequence[str] = ()) -> DataFrame:
+    """One row per pixel position ``px, py`` beside the untouched arrays.
+
+    ``bands`` must hold width x height values each.  The test also makes the
+    generator read them, so computed bands are made once per tile; code generation
+    would otherwise put them off and make them again for every pixel.
+    """
+    n = (as_col(width) * as_col(height)).cast("int")
+    if bands:
+        own = F.col("width") * F.col("height")
+        fits = F.lit(True)
+        for name in bands:
+            fits = fits & (F.size(name) == own)
+        n = F.when(fits, n).otherwise(F.raise_error(F.lit("a band does not fit width x height")).cast("int"))
+    return tiles.withColumn("_i", F.explode(F.sequence(F.lit(0), n - 1))).withColumns(
         {
             "px": (F.col("_i") % as_col(width)).cast("int"),
             "py": F.floor(F.col("_i") / as_col(width)).cast("int"),
@@ -59,7 +71,9 @@ def with_index(tiles: DataFrame, width="width", height="height") -> DataFrame:
 
 def pixels(tiles: DataFrame, keys: Sequence[str]) -> DataFrame:
     at = F.col("_i")
-    return with_index(tiles).select(*keys, "px", "py", *[F.get(b, at).alias(b) for b in BANDS])
+    return with_index(tiles, bands=BANDS).select(
+        *keys, "px", "py", *[F.get(b, at).alias(b) for b in BANDS]
+    )
 
 
 def pack(px: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -69,7 +83,7 @@ def pack(px: DataFrame, keys: Sequence[str]) -> DataFrame:
         (F.max("px") + 1).alias("width"), (F.max("py") + 1).alias("height"), cells.alias("_c")
     )
     return grouped.select(
-        *keys, "width", "height", *[F.transform("_c", lambda c, b=b: c[b]).alias(b) for b in BANDS]
+        *keys, "width", "height", *[F.col("_c")[b].alias(b) for b in BANDS]
     )
 
 
@@ -81,7 +95,7 @@ def resampled_index(width, height, own_width, own_height) -> Column:
 
 
 def resample(tiles: DataFrame, keys: Sequence[str], width: int, height: int) -> DataFrame:
-    big = with_index(tiles, F.lit(width), F.lit(height))
+    big = with_index(tiles, F.lit(width), F.lit(height), BANDS)
     at = resampled_index(F.lit(width), F.lit(height), "width", "height")
     return big.select(*keys, "px", "py", *[F.get(b, at).alias(b) for b in BANDS])
 
@@ -114,20 +128,35 @@ SEPARABLE: dict[str, Callable[[Column, Column], Column]] = {
 BLEND_MODES = tuple(SEPARABLE)
 
 
-def blend_pixel(mode: str, under: dict, over: dict, opacity: float = 0.0) -> dict[str, Column]:
-    """Blend two pixels (band name to 0-255 Column)."""
+def blend_pixels(px: DataFrame, mode: str, under: dict, opacity: float = 0.0) -> DataFrame:
+    """Put the pixel ``under`` (band to 0-255 Column) below the columns r, g, b, a.
+
+    Written in steps, so each fraction is worked out once per pixel.
+    """
     fn = SEPARABLE[mode]
-    ab, as_ = under["a"] / 255.0, over["a"] / 255.0
-    if mode == "opacity":
-        as_ = as_ * F.lit(float(opacity))
-    ao = as_ + ab * (1 - as_)
-    out = {"a": to_byte(ao * 255)}
-    for c in COLOURS:
-        cb, cs = under[c] / 255.0, over[c] / 255.0
-        mixed = F.greatest(F.lit(0.0), F.least(F.lit(1.0), fn(cb, cs)))
-        total = as_ * (1 - ab) * cs + as_ * ab * mixed + (1 - as_) * ab * cb
-        out[c] = to_byte(F.when(ao > 0, total / ao * 255).otherwise(F.lit(0.0)))
-    return out
+    share = F.lit(float(opacity)) if mode == "opacity" else F.lit(1.0)
+    ab, as_, ao = F.col("_ba"), F.col("_sa"), F.col("_ao")
+    fractions = px.withColumns(
+        {
+            **{f"_b{c}": under[c] / 255.0 for c in BANDS},
+            **{f"_s{c}": F.col(c) / 255.0 for c in COLOURS},
+            "_sa": F.col("a") / 255.0 * share,
+        }
+    ).withColumn("_ao", as_ + ab * (1 - as_))
+    mixed = fractions.withColumns(
+        {
+            f"_m{c}": F.greatest(F.lit(0.0), F.least(F.lit(1.0), fn(F.col(f"_b{c}"), F.col(f"_s{c}"))))
+            for c in COLOURS
+        }
+    )
+    totals = {
+        c: as_ * (1 - ab) * F.col(f"_s{c}") + as_ * ab * F.col(f"_m{c}") + (1 - as_) * ab * F.col(f"_b{c}")
+        for c in COLOURS
+    }
+    out = {c: to_byte(F.when(ao > 0, total / ao * 255).otherwise(F.lit(0.0))) for c, total in totals.items()}
+    return mixed.withColumns({**out, "a": to_byte(ao * 255)}).drop(
+        "_ao", *[f"_b{c}" for c in BANDS], *[f"_s{c}" for c in BANDS], *[f"_m{c}" for c in COLOURS]
+    )
 
 
 def check_blend(mode: str, opacity: float, inputs: int) -> None:
@@ -178,21 +207,15 @@ def blend(
         F.exists("t", lambda e: e["skip_cache"]).alias("skip_cache"),
         *[F.col("t")[i].alias(f"_t{i}") for i in range(count)],
     )
-    cells = with_index(sized)
-
-    def sample(i: int) -> dict[str, Column]:
+    current = with_index(sized)
+    for i in range(count):
         t = F.col(f"_t{i}")
-        at = resampled_index("width", "height", t["width"], t["height"])
-        return {band: F.get(t[band], at) for band in BANDS}
-
-    current = cells.select("*", *[v.alias(f"_{k}") for k, v in sample(0).items()])
-    for i in range(1, count):
-        over = {band: F.col(f"_{band}") for band in BANDS}
-        mixed = blend_pixel(mode, sample(i), over, opacity)
-        current = current.withColumns({f"_{k}": v for k, v in mixed.items()})
-    return current.select(
-        *keys, "px", "py", *[F.col(f"_{b}").alias(b) for b in BANDS], "skip_cache"
-    )
+        current = current.withColumn(
+            "_at", resampled_index("width", "height", t["width"], t["height"])
+        )
+        sample = {band: F.get(t[band], F.col("_at")) for band in BANDS}
+        current = blend_pixels(current, mode, sample, opacity) if i else current.withColumns(sample)
+    return current.select(*keys, "px", "py", *BANDS, "skip_cache")
 
 
 def blend_errors(inputs: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
@@ -396,22 +419,31 @@ def _smooth(tiles: DataFrame, keys: Sequence[str], mode: str, radius: float) ->
     taps = F.array(
         *[F.struct(F.lit(k - half).alias("d"), F.lit(w).alias("w")) for k, w in enumerate(weights)]
     )
-    w, h = F.col("width"), F.col("height")
-    last = w * h - 1
 
-    def along_row(band):
-        def cell(i):
+    def along_rows(tile):
+        w, h = tile["width"], tile["height"]
+
+        def cell(band, i):
             x, start = i % w, i - i % w
             return F.aggregate(
-                F.transform(taps, lambda t: F.get(band, (start + _clamped(x + t["d"], w)).cast("int")) * t["w"]),
+                F.transform(
+                    taps, lambda k: F.get(band, (start + _clamped(x + k["d"], w)).cast("int")) * k["w"]
+                ),
                 F.lit(0.0),
                 lambda acc, v: acc + v,
             )
 
-        return F.transform(F.sequence(F.lit(0), last), cell)
+        at = F.sequence(F.lit(0), w * h - 1)
+
+        def smooth(band):
+            return F.transform(at, lambda i: cell(band, i))
 
-    rows = tiles.withColumns({c: along_row(c) for c in COLOURS})
-    cells = with_index(rows)
+        return F.struct(*[smooth(tile[c]).alias(c) for c in COLOURS])
+
+    rows = tiles.withColumn("_s", let(F.struct("width", "height", *COLOURS), along_rows)).select(
+        *keys, "width", "height", *[F.col("_s")[c].alias(c) for c in COLOURS], "a"
+    )
+    cells = with_index(rows, bands=BANDS)
 
     def along_column(band):
         value = F.aggregate(
@@ -437,7 +469,7 @@ def focal_effect(tiles: DataFrame, keys: Sequence[str], mode: str, intensity: fl
         if intensity <= 0:
             return pixels(tiles, keys)
         return _smooth(tiles, keys, mode, intensity)
-    cells = with_index(tiles)
+    cells = with_index(tiles, bands=BANDS)
     alpha = F.get("a", F.col("_i")).alias("a")
     if mode in ("dilate", "erode", "median"):
         half = int(2 * intensity + 1.5) // 2

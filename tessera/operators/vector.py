@@ -53,11 +53,10 @@ def read_features(
 
 
 def _tile_span(lo: Column, hi: Column, margin: float, n: Column) -> Column:
-    """Numbers of the tiles whose widened range may meet [lo, hi]."""
-    last = (n - 1).cast("int")
+    """Numbers of the tiles whose widened range may meet [lo, hi], a part of [0, n]."""
     first_tile = F.greatest(F.floor(lo - 1 - margin).cast("int"), F.lit(0))
-    last_tile = F.least(F.floor(hi + margin).cast("int"), last)
-    return F.filter(F.sequence(first_tile, F.greatest(first_tile, last_tile)), lambda t: t <= last_tile)
+    last_tile = F.least(F.floor(hi + margin).cast("int"), (n - 1).cast("int"))
+    return F.sequence(first_tile, last_tile)
 
 
 def _zoomed(features: DataFrame, zooms: Iterable[int]) -> DataFrame:
@@ -164,7 +163,7 @@ def build_vector_tiles(
     """Vector tiles of a point table; a tile without features gives no row."""
     placed = select_features(points_to_tiles(points, zooms, buffer), attributes, where, params)
     if limit:
-        placed = top_per_group(placed, TILE, ["gid"], limit, F.col("gid"))
+        placed = top_per_group(placed, TILE, ["gid", "u", "v"], limit, F.col("gid"))
     position = quantise("u", "v", "x", "y", extent)
     feature = F.struct(
         "gid", position["qx"].alias("qx"), position["qy"].alias("qy"), *attributes
