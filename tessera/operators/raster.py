@@ -89,9 +89,9 @@ def pack(px: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def resampled_index(width, height, own_width, own_height) -> Column:
     """Position in a smaller raster of pixel (px, py) of a larger one (nearest)."""
-    sx = F.floor(F.col("px") * as_col(own_width) / as_col(width))
-    sy = F.floor(F.col("py") * as_col(own_height) / as_col(height))
-    return (sy * as_col(own_width) + sx).cast("int")
+    w, h, ow, oh = (as_col(v) for v in (width, height, own_width, own_height))
+    sx, sy = F.floor(F.col("px") * ow / w), F.floor(F.col("py") * oh / h)
+    return F.when((ow == w) & (oh == h), F.col("_i")).otherwise((sy * ow + sx).cast("int"))
 
 
 def resample(tiles: DataFrame, keys: Sequence[str], width: int, height: int) -> DataFrame:

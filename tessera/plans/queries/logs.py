@@ -314,7 +314,7 @@ _URL = """u AS (SELECT page_id, split_part(url, '#', 1) AS base,
       lambda x: x <> ''), lambda x: x)) AS params FROM u),
   red AS (SELECT page_id, head || '?' || array_to_string(params, '&') || CASE WHEN frag = '#' THEN '' ELSE frag END AS url FROM q)"""
 _SB = {"s": sql.lat_edge("y + 1"), "n": sql.lat_edge("y"), "w": sql.lon_edge("x"), "e": sql.lon_edge("x + 1")}
-_AUDIT = sql.RES + f""", v AS (SELECT *, CASE
+AUDIT = sql.RES + f""", v AS (SELECT *, CASE
       WHEN layer_id IS NULL THEN 'unknown'
       WHEN user_id = 'user-1' AND layer_id <> 'osm' THEN 'layer'
       WHEN user_id = 'user-2' AND NOT ({_SB['n']} > 45 AND {_SB['s']} < 50.625 AND {_SB['e']} > -11.25 AND {_SB['w']} < 0) THEN 'area'
@@ -397,8 +397,8 @@ SQL = {
       FROM (SELECT *, CASE WHEN request_id % 6 <> 0 THEN layer_id END AS id FROM res)""",
     "storm_layers_by_user": W + sql.REQ + """, v AS (SELECT DISTINCT user_id, substr(layer_name, 16) AS v FROM req WHERE starts_with(layer_name, 'noaa_'))
       SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY v) - 1 AS INT) AS ord, 'storm/' || v || '/{w}' AS layer FROM v""",
-    "permissions": W + _AUDIT + " SELECT request_id, verdict FROM v",
-    "permission_summary": W + _AUDIT + """ SELECT user_id, verdict, count(*) AS requests,
+    "permissions": W + AUDIT + " SELECT request_id, verdict FROM v",
+    "permission_summary": W + AUDIT + """ SELECT user_id, verdict, count(*) AS requests,
       count(DISTINCT layer_id) AS layers FROM v GROUP BY 1, 2""",
     "granted_layers": W + sql.REQ + """ SELECT user_id, string_agg(DISTINCT layer_name, ',' ORDER BY layer_name) AS layers
       FROM req WHERE request_id % 3 <> 0 GROUP BY user_id""",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions.tiles import bounds, tile_intersects
 from tessera.operators import store as st
 from tessera.operators.numbering import minute_bucket
-from tessera.plans.queries import sql
+from tessera.plans.queries import sql, tiles
 from tessera.plans.queries.usage import lookups
 from tessera.plans.render import register_renderer, render, retain_tiles
 from tessera.plans.seed import seed_plan
@@ -255,3 +255,9 @@ SQL = {
       SELECT {K}, l.version FROM latest l JOIN lp USING ({K})
       WHERE l.content <> lp.content AND l.version % 9 <> 0 AND l.version % 8 <> 0""",
 }
+SQL["rendered_plan"] = (
+    W + tiles.GOOD_PLAN + """ SELECT DISTINCT layer_name, z, CAST(x AS INT) AS x, CAST(y AS INT) AS y,
+      CASE WHEN (x + y) % 7 <> 0 THEN layer_name || ':' || z || ':' || x || ':' || y END AS content,
+      CASE WHEN (x + y) % 7 <> 0 THEN 'text/plain' END AS content_type,
+      CASE WHEN (x + y) % 7 = 0 THEN 'ValueError: no data' END AS error FROM plan"""
+)

@@ -265,6 +265,8 @@ _GOOD = """, bad AS (SELECT DISTINCT region_id FROM counted WHERE tiles < 0 OR t
   plan AS (SELECT region_id, layer_name, step, z, x, unnest(range(y0, y1)) AS y FROM (
     SELECT *, unnest(range(x0, x1)) AS x FROM counted WHERE region_id NOT IN (SELECT region_id FROM bad)))"""
 
+GOOD_PLAN = _regions() + ", " + _RANGES + _GOOD
+
 SQL = {
     "tile_bounds": W + _KEYS + " SELECT z, x, y, " + ", ".join(f"{R(v, 9)} AS {k}" for k, v in SIDES.items()) + " FROM k",
     "tile_bounds_3857": W + _KEYS + " SELECT z, x, y, 3857 AS srid, " + ", ".join(
@@ -336,9 +338,9 @@ SQL = {
           max(s.step) IS NOT NULL AS broken FROM flagged f LEFT JOIN stop s USING (region_id) GROUP BY 1, 2)
       SELECT region_id, layer_name, tiles, CASE WHEN broken THEN 'too many tiles in a zoom'
         WHEN tiles > 65535 THEN 'too many tiles in a run' END AS error FROM total""",
-    "seed_plan": W + _regions() + ", " + _RANGES + _GOOD + """ SELECT region_id, layer_name, step, z,
+    "seed_plan": W + GOOD_PLAN + """ SELECT region_id, layer_name, step, z,
       CAST(x AS INT) AS x, CAST(y AS INT) AS y FROM plan""",
-    "plan_summary": W + _regions() + ", " + _RANGES + _GOOD + " SELECT layer_name, z, count(*) AS tiles FROM plan GROUP BY 1, 2",
+    "plan_summary": W + GOOD_PLAN + " SELECT layer_name, z, count(*) AS tiles FROM plan GROUP BY 1, 2",
     "tile_cover_function": W + _regions(zooms="[5]") + ", " + _STRICT + """ SELECT region_id,
       CAST(x AS INT) AS x, CAST(unnest(range(y0, y1)) AS INT) AS y FROM (SELECT *, unnest(range(x0, x1)) AS x FROM ranges)""",
 }
