@@ -20,6 +20,7 @@ MERCATOR_HALF = 20037508.342789
 TOLERANCE = 1e-8
 WGS84 = 4326
 WEB_MERCATOR = 3857
+GEOHASH_LENGTH = 12
 GEOHASH_ALPHABET = "0123456789bcdefghjkmnpqrstuvwxyz"
 
 # Spark and the JVM print %.7f half-up; DecimalFormat patterns round half-even
@@ -261,41 +262,47 @@ def geohash_valid(code) -> Column:
     return code.rlike(f"\\A[{GEOHASH_ALPHABET}]{{0,12}}\\z")
 
 
-def geohash_bounds(code) -> Column:
-    """Bounding box of a geohash; null when it holds a foreign character."""
-    code = as_col(code)
+def _digit_alphabet(bits: tuple[int, ...]) -> str:
+    """Digit of each alphabet character made of the given bits of its value."""
+    return "".join(
+        str(sum((v >> bit & 1) << i for i, bit in enumerate(bits))) for v in range(len(GEOHASH_ALPHABET))
+    )
 
-    def bit(v, k):
-        return F.shiftright(v, k).bitwiseAND(F.lit(1)).cast("long")
 
-    # Each character carries five bits: three for one axis, two for the other, by turns.
-    def step(acc, digit, odd):
-        three = bit(digit, 4) * 4 + bit(digit, 2) * 2 + bit(digit, 0)
-        two = bit(digit, 3) * 2 + bit(digit, 1)
+def geohash_bounds(code) -> Column:
+    """Bounding box of a geohash; null when it holds a foreign character.
+
+    A character carries five bits, by turns three for one axis and two for the
+    other.  ``translate`` turns the text into the digits of either share, and the
+    digits add up to a 30-bit position per axis.
+    """
+    code = as_col(code)
+    three = F.translate(code, GEOHASH_ALPHABET, _digit_alphabet((0, 2, 4)))
+    two = F.translate(code, GEOHASH_ALPHABET, _digit_alphabet((1, 3)))
+
+    def position(odd, even):
+        total, used = F.lit(0), 0
+        for at in range(1, GEOHASH_LENGTH + 1):
+            digits, width = odd if at % 2 else even
+            used += width
+            digit = F.greatest(F.ascii(F.substring(digits, at, 1)) - ord("0"), F.lit(0))
+            total = total + digit * (1 << (30 - used))
+        return total
+
+    def corner(s):
+        lon = position((s["three"], 3), (s["two"], 2))
+        lat = position((s["two"], 2), (s["three"], 3))
         return F.struct(
-            F.when(odd, acc["lon"] * 8 + three).otherwise(acc["lon"] * 4 + two).alias("lon"),
-            F.when(odd, acc["lat"] * 4 + two).otherwise(acc["lat"] * 8 + three).alias("lat"),
+            (lon * (360 / 2**30) - 180).alias("west"),
+            (lat * (180 / 2**30) - 90).alias("south"),
+            (360 / F.pow(F.lit(2.0), F.ceil(s["n"] * 5 / 2))).alias("wide"),
+            (180 / F.pow(F.lit(2.0), F.floor(s["n"] * 5 / 2))).alias("high"),
         )
 
-    start = F.struct(F.lit(0).cast("long").alias("lon"), F.lit(0).cast("long").alias("lat"))
-    digits = F.transform(
-        F.split(code, ""),
-        lambda c, i: F.struct(
-            (F.instr(F.lit(GEOHASH_ALPHABET), c) - 1).cast("int").alias("v"), (i % 2 == 0).alias("odd")
-        ),
-    )
-    digits = F.when(code == "", F.array().cast("array<struct<v:int,odd:boolean>>")).otherwise(digits)
-    bits = F.length(code) * 5
-    lon_step = 360 / F.pow(F.lit(2.0), F.ceil(bits / 2))
-    lat_step = 180 / F.pow(F.lit(2.0), F.floor(bits / 2))
+    shares = F.struct(three.alias("three"), two.alias("two"), F.length(code).alias("n"))
     box = let(
-        F.aggregate(digits, start, lambda acc, d: step(acc, d["v"], d["odd"])),
-        lambda cell: bounds(
-            cell["lat"] * lat_step - 90,
-            (cell["lat"] + 1) * lat_step - 90,
-            cell["lon"] * lon_step - 180,
-            (cell["lon"] + 1) * lon_step - 180,
-        ),
+        let(shares, corner),
+        lambda c: bounds(c["south"], c["south"] + c["high"], c["west"], c["west"] + c["wide"]),
     )
     return F.when(geohash_valid(code), box)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.access import ResponsePolicy, policy_struct
-from tessera.functions.patterns import match_layer, params_valid, pattern_matches
+from tessera.functions.patterns import anchored_rule, match_layer, pattern_matches
 from tessera.functions.tiles import as_col
 from tessera.sources.catalog import Layer, check_catalog
 
@@ -23,8 +23,12 @@ RESOLVED = ["layer_ord", "layer_id", "layer_params", "skip_cache", "skip_analyti
 def _claims(name: Column, layer: Layer) -> Column:
     pattern = layer.compiled
     hit = pattern_matches(name, pattern)
-    if layer.active_rules:
-        hit = hit & F.coalesce(params_valid(match_layer(name, pattern), layer.active_rules), F.lit(False))
+    groups = {n: F.regexp_extract(name, pattern.regex, k) for k, n in enumerate(pattern.names, 1)}
+    for key, rule in sorted((layer.active_rules or {}).items()):
+        regex = anchored_rule(rule)
+        tested = list(groups.values()) if key == "*" else [groups.get(key, F.lit(""))]
+        for value in tested:
+            hit = hit & value.rlike(regex)
     return hit
 
 

@@ -458,6 +458,46 @@ def _smooth(tiles: DataFrame, keys: Sequence[str], mode: str, radius: float) ->
     )
 
 
+def _around(band: str, half: int) -> Column:
+    """ARRAY of a band's values in the square around a pixel."""
+    if half <= 2:
+        reach = range(-half, half + 1)
+        return F.array(*[F.get(band, _at(dx, dy)) for dy in reach for dx in reach])
+    span = F.sequence(F.lit(-half), F.lit(half))
+    return F.flatten(
+        F.transform(span, lambda dy: F.transform(span, lambda dx: F.get(band, _at(dx, dy))))
+    )
+
+
+def _ranked(tiles: DataFrame, keys: Sequence[str], mode: str, half: int) -> DataFrame:
+    """The pixel of highest, lowest or middle luminance in the square around each.
+
+    A pixel is packed into one number led by its luminance, made once per tile;
+    ties go by the colour value.
+    """
+    def packed(p):
+        total = luma(p["r"], p["g"], p["b"]).cast("long")
+        for band in BANDS:
+            total = total * 256 + p[band]
+        return total
+
+    cells = with_index(
+        tiles.select(*keys, "width", "height", F.transform(F.arrays_zip(*BANDS), packed).alias("_p")),
+        bands=("_p",),
+    )
+    around = _around("_p", half)
+    pick = {
+        "dilate": F.array_max(around),
+        "erode": F.array_min(around),
+        "median": F.get(F.sort_array(around), F.lit((2 * half + 1) ** 2 // 2)),
+    }[mode]
+    chosen = F.col("_n")
+    return cells.withColumn("_n", pick).select(
+        *keys, "px", "py",
+        *[F.shiftright(chosen, 8 * k).bitwiseAND(F.lit(255)).cast("int").alias(b) for k, b in zip((3, 2, 1, 0), BANDS)],
+    )
+
+
 def focal_effect(tiles: DataFrame, keys: Sequence[str], mode: str, intensity: float = 0.0) -> DataFrame:
     """Neighbourhood effects on packed tiles; gives pixels and shuffles nothing.
 
@@ -469,41 +509,16 @@ def focal_effect(tiles: DataFrame, keys: Sequence[str], mode: str, intensity: fl
         if intensity <= 0:
             return pixels(tiles, keys)
         return _smooth(tiles, keys, mode, intensity)
+    if mode in ("dilate", "erode", "median"):
+        return _ranked(tiles, keys, mode, int(2 * intensity + 1.5) // 2)
     cells = with_index(tiles, bands=BANDS)
     alpha = F.get("a", F.col("_i")).alias("a")
-    if mode in ("dilate", "erode", "median"):
-        half = int(2 * intensity + 1.5) // 2
-        span = F.sequence(F.lit(-half), F.lit(half))
-        around = F.flatten(
-            F.transform(
-                span,
-                lambda dy: F.transform(
-                    span,
-                    lambda dx: F.struct(
-                        luma(*[F.get(c, _at(dx, dy)) for c in COLOURS]).alias("rank"),
-                        *[F.get(c, _at(dx, dy)).alias(c) for c in BANDS],
-                    ),
-                ),
-            )
-        )
-        pick = {
-            "dilate": F.array_max(around),
-            "erode": F.array_min(around),
-            "median": F.get(F.array_sort(around), F.lit((2 * half + 1) ** 2 // 2)),
-        }[mode]
-        return cells.withColumn("_n", pick).select(
-            *keys, "px", "py", *[F.col("_n")[c].alias(c) for c in BANDS]
-        )
     if mode == "edge detection":
         half = math.ceil(2 * intensity + 1) // 2
         side = 2 * half + 1
-        span = F.sequence(F.lit(-half), F.lit(half))
 
         def edges(c):
-            around = F.flatten(
-                F.transform(span, lambda dy: F.transform(span, lambda dx: F.get(c, _at(dx, dy))))
-            )
-            total = F.aggregate(around, F.lit(0), lambda acc, v: acc + v)
+            total = F.aggregate(_around(c, half), F.lit(0), lambda acc, v: acc + v)
             return to_byte(F.get(c, F.col("_i")) * (side * side) - total)
 
         out = [edges(c).alias(c) for c in COLOURS]

@@ -120,6 +120,18 @@ def request_outcomes(requests: DataFrame) -> DataFrame:
     )
 
 
+# Counter names and the aggregate each one reads.
+TOTAL_COUNTERS = {
+    "tiles.total.request": "all",
+    "tiles.total.valid": "valid",
+    "tiles.total.error": "failed",
+    "tiles.total.success": "success",
+    "cache.total.hit": "hit",
+    "cache.total.miss": "miss",
+}
+LAYER_COUNTERS = {".request": "r_all", ".error": "r_failed", ".success": "r_success"}
+
+
 def service_counters(lookups: DataFrame) -> DataFrame:
     """Long-form counters from one pass over resolved, cache-checked requests.
 
@@ -141,39 +153,20 @@ def service_counters(lookups: DataFrame) -> DataFrame:
         F.count_if(rendered & F.col("success")).alias("r_success"),
         F.count_if(rendered & F.col("failed")).alias("r_failed"),
     )
-    # From here on there is one row per layer of the catalog.
-    name = F.concat(F.lit("tiles.layer."), metric_name("layer_id"))
-    layers = per_layer.where(F.col("layer_id").isNotNull()).select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.concat(name, F.lit(end)).alias("metric"), F.col(c).alias("value"))
-                    for end, c in ((".request", "r_all"), (".error", "r_failed"), (".success", "r_success"))
-                ]
-            )
-        )
-    )
-    totals = per_layer.agg(
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("all", "valid", "success", "failed", "hit", "miss")]
-    ).select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(metric).alias("metric"), F.col(c).alias("value"))
-                    for metric, c in (
-                        ("tiles.total.request", "all"),
-                        ("tiles.total.valid", "valid"),
-                        ("tiles.total.error", "failed"),
-                        ("tiles.total.success", "success"),
-                        ("cache.total.hit", "hit"),
-                        ("cache.total.miss", "miss"),
-                    )
-                ]
-            )
-        )
+    # From here on there is one row per layer of the catalog.  Each adds to the
+    # totals and to its own counters, so the log is aggregated once.
+    layer = F.concat(F.lit("tiles.layer."), metric_name("layer_id"))
+    counters = [(F.lit(metric), c) for metric, c in TOTAL_COUNTERS.items()]
+    counters += [(F.concat(layer, F.lit(end)), c) for end, c in LAYER_COUNTERS.items()]
+    rows = per_layer.select(
+        F.inline(F.array(*[F.struct(m.alias("metric"), F.col(c).alias("value")) for m, c in counters]))
+    ).where(F.col("metric").isNotNull())
+    zeros = lookups.sparkSession.range(1).select(
+        F.explode(F.array(*[F.lit(m) for m in TOTAL_COUNTERS])).alias("metric"),
+        F.lit(0).cast("long").alias("value"),
     )
     # Two layer ids may share one metric name; their counts add up.
-    return totals.unionByName(layers).groupBy("metric").agg(F.sum("value").alias("value"))
+    return rows.unionByName(zeros).groupBy("metric").agg(F.sum("value").alias("value"))
 
 
 def classify_errors(resolved: DataFrame) -> DataFrame:

@@ -210,22 +210,18 @@ def geoms_to_tiles(features: DataFrame, zooms: Iterable[int], buffer: float = BU
     half = buffer / 2
     n = tiles_per_axis("z")
     scale = n / (2 * MERCATOR_HALF)
-    path = F.transform(
-        "geom.coords",
-        lambda c: F.struct(
-            ((lon_to_3857(c["x"]) + MERCATOR_HALF) * scale).alias("u"),
-            ((MERCATOR_HALF - lat_to_3857(c["y"])) * scale).alias("v"),
-        ),
-    )
+    def across(lon):
+        return (lon_to_3857(lon) + MERCATOR_HALF) * scale
 
-    def edge(fn, axis):
-        return fn(F.transform("path", lambda p: p[axis]))
+    def down(lat):
+        return (MERCATOR_HALF - lat_to_3857(lat)) * scale
 
-    zoomed = _zoomed(features, zooms).withColumn("path", path)
-    boxed = zoomed.withColumns(
+    # Both projections keep order, so the box is projected, not every point.
+    x, y = F.col("geom.coords.x"), F.col("geom.coords.y")
+    boxed = _zoomed(features, zooms).withColumns(
         {
-            "_u0": edge(F.array_min, "u"), "_u1": edge(F.array_max, "u"),
-            "_v0": edge(F.array_min, "v"), "_v1": edge(F.array_max, "v"),
+            "_u0": across(F.array_min(x)), "_u1": across(F.array_max(x)),
+            "_v0": down(F.array_max(y)), "_v1": down(F.array_min(y)),
         }
     ).where((F.col("_u1") >= 0) & (F.col("_u0") <= n) & (F.col("_v1") >= 0) & (F.col("_v0") <= n))
     tiled = boxed.withColumn(
@@ -239,7 +235,10 @@ def geoms_to_tiles(features: DataFrame, zooms: Iterable[int], buffer: float = BU
         & (F.col("_v1") >= F.col("y") - half)
         & (F.col("_v0") <= F.col("y") + 1 + half)
     )
-    return tiled.where(meets).drop("_u0", "_u1", "_v0", "_v1")
+    path = F.transform(
+        "geom.coords", lambda c: F.struct(across(c["x"]).alias("u"), down(c["y"]).alias("v"))
+    )
+    return tiled.where(meets).withColumn("path", path).drop("_u0", "_u1", "_v0", "_v1")
 
 
 def _clip_halfplane(pts, axis, bound, keep_less, closed):

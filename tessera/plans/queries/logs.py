@@ -177,9 +177,9 @@ def colors(spark, sf):
     i = F.col("event_id")
     code = F.substring(F.md5(i.cast("string").cast("binary")), F.lit(1), (i % 7 + 2).cast("int"))
     code = F.when(i % 9 == 0, F.concat(F.lit("g"), code)).otherwise(F.upper(code))
-    c = k.parse_color("code")
-    return d.table(spark, sf, "events").select("event_id", code.alias("code")).select(
-        "event_id", "code", *[c[b].alias(b) for b in "rgba"]
+    coded = d.table(spark, sf, "events").select("event_id", code.alias("code"))
+    return coded.withColumn("c", k.parse_color("code")).select(
+        "event_id", "code", *[F.col("c")[b].alias(b) for b in "rgba"]
     )
 
 

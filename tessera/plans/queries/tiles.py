@@ -69,9 +69,9 @@ def tile_paths(spark, sf):
 def geohash_bounds(spark, sf):
     code = F.substring(F.md5(F.col("event_id").cast("string").cast("binary")), 1, 6)
     code = F.when(F.col("event_id") % 10 != 0, F.translate(code, "a", "g")).otherwise(code)
-    b = t.geohash_bounds("code")
-    return d.table(spark, sf, "events").select("event_id", code.alias("code")).select(
-        "event_id", "code", *[b[s].alias(s) for s in ("south", "north", "west", "east")]
+    coded = d.table(spark, sf, "events").select("event_id", code.alias("code"))
+    return coded.withColumn("b", t.geohash_bounds("code")).select(
+        "event_id", "code", *[F.col("b")[s].alias(s) for s in ("south", "north", "west", "east")]
     )
 
 

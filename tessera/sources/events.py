@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from tessera.functions.access import SUCCESS_STATUSES
 from tessera.functions.tiles import as_col
 from tessera.operators.layers import resolve_layers
-from tessera.sources.catalog import Layer
+from tessera.sources.catalog import Layer, check_catalog
 
 EVENT_SCHEMA = T.StructType(
     [
@@ -148,9 +148,10 @@ def to_tile_events(
 ) -> DataFrame:
     """Events of the served tiles.  One narrow pass: no join, no shuffle."""
     served = requests.where(F.col("status").isin(*SUCCESS_STATUSES))
-    known = resolve_layers(served, layers).where(
-        F.col("layer_id").isNotNull() & ~F.col("skip_analytics")
-    )
+    catalog = check_catalog(layers)
+    # Null, for no layer, is in no list.
+    recorded = [i for i, layer in enumerate(catalog) if not layer.skip_analytics]
+    known = resolve_layers(served, catalog).where(F.col("layer_ord").isin(*recorded))
     return known.select(
         F.col("request_id").alias("event_id"),
         "time",

@@ -55,16 +55,21 @@ def parse_access_log(lines: DataFrame, fmt: str = "common") -> DataFrame:
         (text(8) if fmt == "combined" else F.lit("")).alias("referer"),
         (text(9) if fmt == "combined" else F.lit("")).alias("user_agent"),
     ).withColumn("uri", F.get("request", F.lit(1))).withColumn("tile", parse_tile_path("uri"))
-    return typed.select(
-        "value", "ip", "user_id", "time", F.get("request", F.lit(0)).alias("method"), "uri",
-        F.get("request", F.lit(2)).alias("proto"), "status", "bytes", "referer", "user_agent",
-        "tile.layer_name", "tile.z", "tile.x", "tile.y",
+    reject = (
         F.when(~F.col("ok"), F.lit("format"))
         .when(F.col("time").isNull(), F.lit("time"))
         .when(F.col("uri").isNull(), F.lit("request"))
         .otherwise(F.col("tile.error"))
-        .alias("reject"),
     )
+    row = F.struct(
+        "ip", "user_id", "time", F.get("request", F.lit(0)).alias("method"), "uri",
+        F.get("request", F.lit(2)).alias("proto"), "status", "bytes", "referer", "user_agent",
+        F.col("tile.layer_name").alias("layer_name"), F.col("tile.z").alias("z"),
+        F.col("tile.x").alias("x"), F.col("tile.y").alias("y"), reject.alias("reject"),
+    )
+    # One row in, one out: a filter on the result stays above the parse, which
+    # would else be done once for the filter and again for the columns.
+    return typed.select("value", F.inline(F.array(row)))
 
 
 def read_access_log(spark: SparkSession, path: str, fmt: str = "common") -> DataFrame:
