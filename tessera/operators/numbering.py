@@ -87,17 +87,25 @@ def with_previous(
     )
 
 
+# Below this the planner itself cuts groups down before the shuffle (window group limit).
+GROUP_LIMIT = 1000
+
+
 def top_per_group(
-    df: DataFrame, keys: Sequence[str], order: Sequence, n: int, spread: Column, slices: int = 64
+    df: DataFrame, keys: Sequence[str], order: Sequence, n: int, spread: Column, slices: int = 1024
 ) -> DataFrame:
-    """First ``n`` rows per group in two steps, so a huge group is cut down in slices."""
-    sliced = df.withColumn("_slice", F.pmod(F.xxhash64(spread), F.lit(slices)))
-    first = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    """First ``n`` rows per group, also for groups that hold much of the data.
+
+    For a small ``n`` the planner keeps ``n`` rows per group and map task, so a plain
+    ranking is enough.  For a large one each group is ranked in slices first.
+    """
     final = Window.partitionBy(*keys).orderBy(*order)
-    return (
-        sliced.withColumn("_r", F.row_number().over(first))
-        .where(F.col("_r") <= n)
-        .withColumn("_r", F.row_number().over(final))
-        .where(F.col("_r") <= n)
-        .drop("_r", "_slice")
-    )
+    if n >= GROUP_LIMIT:
+        first = Window.partitionBy(*keys, "_slice").orderBy(*order)
+        df = (
+            df.withColumn("_slice", F.pmod(F.xxhash64(spread), F.lit(slices)))
+            .withColumn("_r", F.row_number().over(first))
+            .where(F.col("_r") <= n)
+            .drop("_r", "_slice")
+        )
+    return df.withColumn("_r", F.row_number().over(final)).where(F.col("_r") <= n).drop("_r")

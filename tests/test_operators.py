@@ -51,13 +51,18 @@ def test_previous_over_buckets(spark):
             before = r[2]
 
 
-def test_top_per_group(spark):
+@pytest.mark.parametrize("limit", [1000, 2])
+def test_top_per_group(spark, monkeypatch, limit):
+    monkeypatch.setattr(num, "GROUP_LIMIT", limit)
     rows, df = log(spark)
-    got = {r["id"] for r in num.top_per_group(df, ["key"], ["id"], 5, F.col("id"), 4).collect()}
+    out = num.top_per_group(df, ["key"], ["id"], 5, F.col("id"), 4)
     want = set()
     for _, group in itertools.groupby(sorted(rows), key=lambda r: r[0]):
         want |= set(sorted(r[2] for r in group)[:5])
-    assert got == want
+    assert {r["id"] for r in out.collect()} == want
+    # Groups shrink before the shuffle.
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Partial" in plan.split("WindowGroupLimit")[-1]
 
 
 @pytest.mark.parametrize("ttl", [1, 60, 3600])
@@ -195,6 +200,22 @@ def test_payload_sizes(spark):
     assert anonymous == '{"client_id":"anonymous","events":[{"name":"tile_request","params":{"layer":"l","x":2,"y":3,"z":1}}]}'
 
 
+def test_daily_report(spark):
+    from tessera.plans.queries import usage as q
+    from tessera.plans.render import daily_report
+
+    sf = "/root/testdata/sf0.001"
+    events, looked = q.events(spark, sf), q.lookups(spark, sf)
+    served = looked.where("status <> 500").withColumn("layer", F.col("layer_id"))
+    report = daily_report(events, looked, u.classify_errors(looked), served)
+    assert report["totals"].first()["tiles"] == events.count()
+    counters = {r["metric"]: r["value"] for r in report["counters"].collect()}
+    assert counters["cache.total.hit"] + counters["cache.total.miss"] == counters["tiles.total.valid"] == looked.count()
+    assert {r["verdict"] for r in report["reconciliation"].collect()} == {"same", "unrecorded"}
+    empty = u.service_counters(looked.limit(0)).collect()
+    assert {r["value"] for r in empty} == {0} and len(empty) == 6
+
+
 def test_audit_anonymous_is_open(spark):
     rows = [(1, "osm", "", 10, 10, 10), (2, "osm", "u", 10, 10, 10), (3, "osm", "u", 0, 0, 0), (4, None, "", 0, 0, 0)]
     requests = spark.createDataFrame(rows, "request_id long, layer_id string, user_id string, z int, x int, y int")
