@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import substring_dedup
+from tessera.llm import phrase_index, substring_dedup
 
-MODULES = (substring_dedup,)
+MODULES = (substring_dedup, phrase_index)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
