@@ -34,14 +34,14 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write the rows to the shared folder and read them back.
 
     This cuts the lineage: a lost executor costs the tasks that ran on it, and
     what has been written is not computed again.
     """
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -62,8 +62,12 @@ _MASK = (1 << 64) - 1
 _VALUES = np.random.default_rng(20240117).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-SPACES = np.zeros(256, bool)
-SPACES[[0x20, *range(0x09, 0x0E)]] = True
+#: Kind of each byte: 0 for white space between words, 1 for all else.
+WORDS = np.ones(256, np.uint8)
+WORDS[[0x20, *range(0x09, 0x0E)]] = 0
+#: As before, with ASCII punctuation as a kind of its own.
+WORDS_AND_SIGNS = WORDS.copy()
+WORDS_AND_SIGNS[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = 2
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,25 +108,26 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0] : at[-1]], at - at[0]
 
 
-def row_blocks(offsets: np.ndarray, limit: int = BLOCK) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about ``limit`` bytes each; a longer text is a range of its own."""
+def row_blocks(offsets: np.ndarray, limit: int = BLOCK, rows: int = BLOCK) -> Iterator[tuple[int, int]]:
+    """Ranges of at most ``rows`` rows with about ``limit`` bytes each; a longer text is a range of its own."""
     low, n = 0, len(offsets) - 1
     while low < n:
         high = int(np.searchsorted(offsets, offsets[low] + limit, "right")) - 1
-        high = min(max(high, low + 1), n)
+        high = min(max(high, low + 1), low + rows, n)
         yield low, high
         low = high
 
 
-def bounds_of_words(data: np.ndarray, starts: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of each run of bytes outside ``gaps``; no run crosses one of ``starts``."""
-    word = ~gaps[data]
-    first, last = word.copy(), word.copy()
-    first[1:] &= ~word[:-1]
-    last[:-1] &= ~word[1:]
+def bounds_of_words(data: np.ndarray, starts: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each run of bytes of one kind; kind 0 is a gap, and no run crosses one of ``starts``."""
+    kind = kinds[data]
+    first = kind != 0
+    last = first.copy()
+    first[1:] &= kind[1:] != kind[:-1]
+    last[:-1] &= kind[1:] != kind[:-1]
     cuts = starts[(starts > 0) & (starts < len(data))]
-    first[cuts] |= word[cuts]
-    last[cuts - 1] |= word[cuts - 1]
+    first[cuts] = kind[cuts] != 0
+    last[cuts - 1] = kind[cuts - 1] != 0
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
@@ -141,23 +146,23 @@ class Words:
     ``first[i]`` to ``first[i + 1]``.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACES, hashed: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray = WORDS, hashed: bool = True):
         self.data, self.offsets = data, offsets
         starts, ends, hashes, low = [], [], [], 0
         while low < len(data):
             high = min(low + BLOCK, len(data))
             if high < len(data):  # cut where no word is cut
-                cut = np.flatnonzero(gaps[data[low:high]])
+                cut = np.flatnonzero(kinds[data[low:high]] == 0)
                 texts = offsets[(offsets > low) & (offsets <= high)]
                 best = max(int(cut[-1]) + 1 + low if len(cut) else 0, int(texts[-1]) if len(texts) else 0)
                 if best > low:
                     high = best
                 else:
-                    rest = np.flatnonzero(gaps[data[high:]])
+                    rest = np.flatnonzero(kinds[data[high:]] == 0)
                     later = offsets[offsets > high]
                     high = min(int(rest[0]) + high if len(rest) else len(data), int(later[0]) if len(later) else len(data))
             part = data[low:high]
-            s, e = bounds_of_words(part, offsets[(offsets >= low) & (offsets <= high)] - low, gaps)
+            s, e = bounds_of_words(part, offsets[(offsets >= low) & (offsets <= high)] - low, kinds)
             starts.append(s + low)
             ends.append(e + low)
             if hashed:
