@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import dart_minhash, packing, phrase_index, substring_dedup
+from tessera.llm import dart_minhash, importance, packing, phrase_index, substring_dedup, warc
 
-MODULES = (substring_dedup, packing, phrase_index, dart_minhash)
+MODULES = (warc, substring_dedup, packing, importance, phrase_index, dart_minhash)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
