@@ -65,7 +65,10 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 #: Kind of each byte: 0 for white space between words, 1 for all else.
 WORDS = np.ones(256, np.uint8)
 WORDS[[0x20, *range(0x09, 0x0E)]] = 0
-#: As before, with ASCII punctuation as a kind of its own.
+#: Letters and all characters beyond ASCII; digits, signs and white space are gaps.
+LETTERS = np.zeros(256, np.uint8)
+LETTERS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
+#: As WORDS, with ASCII punctuation as a kind of its own.
 WORDS_AND_SIGNS = WORDS.copy()
 WORDS_AND_SIGNS[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = 2
 
@@ -139,16 +142,26 @@ def _hash_block(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z and the capitals of the Latin-1 supplement in lower case."""
+    out = data + ((data >= 0x41) & (data <= 0x5A)).astype(np.uint8) * np.uint8(32)
+    capital = (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[:-1] == 0xC3) & (data[1:] != 0x97)
+    out[1:] += capital.astype(np.uint8) * np.uint8(32)
+    return out
+
+
 class Words:
     """Words of a few texts: bounds in the buffer, hashes, and first word of each text.
 
+    ``prefixes`` has the hashes of the words' first ``prefix`` bytes.
+
     ``first`` has one entry more than there are texts: text i has the words
     ``first[i]`` to ``first[i + 1]``.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray = WORDS, hashed: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray = WORDS, hashed: bool = True, prefix: int = 0):
         self.data, self.offsets = data, offsets
-        starts, ends, hashes, low = [], [], [], 0
+        starts, ends, hashes, heads, low = [], [], [], [], 0
         while low < len(data):
             high = min(low + BLOCK, len(data))
             if high < len(data):  # cut where no word is cut
@@ -167,11 +180,14 @@ class Words:
             ends.append(e + low)
             if hashed:
                 hashes.append(_hash_block(part, s, e))
+            if prefix:
+                heads.append(_hash_block(part, s, np.minimum(s + prefix, e)))
             low = high
         empty = np.zeros(0, np.int64)
         self.starts = np.concatenate(starts) if starts else empty
         self.ends = np.concatenate(ends) if ends else empty
         self.hashes = np.concatenate(hashes) if hashes else empty.astype(np.uint64)
+        self.prefixes = np.concatenate(heads) if heads else empty.astype(np.uint64)
         self.first = np.searchsorted(self.starts, offsets)
 
     def text_of(self) -> np.ndarray:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import dart_minhash, importance, packing, phrase_index, substring_dedup, warc
+from tessera.llm import dart_minhash, importance, line_rules, packing, phrase_index, substring_dedup, toxicity, warc
 
-MODULES = (warc, substring_dedup, packing, importance, phrase_index, dart_minhash)
+MODULES = (warc, substring_dedup, packing, importance, phrase_index, line_rules, dart_minhash, toxicity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
