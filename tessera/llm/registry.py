@@ -6,9 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import dart_minhash, importance, line_rules, packing, phrase_index, substring_dedup, toxicity, warc
-
-MODULES = (warc, substring_dedup, packing, importance, phrase_index, line_rules, dart_minhash, toxicity)
+from tessera.llm import (
+    dart_minhash,
+    html_text,
+    importance,
+    language,
+    line_rules,
+    packing,
+    phrase_index,
+    substring_dedup,
+    toxicity,
+    warc,
+)
+
+MODULES = (
+    warc, substring_dedup, packing, importance, phrase_index, language, line_rules, dart_minhash, toxicity, html_text,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
