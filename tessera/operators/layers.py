@@ -2,75 +2,94 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.access import ResponsePolicy, policy_struct
-from tessera.functions.patterns import anchored_rule, match_layer, pattern_matches
+from tessera.functions.patterns import anchored_rule
 from tessera.functions.tiles import as_col
 from tessera.sources.catalog import Layer, check_catalog
 
 MAX_REFERENCE_DEPTH = 10
-# Beyond this many patterns the rules run once per distinct name instead of per row.
-INLINE_PATTERNS = 50
-EDGE_LIMIT = 100_000
+#: Catalogs of up to this many layers are broadcast; longer ones are joined as the planner sees fit.
+SMALL_CATALOG = 100_000
 
-RESOLVED = ["layer_ord", "layer_id", "layer_params", "skip_cache", "skip_analytics"]
 
+_PATTERN = (
+    "struct<ord:int,id:string,skip_cache:boolean,skip_analytics:boolean,regex:string,"
+    "names:array<string>,rules:array<struct<at:int,rule:string>>>"
+)
 
-def _claims(name: Column, layer: Layer) -> Column:
-    pattern = layer.compiled
-    hit = pattern_matches(name, pattern)
-    groups = {n: F.regexp_extract(name, pattern.regex, k) for k, n in enumerate(pattern.names, 1)}
+
+def _rules(layer: Layer) -> list[tuple[int, str]]:
+    """(number of the placeholder, rule) pairs; 0 stands for a name the pattern lacks, tested as ''."""
+    names, out = list(layer.compiled.names), []
     for key, rule in sorted((layer.active_rules or {}).items()):
-        regex = anchored_rule(rule)
-        tested = list(groups.values()) if key == "*" else [groups.get(key, F.lit(""))]
-        for value in tested:
-            hit = hit & value.rlike(regex)
-    return hit
-
-
-def _resolved_columns(name: Column, layers: list[Layer]) -> list[Column]:
-    order = F.lit(None).cast("int")
-    params = F.lit(None).cast("map<string,string>")
-    # Built from the back so that the first layer of the catalog wins.
-    for i in reversed(range(len(layers))):
-        order = F.when(_claims(name, layers[i]), F.lit(i)).otherwise(order)
-    chosen = F.col("layer_ord")
-    for i in reversed(range(len(layers))):
-        params = F.when(chosen == i, match_layer(name, layers[i].compiled)).otherwise(params)
-
-    def pick(values):
-        return F.get(F.array(*[F.lit(v) for v in values]), chosen)
-
-    return [
-        order.alias("layer_ord"),
-        pick([v.id for v in layers]).alias("layer_id"),
-        params.alias("layer_params"),
-        pick([v.skip_cache for v in layers]).alias("skip_cache"),
-        pick([v.skip_analytics for v in layers]).alias("skip_analytics"),
-    ]
+        places = range(1, len(names) + 1) if key == "*" else [names.index(key) + 1 if key in names else 0]
+        out += [(at, anchored_rule(rule)) for at in places]
+    return out
+
+
+def _group(name: Column, regex: Column, at: Column) -> Column:
+    return F.call_function("regexp_extract", name, regex, at)
 
 
 def resolve_layers(requests: DataFrame, layers: Iterable[Layer], name: str = "layer_name") -> DataFrame:
     """Add the first catalog layer that claims each name (null columns: none does).
 
-    A short catalog is compiled into the row projection, which costs no shuffle.
-    A long one runs once per distinct name and joins back; the planner picks the
-    join from the measured size of the distinct names.
+    The catalog becomes rows: names without placeholders are looked up by a join
+    on the name, patterns by a join on their literal prefix, one for each length
+    of prefix, and only patterns of the name's own prefix are tested.  So the plan
+    does not grow with the catalog, and no join multiplies rows.  The tables are
+    local rows, whose size the planner knows.
     """
     catalog = check_catalog(layers)
     if not catalog:
         raise ValueError("a catalog needs at least one layer")
-    patterns = sum(not v.compiled.is_literal for v in catalog)
-    if patterns <= INLINE_PATTERNS:
-        order, *rest = _resolved_columns(F.col(name), catalog)
-        return requests.withColumn("layer_ord", order).select("*", *rest)
-    names = requests.select(name).where(F.col(name).isNotNull()).distinct()
-    order, *rest = _resolved_columns(F.col(name), catalog)
-    return requests.join(names.withColumn("layer_ord", order).select("*", *rest), name, "left")
+    spark, column = requests.sparkSession, F.col(name)
+    literals: dict[str, tuple] = {}
+    prefixes: dict[int, dict[str, list[tuple]]] = {}
+    for i, layer in enumerate(catalog):
+        pattern, rules = layer.compiled, _rules(layer)
+        about = (i, layer.id, layer.skip_cache, layer.skip_analytics)
+        if pattern.is_literal and all(re.search(rule.replace(r"\z", r"\Z"), "") for _, rule in rules):
+            literals.setdefault(pattern.text, (pattern.text, (*about, "", [], [])))
+        elif not pattern.is_literal:
+            row = (*about, pattern.regex, list(pattern.names), rules)
+            prefixes.setdefault(len(pattern.prefix), {}).setdefault(pattern.prefix, []).append(row)
+    hint = F.broadcast if len(catalog) <= SMALL_CATALOG else (lambda df: df)
+    table = spark.createDataFrame(list(literals.values()), f"_name string, _literal {_PATTERN}")
+    found = requests.join(hint(table), column == F.col("_name"), "left").drop("_name")
+    lists = []
+    for length, rows in sorted(prefixes.items()):
+        table = spark.createDataFrame(list(rows.items()), f"_name string, _tried{length} array<{_PATTERN}>")
+        key = F.substring(column, 1, length)
+        found = found.join(hint(table), key == F.col("_name"), "left").drop("_name")
+        lists.append(f"_tried{length}")
+
+    def claims(p: Column) -> Column:
+        def holds(rule: Column) -> Column:
+            value = F.when(rule["at"] > 0, _group(column, p["regex"], rule["at"])).otherwise(F.lit(""))
+            return F.rlike(value, rule["rule"])
+
+        return F.rlike(column, p["regex"]) & F.forall(p["rules"], holds)
+
+    hits = [F.get(F.filter(c, claims), F.lit(0)) for c in lists]  # lists are in catalog order
+    first = F.least(F.col("_literal"), *hits) if hits else F.col("_literal")
+    found = found.withColumn("_layer", first).drop("_literal", *lists)
+    layer = F.col("_layer")
+    values = F.transform(
+        F.sequence(F.lit(1), F.size(layer["names"])), lambda k: _group(column, layer["regex"], k)
+    )
+    values = F.when(F.size(layer["names"]) > 0, values).otherwise(F.array().cast("array<string>"))
+    return found.withColumn("layer_params", F.map_from_arrays(layer["names"], values)).select(
+        *requests.columns,
+        layer["ord"].alias("layer_ord"), layer["id"].alias("layer_id"), "layer_params",
+        layer["skip_cache"].alias("skip_cache"), layer["skip_analytics"].alias("skip_analytics"),
+    )
 
 
 def with_policy(
@@ -84,55 +103,73 @@ def with_policy(
     An override replaces a default unless it is empty or zero; ``unknown_length``
     is never inherited.  The catalog is compiled in as literals, no join needed.
     """
-    policy = policy_struct(default)
+    rows = []
     for layer in check_catalog(layers):
-        if layer.client is None:
-            continue
         own = layer.client
-        merged = ResponsePolicy(
-            statuses=own.statuses or default.statuses,
-            content_types=own.content_types or default.content_types,
-            max_length=own.max_length or default.max_length,
-            unknown_length=own.unknown_length,
-            rewrite=own.rewrite or default.rewrite,
-        )
-        policy = F.when(F.col(layer_id) == layer.id, policy_struct(merged)).otherwise(policy)
-    return df.withColumn("policy", policy)
+        if own is not None:
+            rows.append((
+                layer.id, list(own.statuses or default.statuses), list(own.content_types or default.content_types),
+                own.max_length or default.max_length, own.unknown_length, dict(own.rewrite or default.rewrite),
+            ))
+    if not rows:
+        return df.withColumn("policy", policy_struct(default))
+    fields = "statuses array<int>, content_types array<string>, max_length long, unknown_length boolean, rewrite map<string,string>"
+    table = df.sparkSession.createDataFrame(rows, f"_layer string, {fields}")
+    table = table.select("_layer", F.struct("statuses", "content_types", "max_length", "unknown_length", "rewrite").alias("_policy"))
+    if len(rows) <= SMALL_CATALOG:
+        table = F.broadcast(table)
+    own = F.coalesce(F.col("_policy"), policy_struct(default))
+    return df.join(table, F.col(layer_id) == F.col("_layer"), "left").withColumn("policy", own).drop("_layer", "_policy")
 
 
 def reference_closure(edges: DataFrame, depth: int = MAX_REFERENCE_DEPTH) -> DataFrame:
-    """(layer, target, hops, times) for every chain of references up to ``depth``.
+    """(layer, target, hops, times, error) for every chain of references.
 
-    The edge table is configuration; its size is checked before it is walked.
+    Chains of more than ``depth`` references are an error: they end in a row with
+    ``depth + 1`` hops that says so, as does a chain that comes back to its layer.
+    The plan is lazy; chains are put together from halves, so its depth grows with
+    the logarithm of ``depth``, and ways to the same target are summed at every
+    step.
     """
-    if edges.limit(EDGE_LIMIT + 1).count() > EDGE_LIMIT:
-        raise ValueError(f"more than {EDGE_LIMIT} layer references")
-    step = edges.select("layer", "target", F.col("times").cast("long").alias("times"))
-    level = step.withColumn("hops", F.lit(1))
-    total = level
-    nxt = step.select(
-        F.col("layer").alias("target"), F.col("target").alias("deeper"), F.col("times").alias("m")
-    )
-    for hop in range(2, depth + 1):
-        level = (
-            level.join(nxt, "target")
-            .groupBy("layer", F.col("deeper").alias("target"))
-            .agg(F.sum(F.col("times") * F.col("m")).alias("times"))
-            .withColumn("hops", F.lit(hop))
+    step = edges.select("layer", "target", F.lit(1).alias("hops"), F.col("times").cast("long").alias("times"))
+    step = step.groupBy("layer", "target", "hops").agg(F.sum("times").alias("times"))
+
+    def follow(first: DataFrame, then: DataFrame) -> DataFrame:
+        then = then.select(
+            F.col("layer").alias("target"), F.col("target").alias("_to"), F.col("hops").alias("_h"), F.col("times").alias("_n")
         )
-        if level.isEmpty():
-            break
-        total = total.unionByName(level)
-    return total
+        both = first.join(then, "target").groupBy("layer", F.col("_to").alias("target"), (F.col("hops") + F.col("_h")).alias("hops"))
+        return both.agg(F.sum(F.col("times") * F.col("_n")).alias("times"))
+
+    exact = {1: step}  # chains of exactly so many hops
+    size = 1
+    while size * 2 <= depth + 1:
+        exact[size * 2] = follow(exact[size], exact[size])
+        size *= 2
+
+    def upto(n: int) -> DataFrame:
+        if n == 1:
+            return step
+        half = max(h for h in exact if h < n)
+        return upto(half).unionByName(follow(exact[half], upto(n - half)))
+
+    error = F.when(F.col("hops") > depth, F.lit(f"more than {depth} references in a row")).when(
+        F.col("layer") == F.col("target"), F.lit("a layer refers to itself")
+    )
+    return upto(depth + 1).withColumn("error", error)
 
 
 def expand_refs(requests: DataFrame, edges: DataFrame, layer: str = "layer_id") -> DataFrame:
-    """One row per request and layer it reaches: itself (hops 0) and references."""
+    """One row per request and layer it reaches: itself (hops 0) and references.
+
+    A chain that is too long or comes back to its layer gives a row with ``ref_error``.
+    """
     reach = reference_closure(edges).select(
-        F.col("layer").alias(layer), F.col("target").alias("via"), "hops", "times"
+        F.col("layer").alias(layer), F.col("target").alias("via"), "hops", "times", F.col("error").alias("ref_error")
+    )
+    own = requests.withColumns(
+        {"hops": F.lit(0), "times": F.lit(1).cast("long"), "ref_error": F.lit(None).cast("string")}
     )
-    own = requests.withColumn("hops", F.lit(0)).withColumn("times", F.lit(1).cast("long"))
-    # The closure of a configuration table is small; the planner sees its size.
     via = requests.join(reach, layer).withColumn(layer, F.col("via")).drop("via")
     return own.unionByName(via)
 

@@ -20,8 +20,6 @@ def minute_bucket(time: str = "time") -> Column:
     return F.date_trunc("minute", F.col(time))
 
 
-
-
 def number_rows(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, name: str = "rn"
 ) -> DataFrame:
@@ -87,25 +85,17 @@ def with_previous(
     )
 
 
-# Below this the planner itself cuts groups down before the shuffle (window group limit).
-GROUP_LIMIT = 1000
-
-
 def top_per_group(
-    df: DataFrame, keys: Sequence[str], order: Sequence, n: int, spread: Column, slices: int = 1024
+    df: DataFrame, keys: Sequence[str], order: Sequence, n: int, spread: Column, slices: int = 32
 ) -> DataFrame:
     """First ``n`` rows per group, also for groups that hold much of the data.
 
-    For a small ``n`` the planner keeps ``n`` rows per group and map task, so a plain
-    ranking is enough.  For a large one each group is ranked in slices first.
+    Every group is ranked in slices first, so the last ranking of a group sees at
+    most ``slices * n`` rows; for a small ``n`` the planner cuts the slices down
+    before the shuffle as well.
     """
+    first = Window.partitionBy(*keys, "_slice").orderBy(*order)
     final = Window.partitionBy(*keys).orderBy(*order)
-    if n >= GROUP_LIMIT:
-        first = Window.partitionBy(*keys, "_slice").orderBy(*order)
-        df = (
-            df.withColumn("_slice", F.pmod(F.xxhash64(spread), F.lit(slices)))
-            .withColumn("_r", F.row_number().over(first))
-            .where(F.col("_r") <= n)
-            .drop("_r", "_slice")
-        )
-    return df.withColumn("_r", F.row_number().over(final)).where(F.col("_r") <= n).drop("_r")
+    cut = df.withColumn("_slice", F.pmod(F.xxhash64(spread), F.lit(slices)))
+    cut = cut.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= n).drop("_r", "_slice")
+    return cut.withColumn("_r", F.row_number().over(final)).where(F.col("_r") <= n).drop("_r")

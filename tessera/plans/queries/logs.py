@@ -279,7 +279,24 @@ def token_checks(spark, sf):
     )
 
 
+def long_catalog(spark, sf):
+    """10,000 literal layers and 500 patterns over names made from the line items."""
+    layers = [Layer(f"part-{i}") for i in range(10_000)]
+    layers += [Layer(f"supplier_{i}", f"sup{i}-{{line}}", {"line": "[1-4]"}) for i in range(500)]
+    items = d.table(spark, sf, "lineitem")
+    part = F.concat(F.lit("part-"), (F.col("l_partkey") * 7 % 20_000).cast("string"))
+    supplier = F.concat(F.lit("sup"), (F.col("l_suppkey") % 600).cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))
+    names = items.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item"),
+        F.when(F.col("l_orderkey") % 2 == 0, part).otherwise(supplier).alias("layer_name"),
+    )
+    return resolve_layers(names, layers).select(
+        "item", "layer_id", F.try_element_at("layer_params", F.lit("line")).alias("line")
+    )
+
+
 QUERIES = {
+    "long_catalog": long_catalog,
     "access_log": access_log,
     "access_log_rejects": access_log_rejects,
     "app_log": app_log,
@@ -408,3 +425,8 @@ SQL = {
       SELECT request_id, token, coalesce(i % 4 <> 0 AND 1704067200 + i * 86400 > floor(epoch(time)), false) AS accepted,
         coalesce(i % 2 = 1, false) AS limited FROM n""",
 }
+SQL["long_catalog"] = """SELECT l_orderkey * 10 + l_linenumber AS item,
+    CASE WHEN l_orderkey % 2 = 0 THEN CASE WHEN l_partkey * 7 % 20000 < 10000 THEN 'part-' || (l_partkey * 7 % 20000) END
+      WHEN l_suppkey % 600 < 500 AND l_linenumber <= 4 THEN 'supplier_' || (l_suppkey % 600) END AS layer_id,
+    CASE WHEN l_orderkey % 2 = 1 AND l_suppkey % 600 < 500 AND l_linenumber <= 4 THEN CAST(l_linenumber AS VARCHAR) END AS line
+  FROM lineitem"""

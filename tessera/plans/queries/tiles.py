@@ -148,20 +148,30 @@ def strict_cover_ranges(spark, sf):
     return r.select("region_id", "step", "z", "range.*", "tiles")
 
 
-def plan_guards(spark, sf):
-    # Wider regions, so that every limit is met by some of them.
-    big = d.regions(spark, sf).withColumn(
+def wide_regions(spark, sf):
+    """Wider regions, so that every limit is met by some of them."""
+    return d.regions(spark, sf).withColumn(
         "area", F.col("area").withField("east", F.col("area.east") + (F.col("region_id") % 10) * 9)
     ).withColumn("zooms", F.when(F.col("region_id") % 2 == 0, F.lit("8,9")).otherwise(F.lit("4-7")))
-    return seed.plan_guards(big)
+
+
+def plan_guards(spark, sf):
+    return seed.plan_guards(wide_regions(spark, sf))
+
+
+def rejected_regions(spark, sf):
+    """Every region is planned or told off: none is in both, none in neither."""
+    regions = wide_regions(spark, sf)
+    planned = seed.within_limits(regions).select("region_id", F.lit(None).cast("string").alias("error"))
+    return seed.rejected_regions(regions).select("region_id", "error").unionByName(planned)
 
 
 def seed_plan(spark, sf):
-    return seed.seed_plan(d.regions(spark, sf))
+    return seed.seed_plan(d.regions(spark, sf), on_limit="report")
 
 
 def plan_summary(spark, sf):
-    return seed.plan_summary(seed.seed_plan(d.regions(spark, sf)))
+    return seed.plan_summary(seed_plan(spark, sf))
 
 
 def plan_summary_closed_form(spark, sf):
@@ -192,6 +202,7 @@ QUERIES = {
     "cover_ranges": cover_ranges,
     "strict_cover_ranges": strict_cover_ranges,
     "plan_guards": plan_guards,
+    "rejected_regions": rejected_regions,
     "seed_plan": seed_plan,
     "plan_summary": plan_summary,
     "plan_summary_closed_form": plan_summary_closed_form,
@@ -345,3 +356,4 @@ SQL = {
       CAST(x AS INT) AS x, CAST(unnest(range(y0, y1)) AS INT) AS y FROM (SELECT *, unnest(range(x0, x1)) AS x FROM ranges)""",
 }
 SQL["plan_summary_closed_form"] = SQL["plan_summary"]
+SQL["rejected_regions"] = f"SELECT region_id, error FROM ({SQL['plan_guards']}) p"

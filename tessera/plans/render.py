@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +31,7 @@ from tessera.operators.usage import (
     usage_totals,
 )
 from tessera.operators.vector import build_vector_tiles
-from tessera.plans.seed import seed_plan
+from tessera.plans.seed import check_plan, rejected_regions, seed_plan
 from tessera.sources.store import write_tile_store
 
 Renderer = Callable[[str, int, int, int, Mapping], tuple[bytes, str]]
@@ -112,35 +113,57 @@ def seed_run(
     params: Mapping | None = None,
     force: bool = False,
     ttl_seconds: int | None = None,
+    on_limit: str = "raise",
+    run_id: str | None = None,
 ) -> DataFrame:
     """Render the planned tiles the store lacks and store them; gives one summary per layer and zoom.
 
     The rendered tiles are written once, status included, and the summary reads
-    that table, so a lost executor never renders twice for the report.
+    that table, so a lost executor never renders twice for the report.  Every run
+    has its own results folder.  Regions over a limit fail the run before it
+    starts; with ``on_limit="report"`` they are written beside the results and
+    counted in the summary, one row per layer without a zoom.
     """
     spark = regions.sparkSession
-    plan = seed_plan(regions, force=force, spread=True).select(*TILE).distinct()
+    if on_limit == "raise":
+        check_plan(regions, force)
+    plan = seed_plan(regions, force=force, spread=True, on_limit="report").select(*TILE).distinct()
     todo = missing_tiles(plan, store, ttl_seconds, now)
     rendered = render(todo, renderer, params).withColumns(
         {"written_at": F.lit(now), "version": F.lit(0).cast("long")}
     )
-    results = f"{target}/results"
+    run_id = run_id or uuid.uuid4().hex
+    results = f"{target}/results/run={run_id}"
     rendered.write.mode("overwrite").parquet(results)
+    rejected = f"{target}/rejected/run={run_id}"
+    rejected_regions(regions, force).write.mode("overwrite").parquet(rejected)
     done = spark.read.parquet(results)
     write_tile_store(done, f"{target}/tiles")
-    return done.groupBy("layer_name", "z").agg(
+    none = F.lit(0).cast("long")
+    made = done.groupBy("layer_name", "z").agg(
         F.count(F.lit(1)).alias("tiles"),
         F.count_if(F.col("error").isNull()).alias("ok"),
         F.count_if(F.col("error").isNotNull()).alias("failed"),
+        none.alias("rejected_regions"),
+    )
+    left = spark.read.parquet(rejected).groupBy("layer_name").agg(F.count(F.lit(1)).alias("rejected_regions"))
+    return made.unionByName(
+        left.select(
+            "layer_name", F.lit(None).cast("int").alias("z"), none.alias("tiles"), none.alias("ok"), none.alias("failed"),
+            "rejected_regions",
+        )
     )
 
 
 def vector_build(points: DataFrame, zooms: Iterable[int], target: str, **options) -> DataFrame:
-    """Build vector tiles and write them by zoom; returns the written table."""
+    """Build vector tiles and write them by zoom; returns the written table.
+
+    The whole target is replaced: zooms of an earlier build do not stay.
+    """
     tiles = build_vector_tiles(points, zooms, **options)
-    tiles.withColumn("zoom", F.col("z")).hint("rebalance", "zoom").write.mode("overwrite").partitionBy(
-        "zoom"
-    ).parquet(target)
+    tiles.withColumn("zoom", F.col("z")).hint("rebalance", "zoom").write.mode("overwrite").option(
+        "partitionOverwriteMode", "static"
+    ).partitionBy("zoom").parquet(target)
     return points.sparkSession.read.parquet(target).drop("zoom")
 
 

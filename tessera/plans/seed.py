@@ -175,24 +175,51 @@ def expand_plan(ranges: DataFrame, spread: bool = False) -> DataFrame:
     ).select("region_id", "layer_name", "step", "z", "x", "y")
 
 
+class SeedLimitError(ValueError):
+    """Regions break a limit; ``rejected`` has one row for each of them."""
+
+    def __init__(self, message: str, rejected: DataFrame):
+        super().__init__(message)
+        self.rejected = rejected
+
+
 def seed_plan(
-    regions: DataFrame, force: bool = False, strict: bool = False, spread: bool = False
+    regions: DataFrame,
+    force: bool = False,
+    strict: bool = False,
+    spread: bool = False,
+    on_limit: str = "raise",
 ) -> DataFrame:
-    """Tiles of the regions that pass the guards (rejected regions: ``plan_guards``)."""
+    """Tiles of the regions.
+
+    With ``on_limit="raise"`` a region over a limit is an error before anything is planned; with
+    ``"report"`` the others are planned and ``rejected_regions`` gives the rest with their reasons.
+    """
+    if on_limit not in ("raise", "report"):
+        raise ValueError(f"on_limit is raise or report, not {on_limit!r}")
+    if on_limit == "raise":
+        check_plan(regions, force, strict)
     return expand_plan(plan_ranges(within_limits(regions, force, strict), strict), spread)
 
 
 def within_limits(regions: DataFrame, force: bool = False, strict: bool = False) -> DataFrame:
-    """Regions that pass the guards; a narrow filter."""
+    """Regions that pass the guards; a narrow filter, ``rejected_regions`` are the others."""
     guard = _guard(regions, force, strict)
     return regions.withColumn("_guard", guard).where(F.col("_guard.error").isNull()).drop("_guard")
 
 
+def rejected_regions(regions: DataFrame, force: bool = False, strict: bool = False) -> DataFrame:
+    """Regions that break a limit, with the tiles counted up to there and the reason."""
+    return plan_guards(regions, force, strict).where(F.col("error").isNotNull())
+
+
 def check_plan(regions: DataFrame, force: bool = False, strict: bool = False) -> None:
-    """Raise when any region breaks a limit; only a few rejected rows reach the driver."""
-    bad = plan_guards(regions, force, strict).where(F.col("error").isNotNull()).take(5)
-    if bad:
-        raise ValueError("; ".join(f"region {r['region_id']}: {r['error']}" for r in bad))
+    """Raise ``SeedLimitError`` when any region breaks a limit."""
+    bad = rejected_regions(regions, force, strict)
+    counts = {r["error"]: r["count"] for r in bad.groupBy("error").count().collect()}  # one row per reason
+    if counts:
+        told = ", ".join(f"{n} with {why}" for why, n in sorted(counts.items()))
+        raise SeedLimitError(f"{sum(counts.values())} regions break a limit: {told}", bad)
 
 
 def plan_summary(plan: DataFrame) -> DataFrame:

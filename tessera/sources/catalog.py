@@ -1,4 +1,4 @@
-"""Layer catalog: a short ordered list of layers kept on the driver."""
+"""Layer catalog: an ordered list of layers, configuration that is kept on the driver."""
 
 from __future__ import annotations
 
@@ -13,9 +13,6 @@ from pyspark.sql import types as T
 from tessera.functions.access import ResponsePolicy
 from tessera.functions.patterns import LayerPattern, compile_pattern
 
-# A catalog is configuration; anything longer belongs in a table join.
-CATALOG_LIMIT = 10_000
-
 
 @dataclass(frozen=True)
 class Layer:
@@ -40,8 +37,6 @@ class Layer:
 def check_catalog(layers: Iterable[Layer]) -> list[Layer]:
     """The layers in order; a repeated id is an error."""
     out = list(layers)
-    if len(out) > CATALOG_LIMIT:
-        raise ValueError(f"a catalog holds at most {CATALOG_LIMIT} layers")
     seen: set[str] = set()
     for layer in out:
         if layer.id in seen:
@@ -72,13 +67,7 @@ def catalog_frame(spark: SparkSession, layers: Iterable[Layer]) -> DataFrame:
 
 def load_catalog(spark: SparkSession, path: str) -> list[Layer]:
     """Catalog from JSON lines with ``ord`` and the ``Layer`` fields."""
-    found = (
-        spark.read.schema(CATALOG_SCHEMA)
-        .json(path)
-        .orderBy("ord")
-        .limit(CATALOG_LIMIT + 1)
-        .collect()
-    )
+    found = spark.read.schema(CATALOG_SCHEMA).json(path).orderBy("ord").collect()  # configuration, read whole
     return check_catalog(
         Layer(r["id"], r["pattern"] or "", r["rules"], bool(r["skip_cache"]), bool(r["skip_analytics"]))
         for r in found

@@ -25,8 +25,10 @@ def _delivered(spark: SparkSession, log: str, batch_id: int) -> set[str]:
         rows = spark.read.parquet(f"{log}/batch_{batch_id}").where("error is null")
         # At most one row per sink and attempt.
         return {r["sink"] for r in rows.select("sink").distinct().collect()}
-    except AnalysisException:
-        return set()
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return set()  # nothing was delivered yet
 
 
 def _note(spark: SparkSession, log: str, sink: str, batch_id: int, n: int, error: str | None) -> None:
@@ -63,7 +65,7 @@ def fan_out(
                     write(batch, batch_id)
                     _note(spark, log, name, batch_id, n, None)
                 except Exception as exc:  # noqa: BLE001 - any sink error is contained here
-                    text = f"{type(exc).__name__}: {exc}".splitlines()[0][:500]
+                    text = f"{type(exc).__name__}: {exc}"
                     failures.append(f"{name}: {text}")
                     _note(spark, log, name, batch_id, n, text)
                     if not strict:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import itertools
+import time
 import random
 
 import pytest
@@ -51,18 +52,17 @@ def test_previous_over_buckets(spark):
             before = r[2]
 
 
-@pytest.mark.parametrize("limit", [1000, 2])
-def test_top_per_group(spark, monkeypatch, limit):
-    monkeypatch.setattr(num, "GROUP_LIMIT", limit)
+@pytest.mark.parametrize("limit", [5, 1, 2000])
+def test_top_per_group(spark, limit):
     rows, df = log(spark)
-    out = num.top_per_group(df, ["key"], ["id"], 5, F.col("id"), 4)
+    out = num.top_per_group(df, ["key"], ["id"], limit, F.col("id"), 4)
     want = set()
     for _, group in itertools.groupby(sorted(rows), key=lambda r: r[0]):
-        want |= set(sorted(r[2] for r in group)[:5])
+        want |= set(sorted(r[2] for r in group)[:limit])
     assert {r["id"] for r in out.collect()} == want
     # Groups shrink before the shuffle.
     plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "Partial" in plan.split("WindowGroupLimit")[-1]
+    assert limit > 1000 or "Partial" in plan.split("WindowGroupLimit")[-1]
 
 
 @pytest.mark.parametrize("ttl", [1, 60, 3600])
@@ -118,7 +118,7 @@ def test_fallback_without_any_tile(spark):
         st.fallback(key, none, none, F.lit(True), F.lit(True), "sometimes")
 
 
-def test_resolution_order_and_long_catalogs(spark, monkeypatch):
+def test_resolution_order_and_long_catalogs(spark):
     layers = [cat.Layer("first", "a{x}"), cat.Layer("second", "ab{x}"), cat.Layer("ab")]
     names = spark.createDataFrame([("abc",), ("ab",), ("zz",), (None,)], "layer_name string")
 
@@ -127,8 +127,14 @@ def test_resolution_order_and_long_catalogs(spark, monkeypatch):
 
     inline = ids()
     assert inline["abc"] == ("first", {"x": "bc"}) and inline["zz"] == (None, None) and inline[None][0] is None
-    monkeypatch.setattr(lay, "INLINE_PATTERNS", 0)
-    assert ids() == inline
+    layers += [cat.Layer(f"n{i}") for i in range(10_000)] + [cat.Layer(f"p{i}", f"p{i}-{{x}}") for i in range(500)]
+    start = time.perf_counter()
+    out = lay.resolve_layers(names.unionByName(spark.createDataFrame([("n9999",), ("p499-q",), ("p49-",)], "layer_name string")), layers)
+    out._jdf.queryExecution().executedPlan()
+    assert time.perf_counter() - start < 10
+    got = {r["layer_name"]: (r["layer_id"], r["layer_params"]) for r in out.collect()}
+    assert got["n9999"] == ("n9999", {}) and got["p499-q"] == ("p499", {"x": "q"}) and got["p49-"] == ("p49", {"x": ""})
+    assert {k: got[k] for k in inline} == inline
 
 
 def test_catalog_rejects_duplicates(spark):
@@ -139,8 +145,15 @@ def test_catalog_rejects_duplicates(spark):
 
 def test_reference_hops(spark):
     chain = {f"l{i}": {"name": "ref", "layer": f"l{i + 1}"} for i in range(13)}
-    reach = lay.reference_closure(cat.reference_edges(spark, chain)).where("layer = 'l0'")
-    assert {(r["target"], r["hops"]) for r in reach.collect()} == {(f"l{i}", i) for i in range(1, 11)}
+    reach = lay.reference_closure(cat.reference_edges(spark, chain)).where("layer = 'l0'").collect()
+    assert {(r["target"], r["hops"]) for r in reach} == {(f"l{i}", i) for i in range(1, 12)}
+    assert {r["hops"] for r in reach if r["error"]} == {11}
+    ring = spark.createDataFrame([("a", "b", 1), ("b", "a", 2), ("c", "a", 1)], "layer string, target string, times int")
+    out = {(r["layer"], r["target"], r["hops"]): (r["times"], r["error"]) for r in lay.reference_closure(ring, 4).collect()}
+    assert out["a", "a", 2] == (2, "a layer refers to itself") and out["c", "b", 2] == (1, None)
+    assert out["a", "a", 4][0] == 4 and out["c", "a", 5] == (4, "more than 4 references in a row")
+    wide = spark.createDataFrame([("a", x, 1) for x in "bc"] + [(x, "d", 3) for x in "bc"], "layer string, target string, times int")
+    assert {(r["layer"], r["target"]): r["times"] for r in lay.reference_closure(wide).collect()}["a", "d"] == 6
 
 
 def test_policy_merge(spark):
@@ -275,8 +288,10 @@ def test_limits(spark):
     assert error("21", True) == "too many tiles in a zoom"
     assert error("3-2") == "bad zooms"
     assert error("6,6,6,1") == "too many tiles in a zoom"
-    with pytest.raises(ValueError):
-        seed.check_plan(region(spark, *world, "9"))
+    with pytest.raises(seed.SeedLimitError, match="1 regions break a limit: 1 with too many tiles in a zoom") as told:
+        seed.seed_plan(region(spark, *world, "9"))
+    assert told.value.rejected.count() == 1
+    assert seed.seed_plan(region(spark, *world, "9"), on_limit="report").count() == 0
 
 
 def test_seed_run(spark, tmp_path):
@@ -294,7 +309,13 @@ def test_seed_run(spark, tmp_path):
     )
     now = T0 + dt.timedelta(hours=1)
     summary = seed_run(region(spark, -80.0, 80.0, -180.0, 180.0, "1"), held, "test", str(tmp_path / "out"), now)
-    assert [tuple(r) for r in summary.collect()] == [("l", 1, 3, 1, 2)]
+    assert [tuple(r) for r in summary.collect()] == [("l", 1, 3, 1, 2, 0)]
+    far = region(spark, -85.0, 85.0, -180.0, 180.0, "9")
+    with pytest.raises(seed.SeedLimitError):
+        seed_run(far, held, "test", str(tmp_path / "out"), now)
+    told = seed_run(far, held, "test", str(tmp_path / "out"), now, on_limit="report")
+    assert [tuple(r) for r in told.collect()] == [("l", None, 0, 0, 0, 1)]
+    assert len(list((tmp_path / "out" / "results").glob("run=*"))) == 2
     stored = read_tile_store(spark, str(tmp_path / "out" / "tiles"))
     assert {(r["x"], r["y"]) for r in stored.collect()} == {(0, 1)}
     none = render(spark.createDataFrame([("l", 0, 1, 0)], "layer_name string, z int, x int, y int"), "test").first()
