@@ -39,6 +39,7 @@ DEFAULT_CONTENT_TYPES = (
 DEFAULT_MAX_LENGTH = 10 * 1024 * 1024
 DEFAULT_REWRITE = {"application/octet-stream": ""}
 DEFAULT_MAX_EXPIRATION = 24 * 60 * 60
+DEFAULT_LEEWAY = 5
 
 
 def error_status(error_class, always_ok=False) -> Column:
@@ -101,14 +102,18 @@ def claims_valid(
     subject: str = "",
     issuer: str = "",
     max_expiration: int = DEFAULT_MAX_EXPIRATION,
+    nbf=None,
+    leeway: int = DEFAULT_LEEWAY,
 ) -> Column:
     """Test already-decoded claims at an explicit ``now`` (both epoch seconds).
 
-    ``exp`` must exist, lie ahead and not lie more than ``max_expiration`` ahead.
+    A token with ``nbf`` is refused before that time, less ``leeway`` seconds.  ``exp`` must exist, lie ahead and not lie more than ``max_expiration`` ahead.
     ``aud`` is an array column; wrap a plain string claim in ``array()``.
     """
     exp, now = as_col(exp), as_col(now)
     ok = exp.isNotNull() & (exp >= now) & (exp - now <= max_expiration)
+    if nbf is not None:
+        ok = ok & F.coalesce(as_col(nbf) <= now + leeway, F.lit(True))
     if audience:
         ok = ok & F.array_contains(as_col(aud), audience)
     if subject:

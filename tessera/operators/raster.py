@@ -169,21 +169,28 @@ def check_blend(mode: str, opacity: float, inputs: int) -> None:
 
 
 def _gather(inputs: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
-    """One row per tile with the array ``t`` of its inputs, in order."""
+    """One row per tile with ``_t<i>``, the tile of input i, and ``_n<i>``, how often input i has it."""
     union = None
     for i, tiles in enumerate(inputs):
         skip = F.col("skip_cache") if "skip_cache" in tiles.columns else F.lit(False)
         error = F.col("error") if "error" in tiles.columns else F.lit(None).cast("string")
         part = tiles.select(
             *keys,
-            F.struct(
-                F.lit(i).alias("ord"), "width", "height", *BANDS, skip.alias("skip_cache"),
-                error.alias("error"),
-            ).alias("t"),
+            F.lit(i).alias("_ord"),
+            F.struct("width", "height", *BANDS, skip.alias("skip_cache"), error.alias("error")).alias("_tile"),
         )
         union = part if union is None else union.unionByName(part)
-    # At most one row per input and tile: the group is bounded by MAX_INPUTS.
-    return union.groupBy(*keys).agg(F.array_sort(F.collect_list("t")).alias("t"))
+    own = [F.col("_ord") == i for i in range(len(inputs))]
+    # One value per input, whatever a key's rows: a repeated key costs a count.
+    return union.groupBy(*keys).agg(
+        *[F.any_value(F.when(mine, F.col("_tile")), True).alias(f"_t{i}") for i, mine in enumerate(own)],
+        *[F.count_if(mine).alias(f"_n{i}") for i, mine in enumerate(own)],
+    )
+
+
+def _usable(count: int) -> list[Column]:
+    """Per input whether it has the tile once and without an error."""
+    return [(F.col(f"_n{i}") == 1) & F.col(f"_t{i}")["error"].isNull() for i in range(count)]
 
 
 def blend(
@@ -192,20 +199,25 @@ def blend(
     """Blend 2..100 tile sets over ``keys`` into pixels.
 
     Later inputs go under earlier ones.  Smaller inputs are stretched to the
-    largest width and height.  A tile that any input lacks or failed gives no
-    pixels; ``blend_errors`` lists those.
+    largest width and height.  A tile that any input lacks, failed or has more
+    than once gives no pixels; ``blend_errors`` lists exactly those.
     """
     check_blend(mode, opacity, len(inputs))
     count = len(inputs)
-    complete = _gather(inputs, keys).where(
-        (F.size("t") == count) & ~F.exists("t", lambda e: e["error"].isNotNull())
-    )
+    whole = F.lit(True)
+    for usable in _usable(count):
+        whole = whole & usable
+    complete = _gather(inputs, keys).where(whole)
+    tiles = [F.col(f"_t{i}") for i in range(count)]
+    skipped = F.lit(False)
+    for t in tiles:
+        skipped = skipped | t["skip_cache"]
     sized = complete.select(
         *keys,
-        F.array_max(F.transform("t", lambda e: e["width"])).alias("width"),
-        F.array_max(F.transform("t", lambda e: e["height"])).alias("height"),
-        F.exists("t", lambda e: e["skip_cache"]).alias("skip_cache"),
-        *[F.col("t")[i].alias(f"_t{i}") for i in range(count)],
+        F.greatest(*[t["width"] for t in tiles]).alias("width"),
+        F.greatest(*[t["height"] for t in tiles]).alias("height"),
+        skipped.alias("skip_cache"),
+        *[f"_t{i}" for i in range(count)],
     )
     current = with_index(sized)
     for i in range(count):
@@ -219,16 +231,15 @@ def blend(
 
 
 def blend_errors(inputs: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
-    """Tiles that cannot be blended, with how many inputs are missing or failed."""
-    union = None
-    for tiles in inputs:
-        error = F.col("error") if "error" in tiles.columns else F.lit(None).cast("string")
-        part = tiles.select(*keys, error.isNull().cast("int").alias("_ok"))
-        union = part if union is None else union.unionByName(part)
-    good = union.groupBy(*keys).agg(F.sum("_ok").alias("_good"))
-    return good.where(F.col("_good") < len(inputs)).select(
-        *keys, (F.lit(len(inputs)) - F.col("_good")).cast("int").alias("missing")
+    """Tiles that cannot be blended: how many inputs lack or failed them, how many have them repeatedly."""
+    count = len(inputs)
+    repeated = sum((F.col(f"_n{i}") > 1).cast("int") for i in range(count))
+    missing = sum(
+        ((F.col(f"_n{i}") == 0) | ((F.col(f"_n{i}") == 1) & F.col(f"_t{i}")["error"].isNotNull())).cast("int")
+        for i in range(count)
     )
+    bad = _gather(inputs, keys).select(*keys, missing.alias("missing"), repeated.alias("repeated"))
+    return bad.where((F.col("missing") > 0) | (F.col("repeated") > 0))
 
 
 # -- crop ---------------------------------------------------------------------
@@ -412,61 +423,74 @@ def _weights(mode: str, radius: float) -> list[float]:
     return [math.exp(-(k * k) / (4 * radius)) for k in range(-half, half + 1)]
 
 
-def _smooth(tiles: DataFrame, keys: Sequence[str], mode: str, radius: float) -> DataFrame:
-    """Separable smoothing: rows of the tile first, then columns; 2(2r+1) reads a pixel."""
-    weights = _weights(mode, radius)
-    half, total = len(weights) // 2, sum(weights)
-    taps = F.array(
-        *[F.struct(F.lit(k - half).alias("d"), F.lit(w).alias("w")) for k, w in enumerate(weights)]
-    )
+def _two_passes(band: Column, width: Column, height: Column, half: int, fold: Callable[[Column], Column]) -> Column:
+    """Array of a tile's band after ``fold`` over the neighbours in the row, then in the column.
+
+    ``fold`` takes the array of the ``2 * half + 1`` values in reach; the edge repeats outward.
+    """
+    span = F.sequence(F.lit(-half), F.lit(half))
+    at = F.sequence(F.lit(0), width * height - 1)
 
-    def along_rows(tile):
-        w, h = tile["width"], tile["height"]
+    def rows(i):
+        x, start = i % width, i - i % width
+        return fold(F.transform(span, lambda d: F.get(band, (start + _clamped(x + d, width)).cast("int"))))
 
-        def cell(band, i):
-            x, start = i % w, i - i % w
-            return F.aggregate(
-                F.transform(
-                    taps, lambda k: F.get(band, (start + _clamped(x + k["d"], w)).cast("int")) * k["w"]
-                ),
-                F.lit(0.0),
-                lambda acc, v: acc + v,
-            )
+    def columns(first):
+        def cell(i):
+            x, y = i % width, F.floor(i / width).cast("int")
+            return fold(F.transform(span, lambda d: F.get(first, (_clamped(y + d, height) * width + x).cast("int"))))
 
-        at = F.sequence(F.lit(0), w * h - 1)
+        return F.transform(at, cell)
 
-        def smooth(band):
-            return F.transform(at, lambda i: cell(band, i))
+    return let(F.transform(at, rows), columns)
 
-        return F.struct(*[smooth(tile[c]).alias(c) for c in COLOURS])
 
-    rows = tiles.withColumn("_s", let(F.struct("width", "height", *COLOURS), along_rows)).select(
-        *keys, "width", "height", *[F.col("_s")[c].alias(c) for c in COLOURS], "a"
+def _finished(tiles: DataFrame, keys: Sequence[str], bands: dict[str, Column]) -> DataFrame:
+    """Pixels of computed bands; only finished values leave the generator, not the tile's arrays."""
+    zipped = F.arrays_zip(*[v.alias(c) for c, v in bands.items()])
+    made = tiles.select(*keys, "width", F.posexplode(zipped).alias("_i", "_v"))
+    return made.select(
+        *keys, (F.col("_i") % F.col("width")).cast("int").alias("px"), F.floor(F.col("_i") / F.col("width")).cast("int").alias("py"),
+        *[F.col("_v")[c].alias(c) for c in bands],
     )
-    cells = with_index(rows, bands=BANDS)
 
-    def along_column(band):
-        value = F.aggregate(
-            F.transform(taps, lambda t: F.get(band, _at(F.lit(0), t["d"])) * t["w"]),
-            F.lit(0.0),
-            lambda acc, v: acc + v,
-        )
-        return to_byte(value / (total * total))
 
-    return cells.select(
-        *keys, "px", "py", *[along_column(c).alias(c) for c in COLOURS], F.get("a", F.col("_i")).alias("a")
-    )
+def _smooth(tiles: DataFrame, keys: Sequence[str], mode: str, radius: float) -> DataFrame:
+    """Separable smoothing, array to array: rows of the tile first, then columns; 2(2r+1) reads a pixel."""
+    weights = _weights(mode, radius)
+    half, total = len(weights) // 2, sum(weights)
+    taps = F.array(*[F.lit(w) for w in weights])
+
+    def fold(values):
+        return F.aggregate(F.zip_with(values, taps, lambda v, w: v * w), F.lit(0.0), lambda acc, v: acc + v)
+
+    def along(tile):
+        def band(c):
+            sums = _two_passes(tile[c], tile["width"], tile["height"], half, fold)
+            return F.transform(sums, lambda v: to_byte(v / (total * total)))
+
+        return F.struct(*[band(c).alias(c) for c in COLOURS])
+
+    made = tiles.withColumn("_s", let(F.struct("width", "height", *COLOURS), along))
+    return _finished(made, keys, {**{c: F.col("_s")[c] for c in COLOURS}, "a": F.col("a")})
 
 
 def _around(band: str, half: int) -> Column:
-    """ARRAY of a band's values in the square around a pixel."""
-    if half <= 2:
-        reach = range(-half, half + 1)
-        return F.array(*[F.get(band, _at(dx, dy)) for dy in reach for dx in reach])
+    """ARRAY of a band's values in the small square around a pixel."""
+    reach = range(-half, half + 1)
+    return F.array(*[F.get(band, _at(dx, dy)) for dy in reach for dx in reach])
+
+
+def _square(band: Column, i: Column, width: Column, height: Column, half: int) -> Column:
+    """ARRAY of an array's values in the square of any size around position ``i``."""
     span = F.sequence(F.lit(-half), F.lit(half))
-    return F.flatten(
-        F.transform(span, lambda dy: F.transform(span, lambda dx: F.get(band, _at(dx, dy))))
-    )
+    x, y = i % width, F.floor(i / width).cast("int")
+
+    def row(dy):
+        start = _clamped(y + dy, height) * width
+        return F.transform(span, lambda dx: F.get(band, (start + _clamped(x + dx, width)).cast("int")))
+
+    return F.flatten(F.transform(span, row))
 
 
 def _ranked(tiles: DataFrame, keys: Sequence[str], mode: str, half: int) -> DataFrame:
@@ -481,21 +505,55 @@ def _ranked(tiles: DataFrame, keys: Sequence[str], mode: str, half: int) -> Data
             total = total * 256 + p[band]
         return total
 
-    cells = with_index(
-        tiles.select(*keys, "width", "height", F.transform(F.arrays_zip(*BANDS), packed).alias("_p")),
-        bands=("_p",),
-    )
+    values = F.transform(F.arrays_zip(*BANDS), packed).alias("_p")
+    if half > 2:
+        return _ranked_wide(tiles.select(*keys, "width", "height", values), keys, mode, half)
+    cells = with_index(tiles.select(*keys, "width", "height", values), bands=("_p",))
     around = _around("_p", half)
     pick = {
         "dilate": F.array_max(around),
         "erode": F.array_min(around),
         "median": F.get(F.sort_array(around), F.lit((2 * half + 1) ** 2 // 2)),
     }[mode]
-    chosen = F.col("_n")
-    return cells.withColumn("_n", pick).select(
-        *keys, "px", "py",
-        *[F.shiftright(chosen, 8 * k).bitwiseAND(F.lit(255)).cast("int").alias(b) for k, b in zip((3, 2, 1, 0), BANDS)],
-    )
+    return _unpacked(cells.withColumn("_n", pick).select(*keys, "px", "py", "_n"), keys)
+
+
+def _unpacked(px: DataFrame, keys: Sequence[str]) -> DataFrame:
+    bands = [F.shiftright("_n", 8 * k).bitwiseAND(F.lit(255)).cast("int").alias(b) for k, b in zip((3, 2, 1, 0), BANDS)]
+    return px.select(*keys, "px", "py", *bands)
+
+
+def _ranked_wide(tiles: DataFrame, keys: Sequence[str], mode: str, half: int) -> DataFrame:
+    """Rank effects of a larger reach, array to array; highest and lowest go by rows, then columns."""
+
+    def ranked(tile):
+        band, w, h = tile["_p"], tile["width"], tile["height"]
+        if mode != "median":
+            return _two_passes(band, w, h, half, F.array_max if mode == "dilate" else F.array_min)
+        middle = F.lit((2 * half + 1) ** 2 // 2)
+        at = F.sequence(F.lit(0), w * h - 1)
+        return F.transform(at, lambda i: F.get(F.sort_array(_square(band, i, w, h, half)), middle))
+
+    made = tiles.withColumn("_r", let(F.struct("width", "height", "_p"), ranked))
+    return _unpacked(_finished(made, keys, {"_n": F.col("_r")}), keys)
+
+
+def _edges(tiles: DataFrame, keys: Sequence[str], half: int) -> DataFrame:
+    """A pixel times the size of the square around it, less the square's sum; array to array."""
+    side = 2 * half + 1
+
+    def fold(values):
+        return F.aggregate(values, F.lit(0).cast("long"), lambda acc, v: acc + v)
+
+    def along(tile):
+        def band(c):
+            sums = _two_passes(tile[c], tile["width"], tile["height"], half, fold)
+            return F.zip_with(tile[c], sums, lambda v, total: to_byte(v * (side * side) - total))
+
+        return F.struct(*[band(c).alias(c) for c in COLOURS])
+
+    made = tiles.withColumn("_s", let(F.struct("width", "height", *COLOURS), along))
+    return _finished(made, keys, {**{c: F.col("_s")[c] for c in COLOURS}, "a": F.col("a")})
 
 
 def focal_effect(tiles: DataFrame, keys: Sequence[str], mode: str, intensity: float = 0.0) -> DataFrame:
@@ -511,18 +569,11 @@ def focal_effect(tiles: DataFrame, keys: Sequence[str], mode: str, intensity: fl
         return _smooth(tiles, keys, mode, intensity)
     if mode in ("dilate", "erode", "median"):
         return _ranked(tiles, keys, mode, int(2 * intensity + 1.5) // 2)
+    if mode == "edge detection":
+        return _edges(tiles, keys, math.ceil(2 * intensity + 1) // 2)
     cells = with_index(tiles, bands=BANDS)
     alpha = F.get("a", F.col("_i")).alias("a")
-    if mode == "edge detection":
-        half = math.ceil(2 * intensity + 1) // 2
-        side = 2 * half + 1
-
-        def edges(c):
-            total = F.aggregate(_around(c, half), F.lit(0), lambda acc, v: acc + v)
-            return to_byte(F.get(c, F.col("_i")) * (side * side) - total)
-
-        out = [edges(c).alias(c) for c in COLOURS]
-    elif mode == "sobel":
+    if mode == "sobel":
         out = [
             to_byte(
                 F.sqrt(

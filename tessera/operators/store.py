@@ -167,14 +167,20 @@ def change_points(observations: DataFrame, bucket: Column) -> DataFrame:
 VALIDATIONS = ("same", "content-type", "base-64", "file", "success")
 
 
-def validate_tiles(tiles: DataFrame, expectations: DataFrame) -> DataFrame:
+def validate_tiles(tiles: DataFrame, expectations: DataFrame, previous: DataFrame | None = None) -> DataFrame:
     """Check stored tiles against (tile key, validation, expected) rows.
 
     ``expected`` is text; for ``file`` it is the hex SHA-256 of the expected bytes,
-    so reference payloads need not travel.
+    so reference payloads need not travel.  ``same`` compares content and type with
+    the tile in ``previous``, an earlier snapshot; it fails where there is none.
     """
     got = tiles.select(*TILE, "content", "content_type").withColumn("_there", F.lit(True))
     joined = expectations.join(got, TILE, "left")
+    now = F.struct(etag("content").alias("etag"), F.col("content_type").alias("type"))
+    if previous is None:
+        joined = joined.withColumn("_before", F.lit(None).cast("struct<etag:string,type:string>"))
+    else:
+        joined = joined.join(previous.select(*TILE, now.alias("_before")), TILE, "left")
     mode, want = F.col("validation"), F.col("expected")
     error = (
         F.when(F.col("_there").isNull(), F.lit("no tile"))
@@ -184,6 +190,8 @@ def validate_tiles(tiles: DataFrame, expectations: DataFrame) -> DataFrame:
             (mode == "file") & ~F.sha2("content", 256).eqNullSafe(F.lower(want)),
             F.lit("result changed"),
         )
+        .when((mode == "same") & F.col("_before").isNull(), F.lit("no previous tile"))
+        .when((mode == "same") & ~F.col("_before").eqNullSafe(now), F.lit("result changed"))
         .when(~mode.isin(*VALIDATIONS), F.lit("unknown validation"))
     )
     return joined.select(*expectations.columns, error.alias("error"))
@@ -205,8 +213,8 @@ def verify_store(generated: DataFrame, store: DataFrame) -> DataFrame:
         F.when(ok & wrote, F.coalesce(F.col("_read") == F.col("_made"), F.lit(False))).alias("cache_read"),
         F.when(~ok, F.col("error"))
         .when(~wrote, F.lit("write failed"))
-        .when(F.col("_read").isNull(), F.lit("no result from cache lookup"))
-        .when(F.col("_read") != F.col("_made"), F.lit("cache result differs"))
+        .when(F.col("_read").isNull(), F.lit("not in the store"))
+        .when(F.col("_read") != F.col("_made"), F.lit("other content in the store"))
         .alias("error"),
     )
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.tiles import MERCATOR_HALF, as_col, lat_to_3857, lon_to_3857, tiles_per_axis
@@ -18,8 +18,8 @@ from tessera.operators.numbering import top_per_group
 
 EXTENT = 4096
 BUFFER = 0.125
-# Features of one tile beyond this number go to further parts of the tile.
-PART_SIZE = 10_000
+#: Parts of a tile, unless told otherwise.
+PARTS = 8
 
 TILE = ["z", "x", "y"]
 
@@ -121,30 +121,27 @@ def select_features(
 
 
 def assemble_tiles(
-    placed: DataFrame, feature: Column, layer: str = "features", part_size: int = PART_SIZE
+    placed: DataFrame, feature: Column, layer: str | Column = "features", parts: int = PARTS, spread: Column | None = None
 ) -> DataFrame:
     """Collect features per tile as (layer, z, x, y, part, n, features).
 
-    A tile of any size is a set of parts of about ``part_size`` features, so no
-    task ever holds a whole low-zoom tile.  Only tiles over the size are counted
-    out; the planner broadcasts that list when its measured size allows.
+    Every tile comes in up to ``parts`` parts, by the hash of the feature's id (or
+    ``spread``), so a part is held by one task and not a whole low-zoom tile; a
+    larger number suits larger tiles.  ``layer`` may be a column, which builds
+    several layers in one pass.
     """
-    big = (
-        placed.groupBy(*TILE)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > part_size)
-        .select(*TILE, F.ceil(F.col("_n") / part_size).cast("int").alias("_parts"))
-    )
-    spread = F.pmod(F.xxhash64("gid"), F.col("_parts").cast("long")).cast("int")
+    if parts < 1:
+        raise ValueError("a tile has at least one part")
+    number = F.pmod(F.xxhash64("gid") if spread is None else spread, F.lit(parts)).cast("int")
+    name = layer if isinstance(layer, Column) else F.lit(layer)
     return (
-        placed.join(big, TILE, "left")
-        .withColumn("part", F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(spread))
-        .groupBy(*TILE, "part")
+        placed.withColumns({"layer": name, "part": number})
+        .groupBy("layer", *TILE, "part")
         .agg(
             F.count(F.lit(1)).cast("int").alias("n"),
             F.sort_array(F.collect_list(feature)).alias("features"),
         )
-        .select(F.lit(layer).alias("layer"), *TILE, "part", "n", "features")
+        .select("layer", *TILE, "part", "n", "features")
     )
 
 
@@ -157,18 +154,26 @@ def build_vector_tiles(
     attributes: Sequence[str] = (),
     where: str | None = None,
     params: dict | None = None,
-    layer: str = "features",
-    part_size: int = PART_SIZE,
+    layer: str | Column = "features",
+    parts: int = PARTS,
+    spread: Column | None = None,
 ) -> DataFrame:
-    """Vector tiles of a point table; a tile without features gives no row."""
+    """Vector tiles of a point table in one scan; a tile without features gives no row.
+
+    A ``layer`` column must be among the attributes; a limit holds for a tile of
+    one layer.
+    """
     placed = select_features(points_to_tiles(points, zooms, buffer), attributes, where, params)
     if limit:
-        placed = top_per_group(placed, TILE, ["gid", "u", "v"], limit, F.col("gid"))
+        by = TILE
+        if isinstance(layer, Column):
+            placed, by, layer = placed.withColumn("_layer", layer), [*TILE, "_layer"], F.col("_layer")
+        placed = top_per_group(placed, by, ["gid", "u", "v"], limit, F.col("gid"))
     position = quantise("u", "v", "x", "y", extent)
     feature = F.struct(
         "gid", position["qx"].alias("qx"), position["qy"].alias("qy"), *attributes
     )
-    return assemble_tiles(placed, feature, layer, part_size)
+    return assemble_tiles(placed, feature, layer, parts, spread)
 
 
 def explode_features(tiles: DataFrame) -> DataFrame:
@@ -187,13 +192,29 @@ def composite_vector(inputs: Sequence[DataFrame]) -> DataFrame:
             tiles = tiles.withColumn("skip_cache", F.lit(False))
         tiles = tiles.withColumn("ord", F.lit(i))
         union = tiles if union is None else union.unionByName(tiles, allowMissingColumns=True)
-    skipped = union.where("skip_cache").select(*TILE).distinct().withColumn("_skip", F.lit(True))
-    return (
-        union.drop("skip_cache")
-        .join(skipped, TILE, "left")
-        .withColumn("skip_cache", F.coalesce("_skip", F.lit(False)))
-        .drop("_skip")
-    )
+    return union.withColumn("skip_cache", _skipped())
+
+
+def _skipped() -> Column:
+    """Whether any part of the tile, of whatever layer, is not to be cached."""
+    return F.max(F.coalesce("skip_cache", F.lit(False))).over(Window.partitionBy(*TILE))
+
+
+def layered_tiles(
+    points: DataFrame, zooms: Iterable[int], layer: Column, order: Sequence[str], skip_cache: Column | None = None, **options
+) -> DataFrame:
+    """Composite tiles of one feature table whose column names the layer: one scan, two shuffles.
+
+    ``order`` lists the layers in their declared order; others are left out.
+    """
+    names = F.array(*[F.lit(v) for v in order])
+    rows = points.withColumn("_layer", layer).where(F.array_contains(names, F.col("_layer")))
+    attributes = [*options.pop("attributes", ()), "_layer"]
+    tiles = build_vector_tiles(rows, zooms, layer=F.col("_layer"), attributes=attributes, **options)
+    tiles = tiles.withColumn("features", F.transform("features", lambda f: f.dropFields("_layer")))
+    tiles = tiles.withColumn("ord", (F.array_position(names, F.col("layer")) - 1).cast("int"))
+    skip = F.lit(False) if skip_cache is None else skip_cache
+    return tiles.withColumn("skip_cache", skip).withColumn("skip_cache", _skipped())
 
 
 # -- lines, polygons and boxes ------------------------------------------------

@@ -198,12 +198,13 @@ def claims(spark, sf):
     ok = a.claims_valid(
         F.when(i % 13 != 0, now + i % 100000 - 5000), now, F.array(F.lit("x"), F.col("layer_name")),
         "user_id", F.lit("issuer"), audience="osm", issuer="issuer",
+        nbf=F.when(i % 3 != 0, now + i % 11),
     )
     return d.tile_requests(spark, sf).select("request_id", ok.alias("valid"))
 
 
 def layer_matches(spark, sf):
-    storm = compile_pattern("noaa_{kind}_{version}")
+    storm = compile_pattern("harbour_{kind}_{version}")
     county = compile_pattern("c{a}s_1{year}")
     m, c = match_layer("layer_name", storm), match_layer("layer_name", county)
     return d.tile_requests(spark, sf).select(
@@ -225,7 +226,7 @@ def resolved_layers(spark, sf):
 
 
 def storm_layers_by_user(spark, sf):
-    m = match_layer("layer_name", compile_pattern("noaa_poststorm_{v}"))
+    m = match_layer("layer_name", compile_pattern("harbour_survey_{v}"))
     versions = d.tile_requests(spark, sf).select("user_id", m["v"].alias("v")).where(F.col("v").isNotNull())
     # Versions come from the layer catalog, so a user's list is short.
     lists = versions.distinct().groupBy("user_id").agg(
@@ -358,7 +359,7 @@ SQL = {
       SELECT request_id, concat_ws('_', layer_name, z, x, y) AS disk, 'tiles/v1/' || k AS object,
         'p:' || k AS redis, 'm-' || k AS memcache, p AS disk_tile, p AS object_tile, p AS redis_tile, p AS memcache_tile FROM t""",
     "expanded_urls": W + sql.RES + f""" SELECT request_id, 'https://tiles.example.com/v1?a=b/'
-      || CASE WHEN layer_id = 'noaa_poststorm_imagery_in_parts' THEN substr(layer_name, 16) ELSE '' END
+      || CASE WHEN layer_id = 'harbour_survey_by_date' THEN substr(layer_name, 16) ELSE '' END
       || '/' || z || '/' || x || '/' || CAST(pow(2, z) - y - 1 AS INT) || '.png?user=' || user_id || '+%26%3F%2F~%2A&bbox='
       || printf('%.6f,%.6f,%.6f,%.6f', {_SB['w']}, {_SB['s']}, {_SB['e']}, {_SB['n']})
       || '&y=' || CAST(pow(2, z) - y - 1 AS INT) AS url FROM res""",
@@ -400,19 +401,19 @@ SQL = {
     "scopes": W + sql.REQ + """ SELECT request_id, CASE WHEN request_id % 6 <> 0 THEN layer_name || ',base' END AS layers,
       CASE WHEN request_id % 6 = 0 THEN false ELSE user_id = 'user-7' END AS valid, true AS free FROM req""",
     "claims": W + sql.REQ + """ SELECT request_id, request_id % 13 <> 0 AND request_id % 100000 - 5000 BETWEEN 0 AND 86400
-      AND layer_name = 'osm' AS valid FROM req""",
-    "layer_matches": W + sql.REQ + """, t AS (SELECT *, starts_with(layer_name, 'noaa_') AS n, starts_with(layer_name, 'counties_1') AS c FROM req)
-      SELECT request_id, CASE WHEN n THEN 'poststorm' END AS kind, CASE WHEN n THEN substr(layer_name, 16) END AS version,
+      AND layer_name = 'osm' AND (request_id % 3 = 0 OR request_id % 11 <= 5) AS valid FROM req""",
+    "layer_matches": W + sql.REQ + """, t AS (SELECT *, starts_with(layer_name, 'harbour_') AS n, starts_with(layer_name, 'counties_1') AS c FROM req)
+      SELECT request_id, CASE WHEN n THEN 'survey' END AS kind, CASE WHEN n THEN substr(layer_name, 16) END AS version,
         CASE WHEN n THEN ends_with(layer_name, 'a') END AS valid, CASE WHEN c THEN 'ountie' END AS a,
         CASE WHEN c THEN substr(layer_name, 11) END AS year FROM t""",
     "resolved_layers": W + sql.RES + """ SELECT request_id, id AS layer_id,
-        CAST(CASE id WHEN 'osm' THEN 0 WHEN 'osm-topo' THEN 1 WHEN 'noaa_poststorm_imagery_in_parts' THEN 2
+        CAST(CASE id WHEN 'osm' THEN 0 WHEN 'osm-topo' THEN 1 WHEN 'harbour_survey_by_date' THEN 2
           WHEN 'counties_by_year' THEN 3 WHEN 'debug-grid' THEN 4 END AS INT) AS layer_ord,
         CASE WHEN id IS NOT NULL THEN id = 'debug-grid' END AS skip_analytics,
-        CASE WHEN id LIKE 'noaa%' THEN substr(layer_name, 16) END AS version,
+        CASE WHEN id LIKE 'harbour%' THEN substr(layer_name, 16) END AS version,
         CASE WHEN id LIKE 'counties%' THEN substr(layer_name, 10) END AS year
       FROM (SELECT *, CASE WHEN request_id % 6 <> 0 THEN layer_id END AS id FROM res)""",
-    "storm_layers_by_user": W + sql.REQ + """, v AS (SELECT DISTINCT user_id, substr(layer_name, 16) AS v FROM req WHERE starts_with(layer_name, 'noaa_'))
+    "storm_layers_by_user": W + sql.REQ + """, v AS (SELECT DISTINCT user_id, substr(layer_name, 16) AS v FROM req WHERE starts_with(layer_name, 'harbour_'))
       SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY v) - 1 AS INT) AS ord, 'storm/' || v || '/{w}' AS layer FROM v""",
     "permissions": W + AUDIT + " SELECT request_id, verdict FROM v",
     "permission_summary": W + AUDIT + """ SELECT user_id, verdict, count(*) AS requests,

@@ -49,6 +49,40 @@ def blend_errors(spark, sf):
     return r.blend_errors([coarse(spark, sf), over(spark, sf), base(spark, sf)], KEYS)
 
 
+def blend_keys(spark, sf):
+    """Every key once, as blended or as failed, where inputs lack, fail or repeat keys."""
+    once, more = base(spark, sf), over(spark, sf)
+    twice = more.unionByName(more.where("vec_id % 7 = 2"))
+    lacking = twice.where("vec_id % 11 <> 4")
+    inputs = [once.unionByName(once.where("vec_id % 11 = 4")), lacking]
+    blended = r.blend(inputs, KEYS).select(*KEYS).distinct()
+    none = F.lit(0)
+    return blended.select(*KEYS, none.alias("missing"), none.alias("repeated")).unionByName(r.blend_errors(inputs, KEYS))
+
+
+def large_tiles(spark, sf):
+    """256 x 256 tiles, the values of 1,024 embeddings each; the last tile is filled up with zeros."""
+    t = d.raster_tiles(spark, sf)
+    rows = F.sort_array(F.collect_list(F.struct("vec_id", *r.BANDS)))
+    grouped = t.groupBy((F.col("vec_id") / 1024).cast("long").alias("vec_id")).agg(rows.alias("_rows"))
+
+    def band(c):
+        values = F.flatten(F.transform("_rows", lambda v: v[c]))
+        rest = F.array_repeat(F.lit(0), F.lit(65_536) - F.size(values))
+        return F.concat(values, rest).alias(c)
+
+    side = F.lit(256)
+    return grouped.select(
+        F.lit(5).alias("z"), F.lit(0).alias("x"), F.lit(0).alias("y"), "vec_id", side.alias("width"), side.alias("height"),
+        *[band(c) for c in r.BANDS],
+    )
+
+
+def smoothed_large(spark, sf):
+    px = r.focal_effect(large_tiles(spark, sf), KEYS, "gaussian", 1.5)
+    return px.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("pixels"), F.max("px").alias("last"), F.sum("a").alias("alpha"))
+
+
 def resampled(spark, sf):
     return r.resample(base(spark, sf), KEYS, 12, 10)
 
@@ -117,12 +151,14 @@ QUERIES = {
     **{key("blend_", m): blend_mode(m) for m in r.BLEND_MODES},
     "blend_resampled": blend_resampled,
     "blend_errors": blend_errors,
+    "blend_keys": blend_keys,
     "resampled": resampled,
     "cropped": cropped,
     "rotated_channels": rotated,
     "rotated_channels_pandas": rotated_pandas,
     **{key("effect_", m): point(m, v) for m, v in POINT.items()},
     **{key("effect_", m): focal(m, v) for m, v in FOCAL.items()},
+    "effect_gaussian_large": smoothed_large,
     "constant_tiles": constant_tiles,
     "constant_blend": constant_blend,
 }
@@ -244,8 +280,13 @@ SQL = {
       m1 AS (SELECT u.z, u.x, u.y, u.vec_id, u.px, u.py, {_mix('screen')} FROM v u JOIN c o
         ON o.vec_id = u.vec_id AND o.px = u.px // 2 AND o.py = u.py // 2)
       SELECT {_K}, px, py, {_mix('screen')}, vec_id % 5 = 0 AS skip_cache FROM w u JOIN m1 o USING ({_K}, px, py)""",
-    "blend_errors": """SELECT 5 AS z, CAST(vec_id % 32 AS INT) AS x, CAST((vec_id // 32) % 32 AS INT) AS y, vec_id, 1 AS missing
+    "effect_gaussian_large": """SELECT 5 AS z, 0 AS x, 0 AS y, vec_id // 1024 AS vec_id, CAST(65536 AS BIGINT) AS pixels,
+      255 AS last, CAST(sum(255 * 64) AS BIGINT) AS alpha FROM embeddings GROUP BY vec_id // 1024""",
+    "blend_errors": """SELECT 5 AS z, CAST(vec_id % 32 AS INT) AS x, CAST((vec_id // 32) % 32 AS INT) AS y, vec_id, 1 AS missing, 0 AS repeated
       FROM embeddings WHERE vec_id % 20 IN (3, 13)""",
+    "blend_keys": """SELECT 5 AS z, CAST(vec_id % 32 AS INT) AS x, CAST((vec_id // 32) % 32 AS INT) AS y, vec_id,
+      CAST(vec_id % 11 = 4 AS INT) AS missing, CAST(vec_id % 11 = 4 AS INT) + CAST(vec_id % 7 = 2 AND vec_id % 11 <> 4 AS INT) AS repeated
+      FROM embeddings""",
     "resampled": W + _pix() + f""", t AS (SELECT CAST(unnest(range(12)) AS INT) AS nx), s AS (SELECT CAST(unnest(range(10)) AS INT) AS ny)
       SELECT {_K}, nx AS px, ny AS py, r, g, b, a FROM p, t, s WHERE px = nx * 8 // 12 AND py = ny * 8 // 10""",
     "cropped": W + _pix("p") + ", " + _pix("s", 64, alpha="g") + f""", e AS (SELECT *, {_TILE['s']} AS ts, {_TILE['n']} AS tn, {_TILE['w']} AS tw, {_TILE['e']} AS te,

@@ -3,7 +3,7 @@
 REQ = """req AS (
   SELECT event_id AS request_id, ts AS time,
     CASE k % 5 WHEN 0 THEN 'osm' WHEN 1 THEN 'osm-topo'
-      WHEN 2 THEN concat('noaa_poststorm_2023090', CAST(1 + k % 2 AS VARCHAR),
+      WHEN 2 THEN concat('harbour_survey_2023090', CAST(1 + k % 2 AS VARCHAR),
                          CASE WHEN k % 3 = 0 THEN 'a' ELSE 'b' END)
       WHEN 3 THEN concat('counties_', CAST(1800 + k AS VARCHAR)) ELSE 'debug-grid' END AS layer_name,
     z, CAST((event_id * 7919 + user_id * 104729) % n AS INT) AS x,
@@ -19,9 +19,9 @@ REQ = """req AS (
 
 RES = REQ + """, res AS (
   SELECT *, CASE WHEN layer_name IN ('osm', 'osm-topo') THEN layer_name
-      WHEN starts_with(layer_name, 'noaa_poststorm_')
+      WHEN starts_with(layer_name, 'harbour_survey_')
         AND regexp_full_match(substr(layer_name, 16), '[0-9]{8}[ab]')
-        THEN 'noaa_poststorm_imagery_in_parts'
+        THEN 'harbour_survey_by_date'
       WHEN starts_with(layer_name, 'counties_') AND regexp_full_match(substr(layer_name, 10), '[0-9]{4}')
         THEN 'counties_by_year'
       WHEN layer_name = 'debug-grid' THEN 'debug-grid' END AS layer_id

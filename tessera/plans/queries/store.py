@@ -78,11 +78,11 @@ def change_points(spark, sf):
 def _expectations(spark, sf):
     i = F.col("request_id")
     key = F.concat_ws("/", "layer_name", "z", "x", "y")
-    mode = F.get(F.array(*[F.lit(m) for m in ("content-type", "base-64", "file", "success")]), (i % 4).cast("int"))
+    mode = F.get(F.array(*[F.lit(m) for m in ("content-type", "base-64", "file", "success", "same")]), (i % 5).cast("int"))
     wanted = (
-        F.when(i % 4 == 0, F.lit("image/png"))
-        .when(i % 4 == 1, F.base64(F.concat(key, F.when(i % 3 == 0, F.lit("!")).otherwise(F.lit(""))).cast("binary")))
-        .when(i % 4 == 2, F.sha2(key.cast("binary"), 256))
+        F.when(i % 5 == 0, F.lit("image/png"))
+        .when(i % 5 == 1, F.base64(F.concat(key, F.when(i % 3 == 0, F.lit("!")).otherwise(F.lit(""))).cast("binary")))
+        .when(i % 5 == 2, F.sha2(key.cast("binary"), 256))
     )
     return d.tile_requests(spark, sf).select(
         F.col("request_id").alias("check_id"), *st.TILE, mode.alias("validation"), wanted.alias("expected")
@@ -90,7 +90,9 @@ def _expectations(spark, sf):
 
 
 def validate_tiles(spark, sf):
-    return st.validate_tiles(latest(spark, sf), _expectations(spark, sf)).select("check_id", "validation", "error")
+    before = st.latest_tiles(d.previous_store(spark, sf))
+    checks = st.validate_tiles(latest(spark, sf), _expectations(spark, sf), before)
+    return checks.select("check_id", "validation", "error")
 
 
 def _generated(spark, sf):
@@ -221,16 +223,17 @@ SQL = {
         FROM prev WINDOW w AS (PARTITION BY {K} ORDER BY written_at, version))
       SELECT {K}, version, content_type FROM l WHERE pc IS NOT NULL AND (pc <> content OR pt <> content_type)""",
     "validate_tiles": W + _LATEST + """, e AS (SELECT *, concat_ws('/', layer_name, z, x, y) AS k FROM req)
-      SELECT e.request_id AS check_id, CASE e.request_id % 4 WHEN 0 THEN 'content-type' WHEN 1 THEN 'base-64' WHEN 2 THEN 'file' ELSE 'success' END AS validation,
-        CASE WHEN l.version IS NULL THEN 'no tile' WHEN e.request_id % 4 = 0 AND l.content_type <> 'image/png' THEN 'content type'
-          WHEN e.request_id % 4 = 1 AND e.request_id % 3 = 0 THEN 'content' END AS error
+      SELECT e.request_id AS check_id, CASE e.request_id % 5 WHEN 0 THEN 'content-type' WHEN 1 THEN 'base-64' WHEN 2 THEN 'file' WHEN 3 THEN 'success' ELSE 'same' END AS validation,
+        CASE WHEN l.version IS NULL THEN 'no tile' WHEN e.request_id % 5 = 0 AND l.content_type <> 'image/png' THEN 'content type'
+          WHEN e.request_id % 5 = 1 AND e.request_id % 3 = 0 THEN 'content'
+          WHEN e.request_id % 5 = 4 AND l.version % 7 = 0 THEN 'result changed' END AS error
       FROM e LEFT JOIN latest l USING (layer_name, z, x, y)""",
     "verify_store": W + _STORE + ", " + _PREV + ", " + sql.store(5, "five") + f""", g0 AS (SELECT * FROM prev UNION ALL SELECT * FROM five WHERE version % 3 <> 0),
       {_GEN}
       SELECT {K}, generated, CASE WHEN generated THEN written END AS cache_write,
         CASE WHEN generated AND written THEN same END AS cache_read,
-        CASE WHEN NOT generated THEN 'upstream' WHEN NOT written THEN 'write failed' WHEN rc IS NULL THEN 'no result from cache lookup'
-          WHEN NOT same THEN 'cache result differs' END AS error FROM v""",
+        CASE WHEN NOT generated THEN 'upstream' WHEN NOT written THEN 'write failed' WHEN rc IS NULL THEN 'not in the store'
+          WHEN NOT same THEN 'other content in the store' END AS error FROM v""",
     "verify_summary": W + _STORE + ", " + _PREV + ", " + sql.store(5, "five") + f""", g0 AS (SELECT * FROM prev UNION ALL SELECT * FROM five WHERE version % 3 <> 0),
       {_GEN} SELECT layer_name, count(*) AS tiles, count(*) FILTER (generated) AS generated,
         count(*) FILTER (generated AND written) AS cache_write, count(*) FILTER (generated AND written AND same) AS cache_read,

@@ -129,8 +129,9 @@ def sink_fan_out(spark, sf):
 def recorded_batches(spark, sf):
     out = shared_dir(spark, "recorder")
 
-    def recorder(batch, params):
-        batch.groupBy("layer").agg(F.count(F.lit(1)).alias("n")).write.mode("append").parquet(params["path"])
+    def recorder(batch, params, batch_id):
+        counts = batch.groupBy("layer").agg(F.count(F.lit(1)).alias("n"))
+        counts.write.mode("overwrite").parquet(f"{params['path']}/batch_id={batch_id}")
 
     finish(
         ingest.record_with(

@@ -23,11 +23,10 @@ def tile_features(spark, sf):
 
 
 def tile_summary(spark, sf):
-    # A small part size, so that large tiles come in several parts.
-    tiles = v.build_vector_tiles(d.features(spark, sf), [0, 2, 4], part_size=500)
+    tiles = v.build_vector_tiles(d.features(spark, sf), [0, 2, 4], parts=4, spread=F.col("gid"))
     return tiles.groupBy("layer", *TILE).agg(
         F.sum("n").cast("long").alias("features"), F.sum(F.size("features")).cast("long").alias("held"),
-        (F.count(F.lit(1)) > 1).alias("split"),
+        F.count(F.lit(1)).alias("parts"),
     )
 
 
@@ -44,12 +43,10 @@ def filtered_tiles(spark, sf):
 
 
 def composite_tiles(spark, sf):
-    f = d.features(spark, sf)
-    parts = []
-    for kind in ("R", "A", "N"):
-        tiles = v.build_vector_tiles(f.where(F.col("kind") == kind), [4], layer=f"kind_{kind}")
-        parts.append(tiles.withColumn("skip_cache", (F.lit(kind == "A") & (F.col("x") % 2 == 0))))
-    return v.composite_vector(parts).select("layer", *TILE, "ord", "n", "skip_cache")
+    named = F.concat(F.lit("kind_"), F.col("kind"))
+    skip = (F.col("layer") == "kind_A") & (F.col("x") % 2 == 0)
+    tiles = v.layered_tiles(d.features(spark, sf), [4], named, ["kind_R", "kind_A", "kind_N"], skip, parts=1)
+    return tiles.select("layer", *TILE, "ord", "n", "skip_cache")
 
 
 def order_lines(spark, sf):
@@ -135,7 +132,7 @@ SQL = {
       FROM placed GROUP BY 1, 2, 3""",
     "vector_tile_features": W + _placed("[5]") + f" SELECT 'features' AS layer, z, x, y, gid, {_q()}, kind, weight FROM placed",
     "vector_tile_parts": W + _placed("[0, 2, 4]") + """ SELECT 'features' AS layer, z, x, y, count(*) AS features,
-      count(*) AS held, count(*) > 500 AS split FROM placed GROUP BY 2, 3, 4""",
+      count(*) AS held, count(DISTINCT gid % 4) AS parts FROM placed GROUP BY 2, 3, 4""",
     "limited_vector_tiles": W + _placed("[2, 4]") + f""", r AS (SELECT *, row_number() OVER (PARTITION BY z, x, y ORDER BY gid, u, v) AS rn FROM placed)
       SELECT 'few' AS layer, z, x, y, gid, {_q()} FROM r WHERE rn <= 7""",
     "filtered_vector_tiles": W + _placed("[3]", 0.0) + f""" SELECT 'returns' AS layer, z, x, y, gid, {_q(512)}, kind

@@ -63,7 +63,7 @@ def render(plan: DataFrame, renderer: str, params: Mapping | None = None) -> Dat
                 try:
                     content, kind = fn(layer, int(z), int(x), int(y), settings)
                     if content is None:
-                        raise ValueError("renderer returned no image and no error")
+                        raise ValueError("the tile is empty")
                     out.append((layer, z, x, y, content, kind, None))
                 except Exception as exc:  # noqa: BLE001 - reported as data
                     out.append((layer, z, x, y, None, None, f"{type(exc).__name__}: {exc}"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -28,18 +27,13 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder.
+    """A fresh folder that all executors share.
 
-    The folder comes from ``spark.checkpoint.dir``.  Only a local master may
-    fall back to a temporary folder; on a cluster a missing setting is an error
-    because other machines would not see a local path.
+    It lies under the folder named by ``spark.checkpoint.dir``, else under the
+    session's checkpoint folder, else under the warehouse folder; which of these
+    applies does not depend on the master.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(root)
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return os.path.join(root.rstrip("/"), f"{name}-{uuid.uuid4().hex[:12]}")

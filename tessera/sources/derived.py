@@ -32,7 +32,7 @@ def requests_from_events(events: DataFrame) -> DataFrame:
     event = F.col("event_id")
     kind = F.col("k") % 5
     storm = F.concat(
-        F.lit("noaa_poststorm_2023090"),
+        F.lit("harbour_survey_2023090"),
         (1 + F.col("k") % 2).cast("string"),
         F.when(F.col("k") % 3 == 0, F.lit("a")).otherwise(F.lit("b")),
     )
@@ -74,8 +74,8 @@ LAYERS = (
     Layer("osm"),
     Layer("osm-topo"),
     Layer(
-        "noaa_poststorm_imagery_in_parts",
-        pattern="noaa_poststorm_{version}",
+        "harbour_survey_by_date",
+        pattern="harbour_survey_{version}",
         rules={"version": "[0-9]{8}[ab]"},
     ),
     Layer("counties_by_year", pattern="counties_{year}", rules={"year": "^[0-9]{4}$"}),

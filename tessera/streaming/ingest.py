@@ -97,14 +97,18 @@ def dashboard_views(counts: DataFrame) -> dict[str, DataFrame]:
 def live_dashboard(
     events: DataFrame, target: str, checkpoint: str, refresh: str = REFRESH, available_now: bool = False
 ) -> StreamingQuery:
-    """Keep the dashboard views current under ``target/<view>/batch_id=N``."""
+    """Keep the dashboard views current under ``target/<view>``.
+
+    A view has two slots that are replaced in turn, so readers of the newer one are not disturbed and
+    the number of folders does not grow.
+    """
 
     def publish(counts: DataFrame, batch_id: int) -> None:
         counts.persist()
         try:
             for name, view in dashboard_views(counts).items():
-                view.coalesce(1).write.mode("overwrite").parquet(
-                    f"{target}/{name}/batch_id={batch_id}"
+                view.withColumn("batch_id", F.lit(batch_id).cast("long")).coalesce(1).write.mode("overwrite").parquet(
+                    f"{target}/{name}/slot={batch_id % 2}"
                 )
         finally:
             counts.unpersist()
@@ -123,7 +127,7 @@ def read_view(spark: SparkSession, target: str, name: str) -> DataFrame:
     """Latest published state of one dashboard view."""
     views = spark.read.parquet(f"{target}/{name}")
     latest = views.agg(F.max("batch_id").alias("batch_id"))
-    return views.join(latest, "batch_id", "left_semi").drop("batch_id")
+    return views.join(latest, "batch_id", "left_semi").drop("batch_id", "slot")
 
 
 def windowed_usage(events: DataFrame, window: str = "5 minutes", lateness: str = "10 minutes") -> DataFrame:
@@ -162,15 +166,19 @@ def enrich(requests: DataFrame, layers: Sequence[Layer], grants: DataFrame) -> D
 
 def record_with(
     events: DataFrame,
-    recorder: Callable[[DataFrame, Mapping], None],
+    recorder: Callable[[DataFrame, Mapping, int], None],
     params: Mapping,
     checkpoint: str,
     every: str = MAX_AGE,
     available_now: bool = False,
 ) -> StreamingQuery:
-    """Hand each micro-batch and the parameters to a user's recorder."""
+    """Hand each micro-batch, the parameters and the batch's number to a user's recorder.
+
+    A batch may come again after a failure, with the same number; a recorder that writes by number,
+    replacing what is there, counts it once.
+    """
     return (
-        events.writeStream.foreachBatch(lambda batch, _id: recorder(batch, params))
+        events.writeStream.foreachBatch(lambda batch, batch_id: recorder(batch, params, batch_id))
         .option("checkpointLocation", checkpoint)
         .trigger(**trigger_of(every, available_now))
         .start()

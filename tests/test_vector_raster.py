@@ -51,7 +51,7 @@ def test_points_brute_force(spark):
 
 def test_parts_hold_everything(spark):
     rows = [(i, 10 + i / 1000, 10.0, "") for i in range(1000)]
-    tiles = v.build_vector_tiles(points(spark, rows), [0, 8], part_size=100).cache()
+    tiles = v.build_vector_tiles(points(spark, rows), [0, 8], parts=10).cache()
     low = tiles.where("z = 0").collect()
     assert sum(t["n"] for t in low) == 1000 and len(low) == 10
     assert max(t["n"] for t in low) < 200
@@ -60,7 +60,7 @@ def test_parts_hold_everything(spark):
 
 def test_limit_and_filter(spark):
     rows = [(i, 10.0, 10.0, "a" if i % 2 else "b") for i in range(50)]
-    limited = v.build_vector_tiles(points(spark, rows), [0], limit=3).first()
+    limited = v.build_vector_tiles(points(spark, rows), [0], limit=3, parts=1).first()
     assert [f["gid"] for f in limited["features"]] == [0, 1, 2]
     chosen = v.build_vector_tiles(
         points(spark, rows), [0], attributes=["str"], where="str = :s and z = 0", params={"s": "a' or true --"}
@@ -209,3 +209,63 @@ def test_constant_and_pack(spark):
     t = tile(spark, ([1, 2, 3, 4], 5, 6, 255))
     again = r.pack(r.pixels(t, KEYS), KEYS).first()
     assert again["r"] == [1, 2, 3, 4] and (again["width"], again["height"]) == (2, 2)
+
+
+def test_repeated_and_absent_keys_are_errors(spark):
+    a, b = tile(spark, (9, 9, 9, 255)), tile(spark, (1, 1, 1, 255))
+    far = tile(spark, (1, 1, 1, 255), x=1)
+    twice = a.unionByName(a)
+    for inputs, told in (([twice, far], {(0, 1, 1), (1, 1, 0)}), ([twice, b], {(0, 0, 1)}), ([a, b], set())):
+        found = r.blend_errors(inputs, KEYS)
+        assert {(e["x"], e["missing"], e["repeated"]) for e in found.collect()} == told
+        assert r.blend(inputs, KEYS).select("x").distinct().count() == (1 if not told else 0)
+
+
+@pytest.mark.parametrize("mode,amount", [("gaussian", 1.5), ("dilate", 2), ("erode", 2), ("median", 1.6), ("edge detection", 2)])
+def test_wide_neighbourhoods_equal_brute_force(spark, mode, amount):
+    rng, w, h = random.Random(7), 7, 5
+    bands = {c: [rng.randrange(256) for _ in range(w * h)] for c in "rgba"}
+    row = spark.createDataFrame(
+        [(1, 0, 0, w, h, *bands.values())],
+        "z int, x int, y int, width int, height int, r array<int>, g array<int>, b array<int>, a array<int>",
+    )
+    got = {(p["px"], p["py"]): (p["r"], p["g"], p["b"], p["a"]) for p in r.focal_effect(row, KEYS, mode, amount).collect()}
+
+    def at(c, x, y):
+        return bands[c][max(0, min(h - 1, y)) * w + max(0, min(w - 1, x))]
+
+    def byte(v):
+        return max(0, min(255, math.floor(v + 0.5)))
+
+    for x in range(w):
+        for y in range(h):
+            if mode == "gaussian":
+                half = math.ceil(amount)
+                weight = {k: math.exp(-(k * k) / (4 * amount)) for k in range(-half, half + 1)}
+                total = sum(weight.values()) ** 2
+                want = [
+                    sum(at(c, x + i, y + j) * weight[i] * weight[j] for i in weight for j in weight) / total for c in "rgb"
+                ]
+                assert all(abs(g - v) <= 0.5 + 1e-6 for g, v in zip(got[x, y], want)) and got[x, y][3] == at("a", x, y)
+            elif mode == "edge detection":
+                half = math.ceil(2 * amount + 1) // 2
+                reach = range(-half, half + 1)
+                want = [byte(at(c, x, y) * len(reach) ** 2 - sum(at(c, x + i, y + j) for i in reach for j in reach)) for c in "rgb"]
+                assert got[x, y] == (*want, at("a", x, y))
+            else:
+                half = int(2 * amount + 1.5) // 2
+                reach = range(-half, half + 1)
+                near = [tuple(at(c, x + i, y + j) for c in "rgba") for i in reach for j in reach]
+                near.sort(key=lambda p: (p[0] * 3 + p[1] * 6 + p[2], p))
+                assert got[x, y] == near[{"dilate": -1, "erode": 0, "median": len(near) // 2}[mode]]
+
+
+def test_composite_of_one_table_takes_one_scan(spark, tmp_path):
+    rows = [(i, 10.0 + i / 100, 10.0, "abc"[i % 3]) for i in range(90)]
+    points(spark, rows).write.parquet(str(tmp_path / "p"))
+    stored = spark.read.parquet(str(tmp_path / "p"))
+    out = v.layered_tiles(stored, [3], F.col("str"), ["b", "a"], F.col("layer") == "a", parts=1)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") <= 2
+    found = {(t["layer"], t["ord"], t["n"], t["skip_cache"]) for t in out.collect()}
+    assert found == {("b", 0, 30, True), ("a", 1, 30, True)}
