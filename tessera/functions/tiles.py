@@ -1,8 +1,8 @@
 """Web-Mercator tile-pyramid maths as plain Column expressions.
 
-Every function takes Columns (or column names) and returns a Column, so the
-maths stays inside whole-stage codegen and filters on it can be pushed around
-by Catalyst.  Bounds are ``STRUCT<south,north,west,east: DOUBLE, srid: INT>``.
+Every function takes Columns (or column names) and returns a Column, so filters
+on it can be pushed around by Catalyst.  What goes through ``let`` (geohashes, cover
+ranges) is a lambda and is interpreted; all else is generated code.  Bounds are ``STRUCT<south,north,west,east: DOUBLE, srid: INT>``.
 """
 
 from __future__ import annotations

@@ -37,7 +37,8 @@ def read_features(
     """Feature table from Parquet (or JDBC): only the listed columns are read.
 
     ``bbox`` is (west, south, east, north); on plain lon/lat columns it becomes a
-    pushed filter that skips row groups.
+    pushed filter that skips row groups, on a geometry column it keeps features
+    whose own box meets it.
     """
     if jdbc is not None:
         source = spark.read.format("jdbc").options(dbtable=table, **jdbc).load()
@@ -49,6 +50,12 @@ def read_features(
         west, south, east, north = bbox
         lon, lat = (F.col(c) for c in geometry)
         source = source.where(lon.between(west, east) & lat.between(south, north))
+    elif bbox:
+        west, south, east, north = bbox
+        x, y = F.col(f"{geometry[0]}.coords.x"), F.col(f"{geometry[0]}.coords.y")
+        source = source.where(
+            (F.array_max(x) >= west) & (F.array_min(x) <= east) & (F.array_max(y) >= south) & (F.array_min(y) <= north)
+        )
     return source.select(F.col(gid).alias("gid"), *geometry, *attributes)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.tiles import bounds
 from tessera.operators import raster as r
+from tessera.operators.layers import expand_pattern
 from tessera.plans.queries import sql
 from tessera.sources import derived as d
 
@@ -83,6 +84,15 @@ def smoothed_large(spark, sf):
     return px.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("pixels"), F.max("px").alias("last"), F.sum("a").alias("alpha"))
 
 
+def blended_pattern(spark, sf):
+    """Three scans of the same place, named by a pattern and its values, later ones below."""
+    i = F.col("vec_id")
+    store = base(spark, sf).withColumn("layer_name", F.concat(F.lit("scan_"), (i % 3).cast("string")))
+    store = store.withColumn("place", F.floor(i / 3))
+    names = [name for _, name in expand_pattern("scan_{n}", [{"n": "2"}, {"n": "0"}, {"n": "1"}])]
+    return r.blend_layers(store, names, ["place"], "lighten").drop("skip_cache")
+
+
 def resampled(spark, sf):
     return r.resample(base(spark, sf), KEYS, 12, 10)
 
@@ -152,6 +162,7 @@ QUERIES = {
     "blend_resampled": blend_resampled,
     "blend_errors": blend_errors,
     "blend_keys": blend_keys,
+    "blended_pattern": blended_pattern,
     "resampled": resampled,
     "cropped": cropped,
     "rotated_channels": rotated,
@@ -284,6 +295,8 @@ SQL = {
       255 AS last, CAST(sum(255 * 64) AS BIGINT) AS alpha FROM embeddings GROUP BY vec_id // 1024""",
     "blend_errors": """SELECT 5 AS z, CAST(vec_id % 32 AS INT) AS x, CAST((vec_id // 32) % 32 AS INT) AS y, vec_id, 1 AS missing, 0 AS repeated
       FROM embeddings WHERE vec_id % 20 IN (3, 13)""",
+    "blended_pattern": W + _pix() + """ SELECT vec_id // 3 AS place, px, py, max(r) AS r, max(g) AS g, max(b) AS b, 255 AS a
+      FROM p GROUP BY ALL HAVING count(*) = 3""",
     "blend_keys": """SELECT 5 AS z, CAST(vec_id % 32 AS INT) AS x, CAST((vec_id // 32) % 32 AS INT) AS y, vec_id,
       CAST(vec_id % 11 = 4 AS INT) AS missing, CAST(vec_id % 11 = 4 AS INT) + CAST(vec_id % 7 = 2 AND vec_id % 11 <> 4 AS INT) AS repeated
       FROM embeddings""",

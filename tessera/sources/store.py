@@ -52,6 +52,15 @@ def scan_tile_store(
     return found.select(*columns, *(["content"] if with_content else []))
 
 
+def list_tile_store(keys: DataFrame, layout: str, prefix: str = "", key: str = "key") -> DataFrame:
+    """Tiles named by a listing of object keys, one per row; further columns (size, time) stay.
+
+    For large stores: nothing is listed on the driver, and foreign keys are left out.
+    """
+    found = keys.withColumn("_t", parse_store_key(key, layout, prefix)).where(F.col("_t").isNotNull())
+    return found.select("_t.*", *keys.columns)
+
+
 def storable(tiles: DataFrame) -> DataFrame:
     """Rows that may be stored: no error, not flagged to skip, layer not uncached."""
     out = tiles
