@@ -143,7 +143,7 @@ def render_plan(spark, sf):
         return f"{layer}:{z}:{x}:{y}".encode(), "text/plain"
 
     register_renderer("checker", checker)
-    plan = seed_plan(d.regions(spark, sf)).select(*st.TILE).distinct()
+    plan = seed_plan(d.regions(spark, sf), on_limit="report").select(*st.TILE).distinct()
     return render(plan, "checker", {"fail": 7}).withColumn("content", F.col("content").cast("string"))
 
 

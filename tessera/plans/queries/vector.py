@@ -49,19 +49,24 @@ def composite_tiles(spark, sf):
     return tiles.select("layer", *TILE, "ord", "n", "skip_cache")
 
 
-def order_lines(spark, sf):
-    """One line per order through its items; cut at tile edges."""
+def geometries(spark, sf):
+    """One line or polygon per order through its items."""
     order = F.col("gid") / 10
     paths = d.features(spark, sf).groupBy(F.floor(order).alias("gid")).agg(
         F.array_sort(F.collect_list(F.struct("gid", "lon", "lat"))).alias("p")
     )
-    geoms = paths.select(
+    return paths.select(
         "gid",
         F.struct(
             F.when(F.col("gid") % 3 == 0, F.lit("polygon")).otherwise(F.lit("line")).alias("kind"),
             F.transform("p", lambda c: F.struct(c["lon"].alias("x"), c["lat"].alias("y"))).alias("coords"),
         ).alias("geom"),
-    ).where(F.size("geom.coords") > 1)
+    )
+
+
+def order_lines(spark, sf):
+    """The lines and polygons of all orders with two items or more, cut at tile edges."""
+    geoms = geometries(spark, sf).where(F.size("geom.coords") > 1)
     # Short lines: later points are pulled close to the first.
     near = F.transform(
         "geom.coords",

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans.queries import logs, raster, store, stream, tiles, usage, vector
+from tessera.plans.queries import jobs, logs, raster, store, stream, tiles, usage, vector
 
-MODULES = (usage, tiles, logs, store, vector, raster, stream)
+MODULES = (usage, tiles, logs, store, vector, raster, stream, jobs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -149,9 +149,8 @@ def to_tile_events(
     """Events of the served tiles.  One narrow pass: no join, no shuffle."""
     served = requests.where(F.col("status").isin(*SUCCESS_STATUSES))
     catalog = check_catalog(layers)
-    # Null, for no layer, is in no list.
-    recorded = [i for i, layer in enumerate(catalog) if not layer.skip_analytics]
-    known = resolve_layers(served, catalog).where(F.col("layer_ord").isin(*recorded))
+    # Null, for no layer, passes no filter.
+    known = resolve_layers(served, catalog).where(~F.col("skip_analytics"))
     return known.select(
         F.col("request_id").alias("event_id"),
         "time",
