@@ -23,8 +23,12 @@ equal ids are packed like any others; an empty table gives no pieces.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +42,11 @@ STEP = 8
 DEPTH = 3
 END_ID = 1
 #: Words a task remembers the ids of; beyond it starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
 BUCKETS = 1 << 18
 
-_encoders: dict[str, tuple[object, dict[bytes, bytes]]] = {}
+#: A word of plain Latin letters and the signs after it.
+PLAIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 def default_tokenizer() -> str:
@@ -50,30 +55,83 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode_all(texts: list[bytes], path: str) -> list[bytes]:
-    """Token ids of each text as little-endian unsigned 32-bit numbers.
+def byte_letters() -> list[str]:
+    """The character by which byte-level vocabularies write each byte."""
+    kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = iter(range(0x100, 0x200))
+    return [chr(b) if b in kept else chr(next(others)) for b in range(0x100)]
+
 
-    The tokenizer never joins over white space, so every word is encoded once and looked up after.
+class Encoder:
+    """Token ids as little-endian unsigned 32-bit numbers, looked up word by word.
+
+    The tokenizer never joins over white space, so a word is encoded once and looked up after.  A new
+    word of Latin letters goes to the tokenizer's model directly, its signs apart, which skips the
+    steps that leave such words as they are; everything else goes through the whole tokenizer.  Whether
+    the short way holds is tried out when the tokenizer is loaded.
     """
-    if path not in _encoders:
-        import os
 
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _encoders[path] = (Tokenizer.from_file(path), {})
-    tokenizer, known = _encoders[path]
-    if len(known) > CACHE_WORDS:
-        known.clear()
-    split = [text.split() for text in texts]
-    new = list({word for words in split for word in words if word not in known})
-    for at in range(0, len(new), 2000):
-        part = new[at : at + 2000]
-        found = tokenizer.encode_batch([w.decode("utf-8") for w in part], add_special_tokens=False)
-        for word, ids in zip(part, found):
-            known[word] = np.array(ids.ids, "<u4").tobytes()
-    look = known.__getitem__
-    return [b"".join(map(look, words)) for words in split]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.letters = {chr(c): "".join(byte_letters()[b] for b in chr(c).encode()) for c in range(0x80, 0x100)}
+        self.letters = str.maketrans(self.letters)
+        rng = np.random.default_rng(1)
+        alphabet = np.array(list("aaabcdeeeghilmnorstuyzABÉßäöüéèêñç"))
+        words = ["".join(rng.choice(alphabet, n)) + sign for n in (1, 2, 3, 5, 8, 13) for sign in ("", ",", "!!", ".)") for _ in range(8)]
+        self.short_way = True
+        self.short_way = all(self.encode(w.encode()) == self.whole(w) for w in words)
+        self.known.clear()
+        self.parts.clear()
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def letters_ids(self, word: str) -> bytes:
+        ids = self.parts.get(word)
+        if ids is None:
+            plain = word if word.isascii() else word.translate(self.letters)
+            ids = self.parts[word] = array("I", [t.id for t in self.tokenizer.model.tokenize(plain)]).tobytes()
+        return ids
+
+    def encode(self, raw: bytes) -> bytes:
+        """Ids of one word without white space."""
+        word = raw.decode("utf-8")
+        found = PLAIN_WORD.fullmatch(word) if self.short_way else None
+        if found is None:
+            return self.whole(word)
+        ids = self.letters_ids(found[1].lower())
+        if found[2]:
+            signs = self.parts.get(found[2])
+            if signs is None:
+                signs = self.parts[found[2]] = self.whole(found[2])
+            ids += signs
+        return ids
+
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        known = self.known
+        if len(known) > CACHE_WORDS:
+            known.clear()
+            self.parts.clear()
+        split = [text.split() for text in texts]
+        for word in set(chain.from_iterable(split)).difference(known):
+            known[word] = self.encode(word)
+        look = known.__getitem__
+        return [b"".join(map(look, words)) for words in split]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encode_all(texts: list[bytes], path: str) -> list[bytes]:
+    """Token ids of each text; a worker keeps one encoder per tokenizer."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path].encode_all(texts)
 
 
 def pieces_of(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
