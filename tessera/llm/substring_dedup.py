@@ -288,4 +288,23 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_substring_dedup": op2_substring_dedup}
-SQL: dict[str, str] = {}
+SQL = {
+    "op2_substring_dedup": r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS d, doc_id, coalesce(doc_id, 9223372036854775807) AS k,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT d, k, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS seq
+  FROM (SELECT d, k, w, unnest(generate_series(1, len(w) - 49)) AS i FROM doc WHERE len(w) >= 50)),
+first AS (SELECT seq, min(k) AS least FROM win GROUP BY seq),
+gone AS (
+  SELECT DISTINCT d, unnest(generate_series(i, i + 49)) AS pos
+  FROM win JOIN first USING (seq) WHERE least < k),
+word AS (SELECT d, unnest(w) AS word, unnest(generate_series(1, len(w))) AS pos FROM doc),
+kept AS (
+  SELECT d, string_agg(word, ' ' ORDER BY pos) AS text FROM word ANTI JOIN gone USING (d, pos) GROUP BY d),
+lost AS (SELECT d, count(*) AS n FROM gone GROUP BY d)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(text, '')) AS kept_sha256
+FROM doc LEFT JOIN lost USING (d) LEFT JOIN kept USING (d)"""
+}

@@ -6,6 +6,7 @@ import pytest
 
 from tessera.llm import substring_dedup as sd
 from tessera.llm.common import NO_ID
+from tests.oracle import compare, connect
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -67,6 +68,11 @@ def test_whole_table(spark):
     assert sorted(map(tuple, got)) == sorted(brute(rows, 50))
 
 
+def test_matches_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    assert compare(spark, connect(sf), sf, sd.op2_substring_dedup, sd.SQL["op2_substring_dedup"]) is None
+
+
 def test_kept_text_keeps_spacing_and_extra_columns(spark):
     same = " ".join(f"v{i}" for i in range(25))
     rows = [(1, same, "k1", 5, 1), (2, f"a\nb  {same}\n\nc  d", "k2", 6, 2)]
