@@ -16,9 +16,9 @@ similarity.
 
 **Joining.**  Equal texts are compacted first.  ``BANDS`` bands of four
 coordinates give buckets.  A bucket with up to ``PAIRS`` texts yields its pairs;
-larger ones are split by further coordinates of the band until they are small,
-and at every level each text of a too large bucket is also paired with the
-bucket's hub, the text that meets most others.  So a group of any size costs a bounded number of
+larger ones are split by further coordinates of the band until they are small.
+Each text of a too large bucket is also paired with the bucket's hub: on the first
+level the text that meets most others, further down one drawn by hash.  So a group of any size costs a bounded number of
 candidates per text.
 
 **Verifying.**  Candidate pairs are grouped by the connected component of the
@@ -70,7 +70,7 @@ BANDS = 32
 #: Coordinates of a band that make its key, level by level.
 LEVELS = (4, 8, 12, 16, 24)
 PAIRS = 16
-BLOCK_TEXTS = 400
+BLOCK_TEXTS = 800
 
 _POISSON = np.cumsum([np.exp(-1.0) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320)])
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -219,30 +219,39 @@ def bucket_rows(texts: DataFrame, depth: int) -> DataFrame:
     return texts.select("node", "sig", "bands").mapInArrow(scan, "key long, band int, node long")
 
 
-def candidate_pairs(texts: DataFrame) -> DataFrame:
-    """Pairs ``a < b`` of nodes that are to be compared; their number is linear in the texts."""
+def candidate_pairs(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``a < b`` of nodes that are to be compared, and edges that connect the same nodes.
+
+    The number of pairs is linear in the texts.  The edges tie the texts of each bucket of the first
+    level to its smallest; all pairs lie within such buckets.
+    """
     worded = texts.where("worded").select("node", "sig")
-    rows, out = bucket_rows(worded, LEVELS[0]), []
+    rows, out, ties = bucket_rows(worded, LEVELS[0]), [], None
     for level, depth in enumerate(LEVELS):
-        sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        met = staged(rows.join(sizes, "key"), "buckets")
+        any_hub = F.min_by("node", F.xxhash64("node", "key"))
+        sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), any_hub.alias("hub"))
+        met = staged(rows.join(sizes.where("n > 1"), "key"), "buckets")
         small = met.where(F.col("n") <= PAIRS).select("key", "node")
         left, right = small.withColumnRenamed("node", "a"), small.withColumnRenamed("node", "b")
         out.append(left.join(right, "key").where("a < b").select("a", "b"))
         large = met.where(F.col("n") > PAIRS)
+        if ties is None:
+            ties = met.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
         if large.isEmpty():
             break
         reach = large.groupBy("node").agg(F.sum("n").alias("reach"), F.collect_list("band").alias("bands"))
         reach = staged(reach, "reach")
-        placed = large.join(reach.select("node", "reach"), "node")
-        hubs = placed.groupBy("key").agg(F.min_by("node", F.struct(-F.col("reach"), F.col("node"))).alias("hub"))
-        out.append(placed.join(hubs, "key").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")))
+        if level == 0:
+            placed = large.drop("hub").join(reach.select("node", "reach"), "node")
+            hubs = placed.groupBy("key").agg(F.min_by("node", F.struct(-F.col("reach"), F.col("node"))).alias("hub"))
+            large = placed.join(hubs, "key")
+        out.append(large.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")))
         if depth != LEVELS[-1]:
             rows = bucket_rows(worded.join(reach.select("node", "bands"), "node"), LEVELS[level + 1])
     pairs = out[0]
     for more in out[1:]:
         pairs = pairs.unionByName(more)
-    return staged(pairs.where("a < b").distinct(), "pairs")
+    return staged(pairs.where("a < b").distinct(), "pairs"), ties
 
 
 def similarity(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> float:
@@ -290,9 +299,10 @@ def linked(nodes: pd.DataFrame, pairs: pd.DataFrame, least: float) -> pd.DataFra
     return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
 
 
-def links_of(docs: DataFrame, texts: DataFrame, pairs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+def links_of(docs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Pairs of texts that are similar enough; per block only as many as connect its texts."""
-    whole = staged(components(pairs.select("a", "b"), "candidates"), "groups")
+    pairs, ties = candidate_pairs(texts)
+    whole = staged(components(ties, "candidates"), "groups")
     sizes = whole.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK_TEXTS).alias("parts"))
     placed = whole.join(sizes, "comp")
     placed = staged(placed.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))), "placed")
@@ -320,7 +330,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """``doc_id, k, t, class_id, first`` per row; ``first`` marks the class's one row to keep (with its copies)."""
     rows = staged(sketches(docs), "sketches")
     texts = distinct_texts(rows)
-    links = staged(links_of(docs, texts, candidate_pairs(texts), least), "links")
+    links = staged(links_of(docs, texts, least), "links")
     joined = texts.select("one", "two", "worded", "node", "k", "t").join(components(links), "node", "left")
     joined = joined.withColumn("comp", F.coalesce("comp", "node"))
     smallest = joined.groupBy("comp").agg(F.min(F.struct("k", "t")).alias("kept"))

@@ -18,7 +18,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     computed twice.
     """
     both = edges.where("a <> b").select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low"))
-    now, before = staged(both.distinct(), name), None
+    now = staged(both.distinct(), name)
     while True:
         links = now.select(F.col("high").alias("node"), F.col("low").alias("other"))
         links = links.unionByName(now.select(F.col("low").alias("node"), F.col("high").alias("other")))
@@ -31,9 +31,12 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         smaller = now.join(least, "high").where("low <> least").select(F.col("low").alias("high"), F.col("least").alias("low"))
         now = staged(smaller.unionByName(least.select("high", F.col("least").alias("low"))).distinct(), name)
 
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("high", "low").cast("decimal(38,0)"))).first()
-        if state == before:
+        # Done when every node hangs below one other, and nothing hangs below that node but leaves.
+        ends = now.select(F.col("high").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+            now.select(F.col("low").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+        )
+        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if ends.where("up > 1 or (up > 0 and down > 0)").isEmpty():
             break
-        before = state
     roots = now.select(F.col("low").alias("node"), F.col("low").alias("comp")).distinct()
     return now.select(F.col("high").alias("node"), F.col("low").alias("comp")).unionByName(roots)
