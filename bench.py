@@ -27,6 +27,7 @@ HEADLINE = (
     "store_stats", "feature_tiles", "vector_tile_features", "vector_tile_parts", "limited_vector_tiles",
     "composite_vector_tiles", "clipped_lines", "box_tiles",
     "blend_normal", "blend_resampled", "cropped", "effect_hue", "effect_gaussian", "effect_median", "effect_sobel",
+    "effect_gaussian_large", "long_catalog", "stream_windows", "stream_first_fetches",
 )
 RUNS = 3
 

@@ -256,6 +256,9 @@ def test_scopes_and_claims(value):
     assert not value(a.claims_valid(L(1000 + 86_401), L(1000)))
     assert not value(a.claims_valid(L(None).cast("long"), L(1000)))
     assert not value(a.claims_valid(L(2000), L(1000), aud=F.array(L("b")), audience="a"))
+    assert value(a.claims_valid(L(2000), L(1000), nbf=L(1005)))
+    assert not value(a.claims_valid(L(2000), L(1000), nbf=L(1006)))
+    assert value(a.claims_valid(L(2000), L(1000), nbf=L(None).cast("long")))
 
 
 def test_response_policy(value):

@@ -320,3 +320,27 @@ def test_seed_run(spark, tmp_path):
     assert {(r["x"], r["y"]) for r in stored.collect()} == {(0, 1)}
     none = render(spark.createDataFrame([("l", 0, 1, 0)], "layer_name string, z int, x int, y int"), "test").first()
     assert none["error"] == "OSError: upstream"
+
+
+def test_same_needs_an_earlier_tile(spark):
+    schema = "layer_name string, z int, x int, y int, content binary, content_type string"
+    now = spark.createDataFrame([("l", 1, x, 0, b"a", "t") for x in range(3)], schema)
+    before = spark.createDataFrame([("l", 1, 0, 0, b"a", "t"), ("l", 1, 1, 0, b"b", "t")], schema)
+    asked = now.select("layer_name", "z", "x", "y").withColumns({"validation": F.lit("same"), "expected": F.lit(None).cast("string")})
+    told = {r["x"]: r["error"] for r in st.validate_tiles(now, asked, before).collect()}
+    assert told == {0: None, 1: "result changed", 2: "no previous tile"}
+    assert {r["error"] for r in st.validate_tiles(now, asked).collect()} == {"no previous tile"}
+
+
+def test_store_listing_and_boxes_of_geometries(spark, tmp_path):
+    from tessera.operators.vector import read_features
+    from tessera.sources.store import list_tile_store
+
+    keys = spark.createDataFrame([("p/a/1/0/1", 5), ("other", 6), ("p/b/c/2/3/1", 7)], "key string, size int")
+    found = list_tile_store(keys, "object", "p/").collect()
+    assert {(r["layer_name"], r["z"], r["x"], r["y"], r["size"]) for r in found} >= {("a", 1, 0, 1, 5)} and len(found) <= 2
+    geoms = [(1, ("line", [(0.0, 0.0), (5.0, 5.0)])), (2, ("line", [(7.0, 7.0), (9.0, 9.0)]))]
+    frame = spark.createDataFrame(geoms, "gid long, geom struct<kind:string,coords:array<struct<x:double,y:double>>>")
+    frame.write.parquet(str(tmp_path / "g"))
+    kept = read_features(spark, str(tmp_path / "g"), geometry=["geom"], bbox=(4.0, 4.0, 6.0, 6.0)).collect()
+    assert [r["gid"] for r in kept] == [1]

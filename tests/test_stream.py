@@ -131,3 +131,26 @@ def test_listener_counts(spark, split_requests, tmp_path):
         assert listener.counts["counted"] == 1000
     finally:
         spark.streams.removeListener(listener)
+
+
+def test_a_recorder_counts_a_replayed_batch_once(spark, split_requests, tmp_path):
+    calls = []
+
+    def recorder(batch, params, batch_id):
+        calls.append(batch_id)
+        batch.select("request_id").write.mode("overwrite").parquet(f"{params['path']}/batch_id={batch_id}")
+        if len(calls) == 3:
+            raise OSError("after the write")
+
+    def run():
+        finish(
+            ingest.record_with(
+                stream(spark, split_requests), recorder, {"path": f"{tmp_path}/rows"}, f"{tmp_path}/cp", available_now=True
+            )
+        )
+
+    with pytest.raises(Exception, match="after the write"):
+        run()
+    run()
+    assert calls.count(calls[2]) == 2 and len(set(calls)) == 7
+    assert spark.read.parquet(f"{tmp_path}/rows").count() == split_requests[1].count()
