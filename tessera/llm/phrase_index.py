@@ -98,9 +98,11 @@ def item_windows(items: DataFrame, terms: DataFrame, width: int) -> tuple[DataFr
 
 
 def ranked_terms(parts: DataFrame, index: DataFrame) -> DataFrame:
-    """Words of each window with ``place`` 1 for the rarest term of the corpus."""
-    wanted = parts.select("term_id").distinct()
-    counts = index.join(wanted, "term_id", "left_semi").groupBy("term_id").agg(F.count("*").alias("postings"))
+    """Words of each window with ``place`` 1 for the rarest term of the corpus.
+
+    All postings are counted, partly before the shuffle, so a frequent term's list is in no single task.
+    """
+    counts = index.groupBy("term_id").agg(F.count("*").alias("postings"))
     counted = parts.join(counts, "term_id", "left")
     order = Window.partitionBy("win").orderBy(F.coalesce("postings", F.lit(0)), "off")
     return staged(counted.withColumn("place", F.row_number().over(order)), "ranked")
@@ -111,12 +113,15 @@ def phrase_matches(index: DataFrame, parts: DataFrame) -> DataFrame:
     postings = index.where(F.col("term_id") != LENGTH).select("term_id", "d", "pos")
     ranked = ranked_terms(parts, index)
     rarest = ranked.where("place = 1 and postings is not null").select("term_id", "win", "n", "off")
+    few = ranked.where("place = 1").count() <= BROADCAST_TERMS
+    hint = F.broadcast if few else (lambda df: df)
+    rarest = hint(rarest)
     found = postings.join(rarest, "term_id").select("win", "n", "d", (F.col("pos") - F.col("off")).alias("start"))
     found = found.where("start > 0")
 
     second = ranked.where("place = 2").select("win", "off", "term_id")
-    lists = postings.join(second.select("term_id").distinct(), "term_id", "left_semi")
-    wanted = found.join(second, "win", "left").withColumn("pos", F.col("start") + F.col("off"))
+    lists = postings.join(hint(second.select("term_id").distinct()), "term_id", "left_semi")
+    wanted = found.join(hint(second), "win", "left").withColumn("pos", F.col("start") + F.col("off"))
     single = wanted.where(F.col("term_id").isNull())
     pairs = wanted.where(F.col("term_id").isNotNull()).join(lists, ["term_id", "d", "pos"])
     keep = ["win", "n", "d", "start"]
