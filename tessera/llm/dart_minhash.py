@@ -21,6 +21,11 @@ Each text of a too large bucket is also paired with the bucket's hub: on the fir
 level the text that meets most others, further down one drawn by hash.  So a group of any size costs a bounded number of
 candidates per text.
 
+**Completing.**  Where the links so far leave the texts of a too large bucket in more than one class, all pairs of such
+texts across classes are looked for by a prefix filter: of texts that are similar enough, the rarest shingles, those before
+the last ``SIMILARITY`` of the weight, have one in common, and what follows the first common one must hold the overlap.
+Pairs within one class are never made; a shingle with many texts is dealt over slices of ``BLOCK_TEXTS``.
+
 **Verifying.**  Candidate pairs are grouped by the connected component of the
 candidate graph, large components in blocks of ``BLOCK_TEXTS`` texts, and
 compared exactly on their shingles inside tasks; a pair is skipped where its two
@@ -28,8 +33,7 @@ texts are known to be linked already.  The links' connected components are the
 classes.
 
 Recall is that of banding: a pair at similarity 0.8 is missed by all 32 bands
-with probability 5e-8; inside groups that overfill buckets links are found
-through deeper buckets and hubs (see the README for measured recall).
+with probability 5e-8, in small buckets and in those that overfill.
 
 Defined results: a null text is a class of its own; texts without words are
 copies of each other; rows of one class share the smallest doc_id as
@@ -71,6 +75,10 @@ BANDS = 32
 LEVELS = (4, 8, 12, 16, 24)
 PAIRS = 16
 BLOCK_TEXTS = 800
+#: Hash buckets of the shingle counts that order shingles from rare to common.
+COUNTED = 1 << 18
+#: Bounds on weights leave room for rounding, so that no pair at the threshold is lost.
+SLACK = 1 - 1e-9
 
 _POISSON = np.cumsum([np.exp(-1.0) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320)])
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -219,14 +227,15 @@ def bucket_rows(texts: DataFrame, depth: int) -> DataFrame:
     return texts.select("node", "sig", "bands").mapInArrow(scan, "key long, band int, node long")
 
 
-def candidate_pairs(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs ``a < b`` of nodes that are to be compared, and edges that connect the same nodes.
+def candidate_pairs(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Pairs ``a < b`` of nodes that are to be compared, edges that connect the same nodes, and crowded buckets.
 
     The number of pairs is linear in the texts.  The edges tie the texts of each bucket of the first
-    level to its smallest; all pairs lie within such buckets.
+    level to its smallest; all pairs lie within such buckets.  Crowded buckets (``key, node``) are those
+    of the first level that do not yield all their pairs; None if there are none.
     """
     worded = texts.where("worded").select("node", "sig")
-    rows, out, ties = bucket_rows(worded, LEVELS[0]), [], None
+    rows, out, ties, crowded = bucket_rows(worded, LEVELS[0]), [], None, None
     for level, depth in enumerate(LEVELS):
         any_hub = F.min_by("node", F.xxhash64("node", "key"))
         sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), any_hub.alias("hub"))
@@ -242,6 +251,7 @@ def candidate_pairs(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         reach = large.groupBy("node").agg(F.sum("n").alias("reach"), F.collect_list("band").alias("bands"))
         reach = staged(reach, "reach")
         if level == 0:
+            crowded = large.select("key", "node")
             placed = large.drop("hub").join(reach.select("node", "reach"), "node")
             hubs = placed.groupBy("key").agg(F.min_by("node", F.struct(-F.col("reach"), F.col("node"))).alias("hub"))
             large = placed.join(hubs, "key")
@@ -251,7 +261,79 @@ def candidate_pairs(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = out[0]
     for more in out[1:]:
         pairs = pairs.unionByName(more)
-    return staged(pairs.where("a < b").distinct(), "pairs"), ties
+    return staged(pairs.where("a < b").distinct(), "pairs"), ties, crowded
+
+
+def ranked(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Iterator[tuple]:
+    """Per block of texts: batch, first row, text, shingle and weight from rare to common, and the texts' weights."""
+    for batch in batches:
+        data, offsets = text_buffer(batch.column("text"))
+        for low, high in row_blocks(offsets, 1 << 18, 500):
+            words = Words(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+            text, shingle, weight = weights(*shingles(words))
+            order = np.lexsort((shingle, common[(shingle % np.uint64(COUNTED)).astype(np.int64)], text))
+            yield batch, low, text[order], shingle[order], weight[order], np.bincount(text, weight, high - low)
+
+
+def rare_shingles(rows: DataFrame, least: float) -> DataFrame:
+    """``grp, token, node, cls, total, rest`` for the prefix of each text; ``rest`` is the weight from the token on."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(COUNTED, np.int64)
+        for _, _, _, shingle, _, _ in ranked(batches, np.zeros(COUNTED, np.int64)):
+            sums += np.bincount((shingle % np.uint64(COUNTED)).astype(np.int64), minlength=COUNTED)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_pydict({"place": at, "n": sums[at]})
+
+    met = rows.select("text").mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    common = np.zeros(COUNTED, np.int64)
+    common[met.column("place").to_numpy()] = met.column("n").to_numpy()
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, low, text, shingle, weight, total in ranked(batches, common):
+            before = np.cumsum(weight) - weight
+            before -= (np.cumsum(total) - total)[text]
+            rest = total[text] - before
+            at = rest >= least * SLACK * total[text]
+            row = pa.array(text[at] + low)
+            columns = {c: batch.column(c).take(row) for c in ("grp", "node", "cls")}
+            more = {"token": signed(shingle[at]), "total": total[text[at]], "rest": rest[at]}
+            yield pa.RecordBatch.from_pydict(columns | more)
+
+    out = rows.select("text", "grp", "node", "cls")
+    return out.mapInArrow(scan, "grp long, node long, cls long, token long, total double, rest double")
+
+
+def crossing_pairs(docs: DataFrame, texts: DataFrame, crowded: DataFrame, whole: DataFrame, found: DataFrame, least: float) -> DataFrame | None:
+    """All pairs ``a < b`` across classes that can be similar enough, of texts in crowded buckets of several classes.
+
+    ``found`` has the classes so far (``node, comp``), ``whole`` the groups that hold all candidates.  None if
+    every crowded bucket is in one class.
+    """
+    held = crowded.join(found.withColumnRenamed("comp", "cls"), "node", "left").withColumn("cls", F.coalesce("cls", "node"))
+    mixed = held.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high")
+    members = staged(held.join(mixed.select("key"), "key").select("node", "cls").distinct(), "unsettled")
+    if members.isEmpty():
+        return None
+    wanted = texts.select("k", "t", "node").join(members, "node")
+    wanted = staged(wanted.join(whole.select("node", F.col("comp").alias("grp")), "node"), "unsettled_texts")
+    rows = flagged(docs.select("doc_id", "text"), wanted).dropDuplicates(["k", "t"])
+    rows = staged(rows.join(wanted, ["k", "t"]).select("text", "node", "cls", "grp"), "unsettled_rows")
+    tokens = staged(rare_shingles(rows, least), "tokens")
+    # Only pairs across classes are wanted: every text outside a token's largest class meets all others.
+    by_class = tokens.groupBy("grp", "token", "cls").agg(F.count("*").alias("n"))
+    spread = by_class.groupBy("grp", "token").agg(
+        F.sum("n").alias("n"), F.count("*").alias("classes"), F.max_by("cls", F.struct("n", "cls")).alias("main")
+    )
+    spread = spread.where("classes > 1").select("grp", "token", "main", F.ceil(F.col("n") / BLOCK_TEXTS).alias("slices"))
+    placed = staged(tokens.join(spread, ["grp", "token"]), "crossing")
+    one = placed.where("cls <> main").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+    one = one.select("grp", "token", "slice", *(F.col(c).alias(f"{c}_1") for c in ("node", "cls", "total", "rest")))
+    other = placed.withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")))
+    both = one.join(other, ["grp", "token", "slice"]).where("cls_1 <> cls and (cls = main or node_1 < node)")
+    overlap = (F.col("total_1") + F.col("total")) * F.lit(least / (1 + least) * SLACK)
+    both = both.where(F.least("rest_1", "rest") >= overlap)
+    return staged(both.select(F.least("node_1", "node").alias("a"), F.greatest("node_1", "node").alias("b")).distinct(), "crossing_pairs")
 
 
 def similarity(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> float:
@@ -299,13 +381,15 @@ def linked(nodes: pd.DataFrame, pairs: pd.DataFrame, least: float) -> pd.DataFra
     return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
 
 
-def links_of(docs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Pairs of texts that are similar enough; per block only as many as connect its texts."""
-    pairs, ties = candidate_pairs(texts)
-    whole = staged(components(ties, "candidates"), "groups")
+def blocked(whole: DataFrame) -> DataFrame:
+    """Groups of candidates with the part of each text; large groups have several parts."""
     sizes = whole.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK_TEXTS).alias("parts"))
     placed = whole.join(sizes, "comp")
-    placed = staged(placed.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))), "placed")
+    return staged(placed.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))), "placed")
+
+
+def compared(docs: DataFrame, texts: DataFrame, pairs: DataFrame, placed: DataFrame, least: float) -> DataFrame:
+    """Pairs of texts that are similar enough; per block only as many as connect its texts."""
     side = placed.select("node", "comp", "part")
     cut = pairs.join(side.withColumnRenamed("node", "a"), "a")
     cut = cut.join(side.select(F.col("node").alias("b"), F.col("part").alias("other")), "b")
@@ -313,8 +397,8 @@ def links_of(docs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> Da
     cut = cut.select("comp", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "a", "b")
     cut = staged(cut, "blocks")
     members = cut.select(*block, F.col("a").alias("node")).unionByName(cut.select(*block, F.col("b").alias("node"))).distinct()
-    wanted = texts.join(whole.select("node"), "node").select("k", "t", "node", "sig")
-    wanted = staged(wanted, "wanted")
+    named = members.select("node").distinct()
+    wanted = staged(texts.join(named, "node").select("k", "t", "node", "sig"), "wanted")
     rows = flagged(docs.select("doc_id", "text"), wanted).dropDuplicates(["k", "t"])
     carried = members.join(rows.join(wanted, ["k", "t"]).select("node", "sig", "text"), "node")
 
@@ -326,12 +410,26 @@ def links_of(docs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> Da
     return carried.groupBy(*block).cogroup(asked).applyInPandas(compare, "a long, b long")
 
 
+def linked_classes(docs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """``node, comp`` for every text that is similar to another."""
+    pairs, ties, crowded = candidate_pairs(texts)
+    whole = staged(components(ties, "candidates"), "groups")
+    placed = blocked(whole)
+    links = staged(compared(docs, texts, pairs, placed, least), "links")
+    found = components(links)
+    crossing = None if crowded is None else crossing_pairs(docs, texts, crowded, whole, found, least)
+    if crossing is None or crossing.isEmpty():
+        return found
+    more = staged(compared(docs, texts, crossing, placed, least), "crossing_links")
+    return found if more.isEmpty() else components(links.unionByName(more))
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """``doc_id, k, t, class_id, first`` per row; ``first`` marks the class's one row to keep (with its copies)."""
     rows = staged(sketches(docs), "sketches")
     texts = distinct_texts(rows)
-    links = staged(links_of(docs, texts, least), "links")
-    joined = texts.select("one", "two", "worded", "node", "k", "t").join(components(links), "node", "left")
+    found = linked_classes(docs, texts, least)
+    joined = texts.select("one", "two", "worded", "node", "k", "t").join(found, "node", "left")
     joined = joined.withColumn("comp", F.coalesce("comp", "node"))
     smallest = joined.groupBy("comp").agg(F.min(F.struct("k", "t")).alias("kept"))
     classes = staged(joined.join(smallest, "comp").select("one", "two", "worded", "kept"), "classes")

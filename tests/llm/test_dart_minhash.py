@@ -81,6 +81,22 @@ def test_large_groups_go_through_deeper_buckets(spark, monkeypatch):
     assert wrong <= 0.02 * len(want)
 
 
+def test_links_that_pass_by_every_hub_are_found(spark, monkeypatch):
+    monkeypatch.setattr(dm, "PAIRS", 2)
+    monkeypatch.setattr(dm, "BLOCK_TEXTS", 20)
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(400)}" for _ in range(160)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(rng.randint(2, 6)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(9000)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    got = {r.doc_id: r.class_id for r in dm.near_duplicates(docs).collect()}
+    assert got == {i: c for (i, _), c in zip(rows, classes(rows))}
+
+
 def test_whole_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
     got = dm.op8_dart_minhash(spark, SF).orderBy("doc_id").collect()
