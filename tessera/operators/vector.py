@@ -20,6 +20,8 @@ EXTENT = 4096
 BUFFER = 0.125
 #: Parts of a tile, unless told otherwise.
 PARTS = 8
+#: Features a part is meant to hold at most; larger tiles get more parts than declared.
+FEATURES = 50_000
 
 TILE = ["z", "x", "y"]
 
@@ -133,16 +135,28 @@ def assemble_tiles(
     """Collect features per tile as (layer, z, x, y, part, n, features).
 
     Every tile comes in up to ``parts`` parts, by the hash of the feature's id (or
-    ``spread``), so a part is held by one task and not a whole low-zoom tile; a
-    larger number suits larger tiles.  ``layer`` may be a column, which builds
-    several layers in one pass.
+    ``spread``).  Where a part has more than ``FEATURES`` features, every part of
+    its tile is cut into so many slices, by the hash of the feature, that each
+    has about half of them; slice s of part p has the number ``p + s * parts``.  For this
+    the features are counted first, in a job of its own.  Only equal rows stay
+    together.  ``layer`` may be a column, which builds several layers in one pass.
     """
     if parts < 1:
         raise ValueError("a tile has at least one part")
     number = F.pmod(F.xxhash64("gid") if spread is None else spread, F.lit(parts)).cast("int")
     name = layer if isinstance(layer, Column) else F.lit(layer)
+    placed = placed.withColumns({"layer": name, "part": number})
+    sizes = placed.groupBy("layer", *TILE, "part").agg(F.count(F.lit(1)).alias("_n"))
+    slices = F.ceil(F.max("_n") * 2 / FEATURES).cast("int").alias("_slices")
+    large = sizes.groupBy("layer", *TILE).agg(F.max("_n").alias("_most"), slices).where(F.col("_most") > FEATURES).drop("_most")
+    rows = large.collect()
+    if rows:
+        # At most one row for every FEATURES features; as literals they need no second scan.
+        large = F.broadcast(placed.sparkSession.createDataFrame(rows, large.schema))
+        cut = F.pmod(F.xxhash64(feature), F.coalesce("_slices", F.lit(1))).cast("int")
+        placed = placed.join(large, ["layer", *TILE], "left").withColumn("part", F.col("part") + cut * parts).drop("_slices")
     return (
-        placed.withColumns({"layer": name, "part": number})
+        placed
         .groupBy("layer", *TILE, "part")
         .agg(
             F.count(F.lit(1)).cast("int").alias("n"),

@@ -26,7 +26,7 @@ def tile_summary(spark, sf):
     tiles = v.build_vector_tiles(d.features(spark, sf), [0, 2, 4], parts=4, spread=F.col("gid"))
     return tiles.groupBy("layer", *TILE).agg(
         F.sum("n").cast("long").alias("features"), F.sum(F.size("features")).cast("long").alias("held"),
-        F.count(F.lit(1)).alias("parts"),
+        F.countDistinct(F.col("part") % 4).alias("parts"),
     )
 
 
@@ -46,7 +46,8 @@ def composite_tiles(spark, sf):
     named = F.concat(F.lit("kind_"), F.col("kind"))
     skip = (F.col("layer") == "kind_A") & (F.col("x") % 2 == 0)
     tiles = v.layered_tiles(d.features(spark, sf), [4], named, ["kind_R", "kind_A", "kind_N"], skip, parts=1)
-    return tiles.select("layer", *TILE, "ord", "n", "skip_cache")
+    whole = tiles.groupBy("layer", *TILE, "ord", "skip_cache").agg(F.sum("n").cast("int").alias("n"))
+    return whole.select("layer", *TILE, "ord", "n", "skip_cache")
 
 
 def geometries(spark, sf):

@@ -58,6 +58,17 @@ def test_parts_hold_everything(spark):
     assert sorted(f["gid"] for t in low for f in t["features"]) == list(range(1000))
 
 
+def test_number_of_parts_follows_the_features(spark, monkeypatch):
+    monkeypatch.setattr(v, "FEATURES", 50)
+    rows = [(i, 10.0, 10.0, "") for i in range(1000)] + [(5, 100.0, 10.0, f"{i}") for i in range(200)]
+    tiles = v.build_vector_tiles(points(spark, rows), [0, 8], parts=2, attributes=["str"]).collect()
+    low = [t for t in tiles if t["z"] == 0]
+    assert max(t["n"] for t in tiles) <= 50 and len({t["part"] for t in low}) == len(low)
+    assert sorted((f["gid"], f["str"]) for t in low for f in t["features"]) == sorted((g, s) for g, _, _, s in rows)
+    named = v.layered_tiles(points(spark, rows), [0], F.lit("a"), ["a"], parts=1).collect()
+    assert max(t["n"] for t in named) <= 1000 and sum(t["n"] for t in named) == 1200 and len(named) > 20
+
+
 def test_limit_and_filter(spark):
     rows = [(i, 10.0, 10.0, "a" if i % 2 else "b") for i in range(50)]
     limited = v.build_vector_tiles(points(spark, rows), [0], limit=3, parts=1).first()
