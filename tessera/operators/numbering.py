@@ -1,9 +1,10 @@
 """Row numbers, chunks and neighbours for groups of any size.
 
 A plain ``row_number() over (partition by key order by time)`` sends a whole key
-to one task.  Here the order is cut into coarse buckets that keep it (a minute
-of the time column, say): rows are handled per (key, bucket), and only one small
-summary row per (key, bucket) is carried along the key.
+to one task.  Here rows are dealt out in ranges of (keys, order), as many as the
+data needs: a first pass writes them with their place in the range, a second one
+carries one small summary row per (key, range) along the key.  One key may hold
+all rows, and all of them may have the same time.
 """
 
 from __future__ import annotations
@@ -13,50 +14,41 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET = "_bucket"
+from tessera.session import written
 
+RANGE, PLACE = "_range", "_place"
+_IN_PARTITION = (1 << 33) - 1
 
-def minute_bucket(time: str = "time") -> Column:
-    return F.date_trunc("minute", F.col(time))
 
+def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The rows in ranges of (keys, order): adds the range's number and the row's place in it."""
+    # Rows that are equal in all these would stay together; the id deals them out as well.
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    by = [*keys, *order, "_tie"]
+    number = F.monotonically_increasing_id()
+    dealt = tied.repartitionByRange(*by).sortWithinPartitions(*by).drop("_tie")
+    return written(
+        dealt.withColumns({RANGE: F.shiftright(number, 33), PLACE: number.bitwiseAND(F.lit(_IN_PARTITION))}), "ranges"
+    )
 
-def number_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, name: str = "rn"
-) -> DataFrame:
-    """1-based row number inside ``keys`` by ``order`` (a unique, non-null order).
 
-    ``bucket`` must not decrease along ``order``; keys must not be null.
-    """
-    on = [*keys, BUCKET]
-    cut = df.withColumn(BUCKET, bucket)
-    sizes = cut.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    along = Window.partitionBy(*keys).orderBy(BUCKET)
-    offsets = sizes.select(
-        *on,
-        F.coalesce(
-            F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_offset"),
-    )
-    inside = Window.partitionBy(*on).orderBy(*order)
-    return (
-        cut.withColumn("_rn", F.row_number().over(inside))
-        .join(offsets, on)
-        .withColumn(name, (F.col("_rn") + F.col("_offset")).cast("long"))
-        .drop(BUCKET, "_rn", "_offset")
-    )
+def _along(keys: Sequence[str]):
+    return Window.partitionBy(*keys).orderBy(RANGE)
 
 
-def chunk(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    size: int,
-    bucket: Column,
-    name: str = "chunk",
-) -> DataFrame:
+def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn") -> DataFrame:
+    """1-based row number inside ``keys`` by ``order``; equal rows are numbered in any order.  Keys must not be null."""
+    cut, on = in_ranges(df, keys, order), [*keys, RANGE]
+    sizes = cut.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"), F.min(PLACE).alias("_first"))
+    before = F.sum("_n").over(_along(keys).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(*on, (F.coalesce(before, F.lit(0)) - F.col("_first") + 1).alias("_offset"))
+    return cut.join(offsets, on).withColumn(name, F.col(PLACE) + F.col("_offset")).drop(RANGE, PLACE, "_offset")
+
+
+def chunk(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: int, name: str = "chunk") -> DataFrame:
     """Add a 0-based chunk number: chunks of exactly ``size`` rows, the last shorter."""
     return (
-        number_rows(df, keys, order, bucket, "_row")
+        number_rows(df, keys, order, "_row")
         .withColumn(name, F.floor((F.col("_row") - 1) / size).cast("long"))
         .withColumn("pos", ((F.col("_row") - 1) % size).cast("int"))
         .drop("_row")
@@ -64,24 +56,21 @@ def chunk(
 
 
 def with_previous(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, value: Column,
-    name: str = "previous",
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str = "previous"
 ) -> DataFrame:
     """Add the value of the row before in ``keys``, null on the first row.
 
     ``value`` should be a struct, so that a null inside it is not read as "none".
     """
-    on = [*keys, BUCKET]
-    cut = df.withColumn(BUCKET, bucket).withColumn("_value", value)
-    last = cut.groupBy(*on).agg(F.max_by("_value", F.struct(*order)).alias("_last"))
-    along = Window.partitionBy(*keys).orderBy(BUCKET)
-    carried = last.select(*on, F.lag("_last").over(along).alias("_carried"))
-    inside = Window.partitionBy(*on).orderBy(*order)
+    cut, on = in_ranges(df.withColumn("_value", value), keys, order), [*keys, RANGE]
+    last = cut.groupBy(*on).agg(F.max_by("_value", PLACE).alias("_last"))
+    carried = last.select(*on, F.lag("_last").over(_along(keys)).alias("_carried"))
+    inside = Window.partitionBy(*on).orderBy(PLACE)
     return (
         cut.withColumn("_before", F.lag("_value").over(inside))
         .join(carried, on)
         .withColumn(name, F.coalesce("_before", "_carried"))
-        .drop(BUCKET, "_value", "_before", "_carried")
+        .drop(RANGE, PLACE, "_value", "_before", "_carried")
     )
 
 

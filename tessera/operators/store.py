@@ -150,14 +150,14 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, TILE, "full_outer").withColumn("change", change)
 
 
-def change_points(observations: DataFrame, bucket: Column) -> DataFrame:
+def change_points(observations: DataFrame) -> DataFrame:
     """Observations whose content or type differs from the one before (same tile)."""
     seen = observations.select(
         *TILE, "written_at", "version", etag("content").alias("etag"), "content_type"
     )
     now = F.struct("etag", "content_type")
     return (
-        with_previous(seen, TILE, ["written_at", "version"], bucket, now)
+        with_previous(seen, TILE, ["written_at", "version"], now)
         .where(F.col("previous").isNotNull() & ~F.col("previous").eqNullSafe(now))
         .withColumn("previous_etag", F.col("previous.etag"))
         .drop("previous")

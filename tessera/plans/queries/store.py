@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tessera.functions.tiles import bounds, tile_intersects
 from tessera.operators import store as st
-from tessera.operators.numbering import minute_bucket
 from tessera.plans.queries import sql, tiles
 from tessera.plans.queries.usage import lookups
 from tessera.plans.render import register_renderer, render, retain_tiles
@@ -72,7 +71,7 @@ def snapshot_diff(spark, sf):
 
 def change_points(spark, sf):
     seen = d.previous_store(spark, sf)
-    return st.change_points(seen, minute_bucket("written_at")).select(*st.TILE, "version", "content_type")
+    return st.change_points(seen).select(*st.TILE, "version", "content_type")
 
 
 def _expectations(spark, sf):

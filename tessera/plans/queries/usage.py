@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import usage as u
 from tessera.operators.layers import expand_refs, resolve_layers
-from tessera.operators.numbering import chunk, minute_bucket
+from tessera.operators.numbering import chunk
 from tessera.operators.store import cache_lookup, hit_rate
 from tessera.plans.queries import sql
 from tessera.plans.render import retain_events
@@ -139,7 +139,7 @@ def layer_requests_with_references(spark, sf):
 
 
 def event_chunks(spark, sf):
-    cut = chunk(events(spark, sf), ["layer"], ["time", "event_id"], 25, minute_bucket())
+    cut = chunk(events(spark, sf), ["layer"], ["time", "event_id"], 25)
     return cut.select("event_id", "layer", "chunk", "pos")
 
 

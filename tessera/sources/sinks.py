@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.keys import client_id
-from tessera.operators.numbering import chunk, minute_bucket
+from tessera.operators.numbering import chunk
 from tessera.sources.events import json_object, json_string
 
 # Sink columns in their order, and the payload limits.
@@ -83,7 +83,7 @@ def _event_key() -> Column:
 
 
 def ga_payloads(
-    events: DataFrame, event_name: str = EVENT_NAME, max_events: int = MAX_PAYLOAD_EVENTS, bucket: Column | None = None
+    events: DataFrame, event_name: str = EVENT_NAME, max_events: int = MAX_PAYLOAD_EVENTS
 ) -> DataFrame:
     """Measurement payloads: one client each, at most ``max_events`` events.
 
@@ -122,10 +122,7 @@ def ga_payloads(
         F.lit('{"name":'), json_string(F.lit(event_name)), F.lit(',"params":{'), members, F.lit("}}")
     )
     keyed = events.withColumn("client_id", client_id("user_id", _event_key()))
-    cut = chunk(
-        keyed, ["client_id"], ["time", "event_id"], max_events,
-        minute_bucket() if bucket is None else bucket,
-    )
+    cut = chunk(keyed, ["client_id"], ["time", "event_id"], max_events)
     grouped = cut.groupBy("client_id", "chunk").agg(
         F.count(F.lit(1)).cast("int").alias("n"),
         F.max(F.nullif("user_id", F.lit(""))).alias("user_id"),
@@ -157,7 +154,7 @@ def rfc3339(time) -> Column:
     return F.concat(F.regexp_replace(text, r"\.?0+\z", ""), F.lit("Z"))
 
 
-def webhook_batches(events: DataFrame, max_size: int = MAX_BATCH, bucket: Column | None = None) -> DataFrame:
+def webhook_batches(events: DataFrame, max_size: int = MAX_BATCH) -> DataFrame:
     """JSON-array payloads of ``max_size`` events in time order; empty parts are left out."""
     user = F.when(
         F.col("user_id") != "", F.concat(F.lit(',"user":'), json_string("user_id"))
@@ -170,9 +167,7 @@ def webhook_batches(events: DataFrame, max_size: int = MAX_BATCH, bucket: Column
         F.lit(',"z":'), F.col("z").cast("string"), F.lit(',"x":'), F.col("x").cast("string"),
         F.lit(',"y":'), F.col("y").cast("string"), user, details, F.lit("}"),
     )
-    cut = chunk(
-        events, [], ["time", "event_id"], max_size, minute_bucket() if bucket is None else bucket
-    )
+    cut = chunk(events, [], ["time", "event_id"], max_size)
     return cut.groupBy("chunk").agg(
         F.count(F.lit(1)).cast("int").alias("n"),
         F.concat(

@@ -34,7 +34,7 @@ def test_chunks_fill_up(spark):
     rows, df = log(spark)
     got = {
         r["id"]: (r["chunk"], r["pos"])
-        for r in num.chunk(df, ["key"], ["time", "id"], 25, num.minute_bucket()).collect()
+        for r in num.chunk(df, ["key"], ["time", "id"], 25).collect()
     }
     for _, group in itertools.groupby(sorted(rows), key=lambda r: r[0]):
         for i, r in enumerate(sorted(group, key=lambda r: (r[1], r[2]))):
@@ -43,7 +43,7 @@ def test_chunks_fill_up(spark):
 
 def test_previous_over_buckets(spark):
     rows, df = log(spark)
-    out = num.with_previous(df, ["key"], ["time", "id"], num.minute_bucket(), F.struct("id")).collect()
+    out = num.with_previous(df, ["key"], ["time", "id"], F.struct("id")).collect()
     got = {r["id"]: r["previous"]["id"] if r["previous"] else None for r in out}
     for _, group in itertools.groupby(sorted(rows), key=lambda r: r[0]):
         before = None
@@ -52,6 +52,26 @@ def test_previous_over_buckets(spark):
             before = r[2]
 
 
+def test_one_key_in_one_minute(spark, request):
+    """All rows of one key at one time: still several ranges, and the numbers go on from range to range."""
+    n = 20_000
+    df = spark.range(n, numPartitions=8).select(
+        F.lit("hot").alias("key"), F.lit(T0).cast("timestamp_ntz").alias("time"), (F.col("id") * 7919 % n).alias("v")
+    )
+    # Ranges this small would be put together.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
+    cut = num.in_ranges(df, ["key"], ["time", "v"])
+    sizes = [r["count"] for r in cut.groupBy(num.RANGE).count().collect()]
+    assert len(sizes) >= 3 and max(sizes) < n / 2
+    got = num.number_rows(df, ["key"], ["time", "v"])
+    assert got.where("rn <> v + 1").isEmpty() and got.count() == n
+    before = num.with_previous(df, ["key"], ["time", "v"], F.struct("v"))
+    assert before.where("coalesce(previous.v, -1) <> v - 1").isEmpty()
+    same = num.number_rows(df.drop("v"), ["key"], ["time"])
+    assert same.agg(F.count_distinct("rn"), F.min("rn"), F.max("rn")).first() == (n, 1, n)
+
+
 @pytest.mark.parametrize("limit", [5, 1, 2000])
 def test_top_per_group(spark, limit):
     rows, df = log(spark)

@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators.store import change_points, first_fetches
-from tessera.operators.numbering import minute_bucket
 from tessera.plans.queries.stream import finish
 from tessera.sources import derived as d
 from tessera.sources.events import to_tile_events
@@ -52,7 +51,7 @@ def test_alerts_match_batch(spark, split_requests, tmp_path):
             changing.cast("binary").alias("content"), "content_type")
 
     rows = drain(stateful.change_stream(observed(stream(spark, split_requests))), tmp_path)
-    want = change_points(observed(split_requests[1]), minute_bucket("written_at"))
+    want = change_points(observed(split_requests[1]))
     names = ["layer_name", "z", "x", "y", "version", "etag", "previous_etag"]
     assert want.count() > 10
     assert rows.select(names).exceptAll(want.select(names)).count() == 0
