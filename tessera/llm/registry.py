@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import (
+    conversation_trie,
     dart_minhash,
     html_text,
     importance,
@@ -21,6 +22,7 @@ from tessera.llm import (
 
 MODULES = (
     warc, substring_dedup, packing, importance, phrase_index, language, line_rules, dart_minhash, toxicity, html_text,
+    conversation_trie,
 )
 
 
