@@ -12,6 +12,7 @@ from tessera.llm import (
     html_text,
     importance,
     language,
+    license_scan,
     line_rules,
     packing,
     phrase_index,
@@ -22,7 +23,7 @@ from tessera.llm import (
 
 MODULES = (
     warc, substring_dedup, packing, importance, phrase_index, language, line_rules, dart_minhash, toxicity, html_text,
-    conversation_trie,
+    license_scan, conversation_trie,
 )
 
 
