@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm import (
     conversation_trie,
     dart_minhash,
+    fp_ranking,
     html_text,
     importance,
     language,
@@ -23,7 +24,7 @@ from tessera.llm import (
 
 MODULES = (
     warc, substring_dedup, packing, importance, phrase_index, language, line_rules, dart_minhash, toxicity, html_text,
-    license_scan, conversation_trie,
+    license_scan, fp_ranking, conversation_trie,
 )
 
 
