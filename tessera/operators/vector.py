@@ -7,20 +7,20 @@ of the zoom, so the tile origin is just the tile number.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.tiles import MERCATOR_HALF, as_col, lat_to_3857, lon_to_3857, tiles_per_axis
+from tessera.operators.geometry import clip_to_tiles
 from tessera.operators.numbering import top_per_group
 
 EXTENT = 4096
 BUFFER = 0.125
 #: Parts of a tile, unless told otherwise.
 PARTS = 8
-#: Features a part is meant to hold at most; larger tiles get more parts than declared.
+#: Features of a row at most; larger parts of a tile come in slices.
 FEATURES = 50_000
 
 TILE = ["z", "x", "y"]
@@ -121,51 +121,103 @@ def select_features(
     values are bound as literals, never pasted into the text.
     """
     if where:
-        bound = tiled
-        for name, value in (params or {}).items():
-            where = where.replace(f":{name}", f"`_p_{name}`")
-            bound = bound.withColumn(f"_p_{name}", F.lit(value))
-        tiled = bound.where(where)
+        tiled = _filtered(tiled, where, params)
     return tiled.select(*TILE, "gid", "u", "v", *attributes)
 
 
+def _filtered(tiled: DataFrame, where: str, params: dict | None) -> DataFrame:
+    for name, value in (params or {}).items():
+        where = where.replace(f":{name}", f"`_p_{name}`")
+        tiled = tiled.withColumn(f"_p_{name}", F.lit(value))
+    return tiled.where(where)
+
+
 def assemble_tiles(
-    placed: DataFrame, feature: Column, layer: str | Column = "features", parts: int = PARTS, spread: Column | None = None
+    placed: DataFrame, feature: Column, layer: str | Column = "features", parts: int = PARTS, spread: Column | None = None,
+    most: int | None = None,
 ) -> DataFrame:
     """Collect features per tile as (layer, z, x, y, part, n, features).
 
     Every tile comes in up to ``parts`` parts, by the hash of the feature's id (or
-    ``spread``).  Where a part has more than ``FEATURES`` features, every part of
-    its tile is cut into so many slices, by the hash of the feature, that each
-    has about half of them; slice s of part p has the number ``p + s * parts``.  For this
-    the features are counted first, in a job of its own.  Only equal rows stay
-    together.  ``layer`` may be a column, which builds several layers in one pass.
+    ``spread``), and a part of more than ``FEATURES`` features in slices.  The plan is the same
+    for any size: rows are dealt out in ranges of (layer, tile, part, gid), so a range holds
+    many small tiles or a slice of a large one, and gathered where they lie.  Slice numbers
+    leave gaps; ``part % parts`` is the declared part.  Where a tile is known to have at most
+    ``most`` features, and they are few, one shuffle by tile does.  ``layer`` may be a column,
+    which builds several layers in one pass.
     """
     if parts < 1:
         raise ValueError("a tile has at least one part")
-    number = F.pmod(F.xxhash64("gid") if spread is None else spread, F.lit(parts)).cast("int")
+    number = F.pmod(F.xxhash64("gid") if spread is None else spread, F.lit(parts)).cast("long")
     name = layer if isinstance(layer, Column) else F.lit(layer)
-    placed = placed.withColumns({"layer": name, "part": number})
-    sizes = placed.groupBy("layer", *TILE, "part").agg(F.count(F.lit(1)).alias("_n"))
-    slices = F.ceil(F.max("_n") * 2 / FEATURES).cast("int").alias("_slices")
-    large = sizes.groupBy("layer", *TILE).agg(F.max("_n").alias("_most"), slices).where(F.col("_most") > FEATURES).drop("_most")
-    rows = large.collect()
-    if rows:
-        # At most one row for every FEATURES features; as literals they need no second scan.
-        large = F.broadcast(placed.sparkSession.createDataFrame(rows, large.schema))
-        cut = F.pmod(F.xxhash64(feature), F.coalesce("_slices", F.lit(1))).cast("int")
-        placed = placed.join(large, ["layer", *TILE], "left").withColumn("part", F.col("part") + cut * parts).drop("_slices")
-    return (
-        placed
-        .groupBy("layer", *TILE, "part")
-        .agg(
-            F.count(F.lit(1)).cast("int").alias("n"),
-            F.sort_array(F.collect_list(feature)).alias("features"),
+    by = ["layer", *TILE, "part"]
+    rows = placed.select(name.alias("layer"), *TILE, number.alias("part"), "gid", feature.alias("feature"))
+    if most is not None and most <= FEATURES:
+        gathered = rows.groupBy(*by).agg(
+            F.count(F.lit(1)).cast("int").alias("n"), F.sort_array(F.collect_list("feature")).alias("features")
         )
-        .select("layer", *TILE, "part", "n", "features")
+        return gathered.select(*by, "n", "features")
+    rows = rows.withColumn("_tie", F.xxhash64("feature"))
+    order = [*by, "gid", "_tie"]
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*by, "feature")
+    kind = dealt.schema["feature"].dataType.simpleString()
+    return dealt.mapInArrow(
+        _gather(by, parts, FEATURES), f"layer string, z int, x int, y int, part long, n int, features array<{kind}>"
     )
 
 
+def _gather(by: Sequence[str], parts: int, most: int):
+    """Sorted rows to one row per key with its features as a list, ``most`` at a time."""
+
+    def gather(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        # A range's first key may go on from the range before, so its slices have numbers of their own.
+        first = TaskContext.get().partitionId() << 20
+        held, leading, done = None, True, 0
+
+        def made(table, starts, ends, numbers):
+            lists = pa.ListArray.from_arrays(pa.array([*starts, ends[-1]], pa.int32()), table.column("feature").combine_chunks())
+            keys = table.take(pa.array(starts)).select(by[:-1]).combine_chunks()
+            declared = table.column("part").take(pa.array(starts)).to_numpy()
+            return pa.RecordBatch.from_arrays(
+                [
+                    *(keys.column(c).combine_chunks() for c in by[:-1]),
+                    pa.array(declared + parts * np.asarray(numbers, np.int64)), pa.array(np.subtract(ends, starts), pa.int32()), lists,
+                ],
+                [*by, "n", "features"],
+            )
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            table = table.combine_chunks()
+            new = np.zeros(len(table), bool)
+            for c in by:
+                codes = table.column(c).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+                new[1:] |= codes[1:] != codes[:-1]
+            cuts = [0, *np.flatnonzero(new).tolist(), len(table)]
+            starts, numbers = [], []
+            for low, high in zip(cuts[:-1], cuts[1:]):
+                base, count = first if leading and low == 0 else 0, done if low == 0 else 0
+                for at in range(low, high, most):
+                    starts.append(at)
+                    numbers.append(base + count)
+                    count += 1
+            leading, done = leading and len(cuts) == 2, count - 1
+            if len(starts) > 1:
+                yield made(table.slice(0, starts[-1]), starts[:-1], starts[1:], numbers[:-1])
+            held, last = table.slice(starts[-1]), numbers[-1]
+        if held is not None:
+            yield made(held, [0], [len(held)], [last])
+
+    return gather
+
+
 def build_vector_tiles(
     points: DataFrame,
     zooms: Iterable[int],
@@ -194,7 +246,26 @@ def build_vector_tiles(
     feature = F.struct(
         "gid", position["qx"].alias("qx"), position["qy"].alias("qy"), *attributes
     )
-    return assemble_tiles(placed, feature, layer, parts, spread)
+    return assemble_tiles(placed, feature, layer, parts, spread, limit or None)
+
+
+def build_geometry_tiles(
+    features: DataFrame,
+    zooms: Iterable[int],
+    extent: int = EXTENT,
+    buffer: float = BUFFER,
+    attributes: Sequence[str] = (),
+    where: str | None = None,
+    params: dict | None = None,
+    layer: str | Column = "features",
+    parts: int = PARTS,
+    spread: Column | None = None,
+) -> DataFrame:
+    """Vector tiles of a table of points, lines, polygons and boxes; every feature has its ``kind`` and clipped ``paths``."""
+    placed = clip_to_tiles(features, zooms, extent, buffer, attributes)
+    if where:
+        placed = _filtered(placed, where, params)
+    return assemble_tiles(placed, F.struct("gid", "kind", *attributes, "paths"), layer, parts, spread)
 
 
 def explode_features(tiles: DataFrame) -> DataFrame:
@@ -213,18 +284,24 @@ def composite_vector(inputs: Sequence[DataFrame]) -> DataFrame:
             tiles = tiles.withColumn("skip_cache", F.lit(False))
         tiles = tiles.withColumn("ord", F.lit(i))
         union = tiles if union is None else union.unionByName(tiles, allowMissingColumns=True)
-    return union.withColumn("skip_cache", _skipped())
+    return _with_flags(union)
 
 
-def _skipped() -> Column:
-    """Whether any part of the tile, of whatever layer, is not to be cached."""
-    return F.max(F.coalesce("skip_cache", F.lit(False))).over(Window.partitionBy(*TILE))
+def _with_flags(tiles: DataFrame) -> DataFrame:
+    """``skip_cache``: whether any part of the tile, of whatever layer, is not to be cached.
+
+    Only flags are gathered per tile; the tiles' contents meet the few tiles with a flag in a join.
+    """
+    flagged = tiles.where("skip_cache").select(*TILE).distinct().withColumn("_flag", F.lit(True))
+    return tiles.drop("skip_cache").join(flagged, TILE, "left").withColumnRenamed("_flag", "skip_cache").fillna(
+        False, ["skip_cache"]
+    )
 
 
 def layered_tiles(
     points: DataFrame, zooms: Iterable[int], layer: Column, order: Sequence[str], skip_cache: Column | None = None, **options
 ) -> DataFrame:
-    """Composite tiles of one feature table whose column names the layer: one scan, two shuffles.
+    """Composite tiles of one feature table whose column names the layer, in one scan.
 
     ``order`` lists the layers in their declared order; others are left out.
     """
@@ -235,19 +312,17 @@ def layered_tiles(
     tiles = tiles.withColumn("features", F.transform("features", lambda f: f.dropFields("_layer")))
     tiles = tiles.withColumn("ord", (F.array_position(names, F.col("layer")) - 1).cast("int"))
     skip = F.lit(False) if skip_cache is None else skip_cache
-    return tiles.withColumn("skip_cache", skip).withColumn("skip_cache", _skipped())
-
+    return _with_flags(tiles.withColumn("skip_cache", skip))
 
-# -- lines, polygons and boxes ------------------------------------------------
 
-GEOM_KINDS = ("point", "line", "polygon", "box")
+# -- boxes --------------------------------------------------------------------
 
 
 def geoms_to_tiles(features: DataFrame, zooms: Iterable[int], buffer: float = BUFFER) -> DataFrame:
-    """Candidate tiles of ``geom STRUCT<kind, coords ARRAY<STRUCT<x,y>>>`` rows.
+    """Tiles that the box around ``geom STRUCT<kind, coords ARRAY<STRUCT<x,y>>>`` meets.
 
-    Tests the bounding box; ``clip_geoms`` makes the exact test for lines and
-    polygons.  Adds z, x, y and ``path`` (coordinates in tile units).
+    Adds z, x and y; ``geometry.clip_to_tiles`` makes the exact test for lines and
+    polygons and cuts them.
     """
     half = buffer / 2
     n = tiles_per_axis("z")
@@ -277,116 +352,4 @@ def geoms_to_tiles(features: DataFrame, zooms: Iterable[int], buffer: float = BU
         & (F.col("_v1") >= F.col("y") - half)
         & (F.col("_v0") <= F.col("y") + 1 + half)
     )
-    path = F.transform(
-        "geom.coords", lambda c: F.struct(across(c["x"]).alias("u"), down(c["y"]).alias("v"))
-    )
-    return tiled.where(meets).withColumn("path", path).drop("_u0", "_u1", "_v0", "_v1")
-
-
-def _clip_halfplane(pts, axis, bound, keep_less, closed):
-    """Cut a path at one axis-parallel line; gives a list of paths."""
-    def inside(p):
-        return p[axis] <= bound if keep_less else p[axis] >= bound
-
-    def cross(a, b):
-        t = (bound - a[axis]) / (b[axis] - a[axis])
-        other = 1 - axis
-        q = [0.0, 0.0]
-        q[axis] = bound
-        q[other] = a[other] + t * (b[other] - a[other])
-        return tuple(q)
-
-    if closed:
-        out = []
-        for i, cur in enumerate(pts):
-            prev = pts[i - 1]
-            if inside(cur) != inside(prev):
-                out.append(cross(prev, cur))
-            if inside(cur):
-                out.append(cur)
-        return [out] if out else []
-    paths, run = [], []
-    for i, cur in enumerate(pts):
-        if i and inside(cur) != inside(pts[i - 1]):
-            q = cross(pts[i - 1], cur)
-            run.append(q)
-            if not inside(cur):
-                paths.append(run)
-                run = []
-        if inside(cur):
-            run.append(cur)
-    if run:
-        paths.append(run)
-    return paths
-
-
-def clip_path(pts, x0, y0, x1, y1, closed=False):
-    """Clip a line or ring to a box; gives zero or more paths."""
-    paths = [pts]
-    for axis, bound, less in ((0, x0, False), (0, x1, True), (1, y0, False), (1, y1, True)):
-        paths = [q for p in paths for q in _clip_halfplane(p, axis, bound, less, closed)]
-    return [p for p in paths if p]
-
-
-def clip_geoms(
-    tiled: DataFrame, extent: int = EXTENT, buffer: float = BUFFER, attributes: Sequence[str] = ()
-) -> DataFrame:
-    """Exact test, clip and quantise after ``geoms_to_tiles``; one Arrow pass, no shuffle.
-
-    A feature stays when it meets the buffered tile; its paths are cut to the
-    wider clip box and rounded down to whole units.
-    """
-    half = buffer / 2
-    margin = clip_margin(buffer, extent) / extent
-    keep = [*TILE, "gid", *attributes]
-    fields = {f.name: f.dataType.simpleString() for f in tiled.schema}
-    schema = ", ".join(
-        [f"`{c}` {fields[c]}" for c in keep]
-        + ["kind string", "paths array<array<struct<qx:int,qy:int>>>"]
-    )
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            rows = batch.to_pylist()
-            out = []
-            for row in rows:
-                kind = row["kind"]
-                pts = [(p["u"], p["v"]) for p in row["path"]]
-                x, y, top = row["x"], row["y"], 2.0 ** row["z"]
-                if kind == "box":
-                    us, vs = [p[0] for p in pts], [p[1] for p in pts]
-                    pts = [
-                        (min(us), min(vs)), (max(us), min(vs)), (max(us), max(vs)), (min(us), max(vs)),
-                    ]
-                closed = kind in ("polygon", "box")
-                if closed and len(pts) > 1 and pts[0] == pts[-1]:
-                    pts = pts[:-1]
-                envelope = (
-                    max(x - half, 0.0), max(y - half, 0.0), min(x + 1 + half, top), min(y + 1 + half, top),
-                )
-                if not clip_path(pts, *envelope, closed=closed):
-                    continue
-                cut = clip_path(
-                    pts, x - margin, y - margin, x + 1 + margin, y + 1 + margin, closed=closed
-                )
-                paths = []
-                for path in cut:
-                    dots = []
-                    for u, v in path:
-                        dot = {
-                            "qx": math.floor((u - x) * extent), "qy": math.floor((v - y) * extent),
-                        }
-                        if not dots or dots[-1] != dot:
-                            dots.append(dot)
-                    paths.append(dots)
-                out.append({**{c: row[c] for c in keep}, "kind": kind, "paths": paths})
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema=arrow_schema)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    arrow_schema = to_arrow_schema(StructType.fromDDL(schema))
-    return tiled.select(*keep, F.col("geom.kind").alias("kind"), "path").mapInArrow(run, schema)
+    return tiled.where(meets).drop("_u0", "_u1", "_v0", "_v1")
