@@ -13,7 +13,10 @@ import statistics
 import sys
 import time
 
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path.insert(0, HERE)
+# Python workers import the package too, from whatever folder this is started.
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, (HERE, os.environ.get("PYTHONPATH"))))
 
 from tessera.plans import registry  # noqa: E402
 from tessera.session import build_session  # noqa: E402
@@ -25,7 +28,7 @@ HEADLINE = (
     "access_log", "resolved_layers", "redacted_urls", "expanded_urls", "permissions", "response_verdicts",
     "latest_tiles", "cache_lookup", "tiered_lookup", "snapshot_diff", "change_points", "missing_tiles", "first_fetches",
     "store_stats", "feature_tiles", "vector_tile_features", "vector_tile_parts", "limited_vector_tiles",
-    "composite_vector_tiles", "clipped_lines", "box_tiles",
+    "composite_vector_tiles", "clipped_lines", "geometry_tiles", "box_tiles",
     "blend_normal", "blend_resampled", "cropped", "effect_hue", "effect_gaussian", "effect_median", "effect_sobel",
     "effect_gaussian_large", "long_catalog", "stream_windows", "stream_first_fetches",
 )
