@@ -2,9 +2,10 @@
 
 A raster tile is one row: key columns, ``width``, ``height`` and one array per
 band (``r g b a``, 0-255, row-major).  Tiles are joined whole, so shuffles move
-one row per tile.  Pixels appear by exploding an index next to the arrays, and
-the arithmetic reads the arrays by position inside whole-stage codegen; a
-neighbourhood is just more positions of the same row and needs no shuffle.
+one row per tile.  Blending works on whole bands, a block of tiles at a time.  For
+the other operators pixels appear by exploding an index next to the arrays, and the
+arithmetic reads the arrays by position inside whole-stage codegen; a neighbourhood is
+just more positions of the same row and needs no shuffle.
 
 Blending follows the published compositing equations: for a backdrop b under a
 source s with separable function B, straight alpha,
@@ -15,8 +16,10 @@ source s with separable function B, straight alpha,
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +41,8 @@ BANDS = ("r", "g", "b", "a")
 COLOURS = ("r", "g", "b")
 CONSTANT_SIZE = 512
 MIN_INPUTS, MAX_INPUTS = 2, 100
+#: Pixels that are blended at a time; a larger tile is a block of its own.
+BLOCK_PIXELS = 1 << 20
 
 
 def to_byte(v: Column) -> Column:
@@ -102,61 +107,71 @@ def resample(tiles: DataFrame, keys: Sequence[str], width: int, height: int) ->
 
 # -- blending -----------------------------------------------------------------
 
-def _when0(cond, value, other):
-    return F.when(cond, F.lit(value)).otherwise(other)
+def _where(*cases) -> np.ndarray:
+    """The value of the first condition that holds: ``_where(cond, value, ..., otherwise)``."""
+    *pairs, out = cases
+    for cond, value in reversed(list(zip(pairs[::2], pairs[1::2]))):
+        out = np.where(cond, value, out)
+    return out
 
 
-SEPARABLE: dict[str, Callable[[Column, Column], Column]] = {
+SEPARABLE: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
     "add": lambda b, s: b + s,
-    "color burn": lambda b, s: F.when(b >= 1, F.lit(1.0)).otherwise(_when0(s <= 0, 0.0, 1 - (1 - b) / s)),
-    "color dodge": lambda b, s: F.when(b <= 0, F.lit(0.0)).otherwise(_when0(s >= 1, 1.0, b / (1 - s))),
-    "darken": lambda b, s: F.least(b, s),
-    "difference": lambda b, s: F.abs(b - s),
-    "divide": lambda b, s: _when0(s <= 0, 1.0, b / s),
+    "color burn": lambda b, s: _where(b >= 1, 1.0, s <= 0, 0.0, 1 - (1 - b) / s),
+    "color dodge": lambda b, s: _where(b <= 0, 0.0, s >= 1, 1.0, b / (1 - s)),
+    "darken": np.minimum,
+    "difference": lambda b, s: np.abs(b - s),
+    "divide": lambda b, s: _where(s <= 0, 1.0, b / s),
     "exclusion": lambda b, s: b + s - 2 * b * s,
-    "lighten": lambda b, s: F.greatest(b, s),
+    "lighten": np.maximum,
     "linear burn": lambda b, s: b + s - 1,
     "linear light": lambda b, s: b + 2 * s - 1,
     "multiply": lambda b, s: b * s,
     "normal": lambda b, s: s,
     "opacity": lambda b, s: s,
-    "overlay": lambda b, s: F.when(b <= 0.5, 2 * b * s).otherwise(1 - 2 * (1 - b) * (1 - s)),
+    "overlay": lambda b, s: _where(b <= 0.5, 2 * b * s, 1 - 2 * (1 - b) * (1 - s)),
     "screen": lambda b, s: b + s - b * s,
     "soft light": lambda b, s: (1 - 2 * s) * b * b + 2 * b * s,
     "subtract": lambda b, s: s - b,
 }
 BLEND_MODES = tuple(SEPARABLE)
-
-
-def blend_pixels(px: DataFrame, mode: str, under: dict, opacity: float = 0.0) -> DataFrame:
-    """Put the pixel ``under`` (band to 0-255 Column) below the columns r, g, b, a.
-
-    Written in steps, so each fraction is worked out once per pixel.
-    """
-    fn = SEPARABLE[mode]
-    share = F.lit(float(opacity)) if mode == "opacity" else F.lit(1.0)
-    ab, as_, ao = F.col("_ba"), F.col("_sa"), F.col("_ao")
-    fractions = px.withColumns(
-        {
-            **{f"_b{c}": under[c] / 255.0 for c in BANDS},
-            **{f"_s{c}": F.col(c) / 255.0 for c in COLOURS},
-            "_sa": F.col("a") / 255.0 * share,
-        }
-    ).withColumn("_ao", as_ + ab * (1 - as_))
-    mixed = fractions.withColumns(
-        {
-            f"_m{c}": F.greatest(F.lit(0.0), F.least(F.lit(1.0), fn(F.col(f"_b{c}"), F.col(f"_s{c}"))))
-            for c in COLOURS
-        }
-    )
-    totals = {
-        c: as_ * (1 - ab) * F.col(f"_s{c}") + as_ * ab * F.col(f"_m{c}") + (1 - as_) * ab * F.col(f"_b{c}")
-        for c in COLOURS
-    }
-    out = {c: to_byte(F.when(ao > 0, total / ao * 255).otherwise(F.lit(0.0))) for c, total in totals.items()}
-    return mixed.withColumns({**out, "a": to_byte(ao * 255)}).drop(
-        "_ao", *[f"_b{c}" for c in BANDS], *[f"_s{c}" for c in BANDS], *[f"_m{c}" for c in COLOURS]
-    )
+Bands = dict[str, np.ndarray]
+
+
+def blend_bands(over: Bands, under: Bands, mode: str, opacity: float = 0.0) -> Bands:
+    """Whole bands of 0-255 values put over others of the same length."""
+    s, b = ({c: bands[c] / 255.0 for c in BANDS} for bands in (over, under))
+    sa = s["a"] * opacity if mode == "opacity" else s["a"]
+    ab = b["a"]
+    ao = sa + ab * (1 - sa)
+
+    def byte(v: np.ndarray) -> np.ndarray:
+        return np.clip(np.floor(v + 0.5), 0, 255).astype(np.int32)
+
+    out = {}
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for c in COLOURS:
+            mixed = np.clip(SEPARABLE[mode](b[c], s[c]), 0.0, 1.0)
+            total = sa * (1 - ab) * s[c] + sa * ab * mixed + (1 - sa) * ab * b[c]
+            out[c] = byte(np.where(ao > 0, total / ao * 255, 0.0))
+    return {**out, "a": byte(ao * 255)}
+
+
+def _stretched(tiles: pa.StructArray, width: np.ndarray, height: np.ndarray) -> Bands:
+    """Bands of all tiles end to end, each tile brought to its size by the nearest pixel."""
+    own_w, own_h = (tiles.field(c).to_numpy() for c in ("width", "height"))
+    sizes = width * height
+    tile = np.repeat(np.arange(len(width)), sizes)
+    i = np.arange(len(tile)) - (np.cumsum(sizes) - sizes)[tile]
+    w, h, ow, oh = width[tile], height[tile], own_w[tile], own_h[tile]
+    at = (i // w) * oh // h * ow + (i % w) * ow // w + (np.cumsum(own_w * own_h) - own_w * own_h)[tile]
+    out = {}
+    for c in BANDS:
+        band = tiles.field(c)
+        if not np.array_equal(band.value_lengths().to_numpy(), own_w * own_h):
+            raise ValueError("a band does not fit width x height")
+        out[c] = band.flatten().to_numpy()[at]
+    return out
 
 
 def check_blend(mode: str, opacity: float, inputs: int) -> None:
@@ -203,11 +218,22 @@ def _usable(count: int) -> list[Column]:
 def blend(
     inputs: Sequence[DataFrame], keys: Sequence[str], mode: str = "normal", opacity: float = 0.0
 ) -> DataFrame:
-    """Blend 2..100 tile sets over ``keys`` into pixels.
+    """The pixels of ``blend_tiles``."""
+    return _with_skip(blend_tiles(inputs, keys, mode, opacity), keys)
+
+
+def _with_skip(tiles: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return pixels(tiles, [*keys, "skip_cache"]).select(*keys, "px", "py", *BANDS, "skip_cache")
+
+
+def blend_tiles(
+    inputs: Sequence[DataFrame], keys: Sequence[str], mode: str = "normal", opacity: float = 0.0
+) -> DataFrame:
+    """Blend 2..100 tile sets over ``keys``, tile to tile: one row in and out, whole bands at a time.
 
     Later inputs go under earlier ones.  Smaller inputs are stretched to the
     largest width and height.  A tile that any input lacks, failed or has more
-    than once gives no pixels; ``blend_errors`` lists exactly those.
+    than once gives no row; ``blend_errors`` lists exactly those.
     """
     check_blend(mode, opacity, len(inputs))
     return _blended(_gather(inputs, keys), keys, len(inputs), mode, opacity)
@@ -228,7 +254,7 @@ def blend_layers(
     error = F.col("error") if "error" in store.columns else F.lit(None).cast("string")
     tile = F.struct("width", "height", *BANDS, skip.alias("skip_cache"), error.alias("error"))
     rows = store.where(F.col("layer_name").isin(*layers)).select(*keys, order.alias("_ord"), tile.alias("_tile"))
-    return _blended(_per_input(rows, keys, len(layers)), keys, len(layers), mode, opacity)
+    return _with_skip(_blended(_per_input(rows, keys, len(layers)), keys, len(layers), mode, opacity), keys)
 
 
 def _blended(gathered: DataFrame, keys: Sequence[str], count: int, mode: str, opacity: float) -> DataFrame:
@@ -247,15 +273,29 @@ def _blended(gathered: DataFrame, keys: Sequence[str], count: int, mode: str, op
         skipped.alias("skip_cache"),
         *[f"_t{i}" for i in range(count)],
     )
-    current = with_index(sized)
-    for i in range(count):
-        t = F.col(f"_t{i}")
-        current = current.withColumn(
-            "_at", resampled_index("width", "height", t["width"], t["height"])
-        )
-        sample = {band: F.get(t[band], F.col("_at")) for band in BANDS}
-        current = blend_pixels(current, mode, sample, opacity) if i else current.withColumns(sample)
-    return current.select(*keys, "px", "py", *BANDS, "skip_cache")
+    kinds = {f.name: f.dataType.simpleString() for f in sized.schema}
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in [*keys, "width", "height", "skip_cache"]), *(f"{c} array<int>" for c in BANDS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pixels = batch.column("width").to_numpy().astype(np.int64) * batch.column("height").to_numpy()
+            block = np.cumsum(pixels) // BLOCK_PIXELS
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(batch)]
+            for low, high in zip(cuts[:-1], cuts[1:]):
+                part = batch.slice(low, high - low)
+                if not len(part):
+                    continue
+                width, height = (part.column(c).to_numpy().astype(np.int64) for c in ("width", "height"))
+                layers = (_stretched(part.column(f"_t{i}"), width, height) for i in range(count))
+                out = next(layers)
+                for under in layers:
+                    out = blend_bands(out, under, mode, opacity)
+                ends = pa.array(np.concatenate(([0], np.cumsum(width * height))), pa.int32())
+                bands = [pa.ListArray.from_arrays(ends, pa.array(out[c], pa.int32())) for c in BANDS]
+                names = [*keys, "width", "height", "skip_cache"]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *bands], [*names, *BANDS])
+
+    return sized.mapInArrow(run, schema).select(*keys, "width", "height", *BANDS, "skip_cache")
 
 
 def blend_errors(inputs: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:

@@ -28,9 +28,18 @@ def over(spark, sf):
 
 
 def coarse(spark, sf):
-    """4x4 tiles: the first sixteen values; one tile in ten is missing or failed."""
+    """4x4 tiles: the means of two by two pixels; one tile in ten is missing or failed."""
     t = d.raster_tiles(spark, sf, 32)
-    small = t.withColumns({b: F.slice(b, 1, 16) for b in r.BANDS}).withColumns(
+
+    def halved(band):
+        def mean(i):
+            first = F.floor(i / 4).cast("int") * 16 + i % 4 * 2
+            total = sum(F.get(band, first + k) for k in (0, 1, 8, 9))
+            return F.floor(total / 4).cast("int")
+
+        return F.transform(F.sequence(F.lit(0), F.lit(15)), mean)
+
+    small = t.withColumns({b: halved(b) for b in r.BANDS}).withColumns(
         {"width": F.lit(4), "height": F.lit(4), "error": F.when(F.col("vec_id") % 20 == 3, F.lit("bad")),
          "skip_cache": F.col("vec_id") % 5 == 0}
     )
@@ -79,6 +88,13 @@ def large_tiles(spark, sf):
     )
 
 
+def blended_large(spark, sf):
+    """256 x 256 tiles under their own colours turned, one of which is the alpha: tile to tile, then shown as pixels."""
+    tiles = large_tiles(spark, sf)
+    veil = tiles.withColumns({"r": F.col("g"), "g": F.col("b"), "b": F.col("r"), "a": F.col("g")})
+    return r.pixels(r.blend_tiles([veil, tiles], KEYS, "overlay"), KEYS)
+
+
 def smoothed_large(spark, sf):
     px = r.focal_effect(large_tiles(spark, sf), KEYS, "gaussian", 1.5)
     return px.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("pixels"), F.max("px").alias("last"), F.sum("a").alias("alpha"))
@@ -141,7 +157,7 @@ def focal(mode, amount):
 
 
 def constant_tiles(spark, sf):
-    keys = d.tile_requests(spark, sf).where("layer_name = 'osm'").select("z", "x", "y").distinct()
+    keys = d.tile_requests(spark, sf).select("layer_name", "z", "x", "y").distinct()
     return r.constant_tiles(keys, "f018")
 
 
@@ -160,6 +176,7 @@ QUERIES = {
     "packed_pixels": packed,
     **{key("blend_", m): blend_mode(m) for m in r.BLEND_MODES},
     "blend_resampled": blend_resampled,
+    "blend_large": blended_large,
     "blend_errors": blend_errors,
     "blend_keys": blend_keys,
     "blended_pattern": blended_pattern,
@@ -178,17 +195,16 @@ W = "WITH "
 _K = "z, x, y, vec_id"
 
 
-def _pix(name="p", shift=0, size=64, alpha="255"):
+def _pix(name="p", shift=0, alpha="255"):
     """Pixel rows of a raster input; q is the position, c<band> the value."""
-    side = 8 if size == 64 else 4
 
     def band(extra):
         return f"CAST((CAST(floor(abs(CAST(embedding[q + 1] AS DOUBLE)) * 1000) AS INT) + {extra + shift}) % 256 AS INT)"
 
     return f"""{name} AS (SELECT 5 AS z, CAST(vec_id % 32 AS INT) AS x, CAST((vec_id // 32) % 32 AS INT) AS y, vec_id,
-    CAST(q % {side} AS INT) AS px, CAST(q // {side} AS INT) AS py, {band(0)} AS r, {band(85)} AS g, {band(170)} AS b,
+    CAST(q % 8 AS INT) AS px, CAST(q // 8 AS INT) AS py, {band(0)} AS r, {band(85)} AS g, {band(170)} AS b,
     {alpha if alpha == '255' else band(85)} AS a
-  FROM embeddings, (SELECT unnest(range({size})) AS q) i)"""
+  FROM embeddings, (SELECT unnest(range(64)) AS q) i)"""
 
 
 def _byte(e):
@@ -287,10 +303,19 @@ SQL = {
     "packed_pixels": f"""SELECT 5 AS z, CAST(vec_id % 32 AS INT) AS x, CAST((vec_id // 32) % 32 AS INT) AS y, vec_id,
       8 AS width, 8 AS height, true AS same FROM embeddings""",
     **{key("blend_", m): _blend(m, 0.25 if m == "opacity" else 1.0) for m in r.BLEND_MODES},
-    "blend_resampled": W + _pix("c0", 32, 16) + f""", c AS (SELECT * FROM c0 WHERE vec_id % 20 NOT IN (3, 13)), """ + _pix("v", 64, alpha="g") + ", " + _pix("w") + f""",
+    "blend_resampled": W + _pix("c0", 32) + f""", c AS (
+        SELECT {_K}, px // 2 AS px, py // 2 AS py, {", ".join(f"CAST(sum({c}) // 4 AS INT) AS {c}" for c in "rgba")}
+        FROM c0 WHERE vec_id % 20 NOT IN (3, 13) GROUP BY {_K}, px // 2, py // 2), """ + _pix("v", 64, alpha="g") + ", " + _pix("w") + f""",
       m1 AS (SELECT u.z, u.x, u.y, u.vec_id, u.px, u.py, {_mix('screen')} FROM v u JOIN c o
         ON o.vec_id = u.vec_id AND o.px = u.px // 2 AND o.py = u.py // 2)
       SELECT {_K}, px, py, {_mix('screen')}, vec_id % 5 = 0 AS skip_cache FROM w u JOIN m1 o USING ({_K}, px, py)""",
+    "blend_large": W + _pix("p0") + f""", p AS (
+        SELECT vec_id // 1024 AS vec_id, (vec_id % 1024) * 64 + py * 8 + px AS i, r, g, b, a FROM p0),
+      whole AS (SELECT v.vec_id, j.i, coalesce(r, 0) AS r, coalesce(g, 0) AS g, coalesce(b, 0) AS b, coalesce(a, 0) AS a
+        FROM (SELECT DISTINCT vec_id FROM p) v CROSS JOIN (SELECT unnest(range(65536)) AS i) j LEFT JOIN p ON p.vec_id = v.vec_id AND p.i = j.i),
+      veil AS (SELECT vec_id, i, g AS r, b AS g, r AS b, g AS a FROM whole)
+      SELECT 5 AS z, 0 AS x, 0 AS y, vec_id, CAST(i % 256 AS INT) AS px, CAST(i // 256 AS INT) AS py, {_mix('overlay')}
+      FROM whole u JOIN veil o USING (vec_id, i)""",
     "effect_gaussian_large": """SELECT 5 AS z, 0 AS x, 0 AS y, vec_id // 1024 AS vec_id, CAST(65536 AS BIGINT) AS pixels,
       255 AS last, CAST(sum(255 * 64) AS BIGINT) AS alpha FROM embeddings GROUP BY vec_id // 1024""",
     "blend_errors": """SELECT 5 AS z, CAST(vec_id % 32 AS INT) AS x, CAST((vec_id // 32) % 32 AS INT) AS y, vec_id, 1 AS missing, 0 AS repeated
@@ -302,7 +327,7 @@ SQL = {
       FROM embeddings""",
     "resampled": W + _pix() + f""", t AS (SELECT CAST(unnest(range(12)) AS INT) AS nx), s AS (SELECT CAST(unnest(range(10)) AS INT) AS ny)
       SELECT {_K}, nx AS px, ny AS py, r, g, b, a FROM p, t, s WHERE px = nx * 8 // 12 AND py = ny * 8 // 10""",
-    "cropped": W + _pix("p") + ", " + _pix("s", 64, alpha="g") + f""", e AS (SELECT *, {_TILE['s']} AS ts, {_TILE['n']} AS tn, {_TILE['w']} AS tw, {_TILE['e']} AS te,
+    "cropped": W + _pix("p") + ", " + _pix("s", 64, "g") + f""", e AS (SELECT *, {_TILE['s']} AS ts, {_TILE['n']} AS tn, {_TILE['w']} AS tw, {_TILE['e']} AS te,
           vec_id % 5 = 0 AS o, {sql.lat_edge('y')} > -40.5 AND {sql.lat_edge('y + 1')} < 60.25 AND {sql.lon_edge('x + 1')} > -100.3 AND {sql.lon_edge('x')} < 120.7 AS meets FROM p),
       f AS (SELECT *, px / 8.0::DOUBLE * abs(te - tw) + tw + abs(te - tw) / 8 / 2 AS lon, tn - py / 8.0::DOUBLE * abs(tn - ts) - abs(tn - ts) / 8 / 2 AS lat FROM e),
       g AS (SELECT *, o OR (meets AND lat + 0.00000001 >= {sql.lat_m('(-40.5::DOUBLE)')} AND lat <= {sql.lat_m('60.25::DOUBLE')} + 0.00000001
@@ -329,8 +354,8 @@ SQL = {
     "effect_emboss": _grouped(1, "(" + _kernel(((-1, -1, 0), (-1, 0, 1), (0, 1, 1))) + " + 128)"),
     "effect_sharpen": _grouped(1, _kernel(((0, -1, 0), (-1, 5, -1), (0, -1, 0)))),
     "effect_sobel": _grouped(1, f"sqrt(pow(CAST({_SX} AS DOUBLE), 2.0) + pow(CAST({_SY} AS DOUBLE), 2.0))"),
-    "constant_tiles": W + sql.REQ + """ SELECT DISTINCT z, x, y, 512 AS width, 512 AS height, 255 AS r, 0 AS g, 17 AS b, 136 AS a
-      FROM req WHERE layer_name = 'osm'""",
+    "constant_tiles": W + sql.REQ + """ SELECT DISTINCT layer_name, z, x, y, 512 AS width, 512 AS height, 255 AS r, 0 AS g, 17 AS b, 136 AS a
+      FROM req""",
     "constant_blend": W + _pix("u") + f" SELECT {_K}, px, py, {_mix('normal')} FROM u, (SELECT 10 AS r, 100 AS g, 128 AS b, 128 AS a) o",
 }
 _W = [math.exp(-(k * k) / 6.0) for k in range(-2, 3)]

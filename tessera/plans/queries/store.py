@@ -112,8 +112,8 @@ def verify_summary(spark, sf):
 
 
 def _plan(spark, sf):
-    # The plan covers every tile ever asked for below zoom 9.
-    return d.tile_requests(spark, sf).where("z < 9").select(*st.TILE).distinct()
+    # The plan covers every tile ever asked for.
+    return d.tile_requests(spark, sf).select(*st.TILE).distinct()
 
 
 def missing_tiles(spark, sf):
@@ -237,9 +237,9 @@ SQL = {
       {_GEN} SELECT layer_name, count(*) AS tiles, count(*) FILTER (generated) AS generated,
         count(*) FILTER (generated AND written) AS cache_write, count(*) FILTER (generated AND written AND same) AS cache_read,
         count(*) FILTER (NOT (generated AND written AND same)) AS errors FROM v GROUP BY 1""",
-    "missing_tiles": W + _LATEST + f""" SELECT DISTINCT {K} FROM req WHERE z < 9 AND ({K}) NOT IN (
+    "missing_tiles": W + _LATEST + f""" SELECT DISTINCT {K} FROM req WHERE ({K}) NOT IN (
       SELECT ({K}) FROM latest WHERE written_at + INTERVAL {TTL} SECOND > TIMESTAMP '2024-01-20 12:00:00')""",
-    "present_tiles": W + _LATEST + f" SELECT DISTINCT {K} FROM req WHERE z < 9 AND ({K}) IN (SELECT ({K}) FROM latest)",
+    "present_tiles": W + _LATEST + f" SELECT DISTINCT {K} FROM req WHERE ({K}) IN (SELECT ({K}) FROM latest)",
     "collisions": W + sql.REQ + """, n AS (SELECT DISTINCT layer_name || CASE request_id % 4 WHEN 0 THEN '/' WHEN 1 THEN ' ' WHEN 2 THEN '_' ELSE '..' END || user_id AS layer_name FROM req),
       s AS (SELECT layer_name, regexp_replace(regexp_replace(layer_name, '[^A-Za-z0-9.-]', '_', 'g'), '\\.{2,}', '_', 'g') AS safe_name FROM n),
       c AS (SELECT *, count(*) OVER (PARTITION BY safe_name) AS names FROM s) SELECT layer_name, safe_name, names FROM c WHERE names > 1""",

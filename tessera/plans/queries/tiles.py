@@ -111,7 +111,7 @@ def bounds_geometry(spark, sf):
 def projected_boxes(spark, sf):
     once = t.to_3857(t.bounds_confine("box"))
     twice = t.to_3857(once)
-    return _boxes(spark, sf).where("request_id % 9 <> 0").select(
+    return _boxes(spark, sf).select(
         "request_id", *[rounded(once[s], 3).alias(s) for s in ("south", "north", "west", "east")],
         (twice == once).alias("stable"),
     )
@@ -326,7 +326,7 @@ SQL = {
     "projected_boxes": W + _BOXES + " SELECT request_id, " + ", ".join(
         f"{R((sql.lat_m if k in ('bs', 'bn') else sql.lon_m)(f'greatest(-{lim}, least({lim}, {k}))'), 3)} AS {name}"
         for k, name, lim in (("bs", "south", 85.0511), ("bn", "north", 85.0511), ("bw", "west", 180.0), ("be", "east", 180.0))
-    ) + ", true AS stable FROM tb WHERE NOT o",
+    ) + ", true AS stable FROM tb",
     "feature_tile_counts": W + sql.FEAT + f""", fz AS (SELECT *, unnest([3, 6]) AS z FROM feat)
       SELECT z, CAST(greatest(0, least(pow(2.0, z) - 1, floor((lon + 180) / 360 * pow(2.0, z)))) AS INT) AS x,
         CAST(greatest(0, least(pow(2.0, z) - 1, floor({_row("lat")}))) AS INT) AS y,

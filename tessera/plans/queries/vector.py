@@ -104,7 +104,7 @@ def order_boxes(spark, sf):
 
 
 def constant_vector(spark, sf):
-    keys = d.tile_requests(spark, sf).where("layer_name = 'osm'").select(*TILE).distinct()
+    keys = d.tile_requests(spark, sf).select(*TILE).distinct()
     box = raster.constant_vector_tiles(keys)
     corner = F.col("features")[0]["ring"][2]
     return box.select("layer", *TILE, "n", corner["qx"].alias("qx"), corner["qy"].alias("qy"))
@@ -223,5 +223,5 @@ SQL = {
         ON u1 >= x - 0.125 AND u0 <= x + 1.125 AND v1 >= y - 0.125 AND v0 <= y + 1.125
           AND u1 >= 0 AND u0 <= 16 AND v1 >= 0 AND v0 <= 16 GROUP BY ALL""",
     "constant_vector_tiles": W + sql.REQ + """ SELECT DISTINCT 'box' AS layer, z, x, y, 1 AS n, 4096 AS qx, 4096 AS qy
-      FROM req WHERE layer_name = 'osm'""",
+      FROM req""",
 }

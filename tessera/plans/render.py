@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from tessera.functions.tiles import MAX_LAT
-from tessera.operators.raster import blend, pack
+from tessera.operators.raster import blend_tiles
 from tessera.operators.store import (
     TILE,
     fresh_tiles,
@@ -30,7 +30,7 @@ from tessera.operators.usage import (
     usage_by_zoom,
     usage_totals,
 )
-from tessera.operators.vector import build_vector_tiles
+from tessera.operators.vector import build_geometry_tiles, build_vector_tiles
 from tessera.plans.seed import check_plan, rejected_regions, seed_plan
 from tessera.sources.store import write_tile_store
 
@@ -155,23 +155,28 @@ def seed_run(
     )
 
 
-def vector_build(points: DataFrame, zooms: Iterable[int], target: str, **options) -> DataFrame:
+def vector_build(features: DataFrame, zooms: Iterable[int], target: str, **options) -> DataFrame:
     """Build vector tiles and write them by zoom; returns the written table.
 
-    The whole target is replaced: zooms of an earlier build do not stay.
+    ``features`` are points with lon and lat, or have a ``geom`` of any kind.  The whole target
+    is replaced: zooms of an earlier build do not stay.
     """
-    tiles = build_vector_tiles(points, zooms, **options)
+    build = build_geometry_tiles if "geom" in features.columns else build_vector_tiles
+    tiles = build(features, zooms, **options)
     tiles.withColumn("zoom", F.col("z")).hint("rebalance", "zoom").write.mode("overwrite").option(
         "partitionOverwriteMode", "static"
     ).partitionBy("zoom").parquet(target)
-    return points.sparkSession.read.parquet(target).drop("zoom")
+    return features.sparkSession.read.parquet(target).drop("zoom")
 
 
 def raster_build(
     inputs: Sequence[DataFrame], keys: Sequence[str], target: str, mode: str = "normal", opacity: float = 0.0
 ) -> DataFrame:
-    """Blend raster layers, pack the pixels and write the tiles; returns the written table."""
-    pack(blend(inputs, keys, mode, opacity), keys).write.mode("overwrite").parquet(target)
+    """Blend raster layers tile to tile and write the tiles; returns the written table.
+
+    Nothing is shuffled after the inputs' tiles have met.
+    """
+    blend_tiles(inputs, keys, mode, opacity).write.mode("overwrite").parquet(target)
     return inputs[0].sparkSession.read.parquet(target)
 
 

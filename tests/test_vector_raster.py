@@ -283,3 +283,60 @@ def test_composite_of_one_table_takes_one_scan(spark, tmp_path):
     plan = plan[: plan.index("Initial Plan")]
     assert plan.count("FileScan") == 1 and "Window" not in plan
     assert found == {("b", 0, 30, True), ("a", 1, 30, True)}
+
+
+def test_blended_tiles_stay_whole(spark):
+    """Tile to tile: sizes that differ, blocks of a few tiles, and no shuffle after the inputs have met."""
+    rng = random.Random(4)
+    sizes = [(1, 1), (3, 2), (2, 3), (16, 16)]
+    rows = [[], []]
+    for side in (0, 1):
+        for x in range(40):
+            w, h = sizes[(x + side) % 4]
+            rows[side].append((1, x, 0, w, h, *([rng.choice([0, 255, rng.randrange(256)]) for _ in range(w * h)] for _ in "rgba")))
+    kind = "z int, x int, y int, width int, height int, r array<int>, g array<int>, b array<int>, a array<int>"
+    over, under = (spark.createDataFrame(r_, kind) for r_ in rows)
+    for mode in r.BLEND_MODES:
+        tiles = r.blend_tiles([over, under], KEYS, mode, 0.3 if mode == "opacity" else 0.0)
+        assert "Exchange" not in tiles._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+        got = {t["x"]: t for t in tiles.collect()}
+        assert len(got) == 40
+        for (_, x, _, w, h, *o), (_, _, _, uw, uh, *u) in zip(*rows):
+            W, H = max(w, uw), max(h, uh)
+            assert (got[x]["width"], got[x]["height"]) == (W, H)
+            for i in range(W * H):
+                at = [((i // W) * ph // H) * pw + (i % W) * pw // W for pw, ph in ((w, h), (uw, uh))]
+                s_, b_ = ([band[k] / 255 for band in bands] for bands, k in ((o, at[0]), (u, at[1])))
+                assert tuple(got[x][c][i] for c in "rgba") == mixed(mode, s_, b_, 0.3 if mode == "opacity" else 1.0), (mode, s_, b_)
+
+
+def mixed(mode, s, b, share):
+    """One pixel by the compositing equation."""
+    sa, ab = s[3] * share, b[3]
+    ao = sa + ab * (1 - sa)
+
+    def fn(b, s):
+        return {
+            "add": lambda: b + s, "color burn": lambda: 1.0 if b >= 1 else 0.0 if s <= 0 else 1 - (1 - b) / s,
+            "color dodge": lambda: 0.0 if b <= 0 else 1.0 if s >= 1 else b / (1 - s), "darken": lambda: min(b, s),
+            "difference": lambda: abs(b - s), "divide": lambda: 1.0 if s <= 0 else b / s, "exclusion": lambda: b + s - 2 * b * s,
+            "lighten": lambda: max(b, s), "linear burn": lambda: b + s - 1, "linear light": lambda: b + 2 * s - 1,
+            "multiply": lambda: b * s, "normal": lambda: s, "opacity": lambda: s,
+            "overlay": lambda: 2 * b * s if b <= 0.5 else 1 - 2 * (1 - b) * (1 - s), "screen": lambda: b + s - b * s,
+            "soft light": lambda: (1 - 2 * s) * b * b + 2 * b * s, "subtract": lambda: s - b,
+        }[mode]()
+
+    def byte(v):
+        return max(0, min(255, math.floor(v + 0.5)))
+
+    out = []
+    for cs, cb in zip(s[:3], b[:3]):
+        total = sa * (1 - ab) * cs + sa * ab * max(0.0, min(1.0, fn(cb, cs))) + (1 - sa) * ab * cb
+        out.append(byte(total / ao * 255 if ao > 0 else 0.0))
+    return (*out, byte(ao * 255))
+
+
+def test_bands_must_fit(spark):
+    bad = tile(spark, ([1, 2], 0, 0, 255))
+    with pytest.raises(Exception, match="does not fit"):
+        r.blend_tiles([bad, tile(spark, (0, 0, 0, 255))], KEYS).collect()
