@@ -63,7 +63,7 @@ def change_alerts(spark, sf):
     out = shared_dir(spark, "alerts")
     i = F.col("request_id")
     key = F.concat_ws("/", "layer_name", "z", "x", "y")
-    observed = request_stream(spark, sf).where(i % 3 == 0).select(
+    observed = request_stream(spark, sf).select(
         "layer_name", "z", "x", "y", F.col("time").alias("written_at"), i.alias("version"),
         F.concat(key, F.when(i % 7 == 0, F.lit("-old")).otherwise(F.lit(""))).cast("binary").alias("content"),
         "content_type",
@@ -167,7 +167,11 @@ SQL = {
       CAST(sum(bytes) AS BIGINT) AS bytes FROM ev
       WHERE date_trunc('hour', time) + INTERVAL 1 HOUR <= (SELECT max(time) FROM ev) - INTERVAL 2 HOUR GROUP BY 1, 2, 3, 4""",
     "stream_first_fetches": store.SQL["first_fetches"],
-    "stream_change_alerts": store.SQL["change_points"],
+    "stream_change_alerts": W + sql.REQ + f""", seen AS (
+        SELECT *, concat_ws('/', layer_name, z, x, y) || CASE WHEN request_id % 7 = 0 THEN '-old' ELSE '' END AS content FROM req),
+      l AS (SELECT *, lag(content) OVER w AS pc, lag(content_type) OVER w AS pt
+        FROM seen WINDOW w AS (PARTITION BY {store.K} ORDER BY time, request_id))
+      SELECT {store.K}, request_id AS version, content_type FROM l WHERE pc IS NOT NULL AND (pc <> content OR pt <> content_type)""",
     "stream_enriched": W + logs.AUDIT + " SELECT request_id, layer_id, verdict, CAST(10485760 AS BIGINT) AS max_length FROM v",
     "stream_contained_failures": W + sql.EV + """ SELECT 'webhook' AS sink, 'ConnectionError: refused' AS error,
       count(*) AS events FROM ev""",

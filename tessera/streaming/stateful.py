@@ -1,12 +1,19 @@
-"""Keyed streaming state: upstream fetches under a lifetime, change alerts."""
+"""Keyed streaming state: upstream fetches under a lifetime, change alerts.
+
+Both are stateful processors with one small value per tile, kept in RocksDB, so state may
+outgrow memory and a micro-batch touches only the tiles that it has rows for.  The values
+can start from a batch table, and be read with Spark's ``statestore`` source.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tessera.functions.keys import etag
 from tessera.operators.store import TILE
@@ -15,10 +22,65 @@ from tessera.operators.store import TILE
 TTL_MEMORY = 3600
 TTL_KEY_VALUE = 86_400
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _stateful(
+    rows: DataFrame, keys: Sequence[str], processor: StatefulProcessor, schema: T.StructType, time_mode: str, initial: DataFrame | None
+) -> DataFrame:
+    """Rows through a processor; sets the session's state store, which these processors need."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    start = None if initial is None else initial.groupBy(*keys)
+    return rows.groupBy(*keys).transformWithState(processor, schema, "Append", time_mode, start)
+
+
+class Fetches(StatefulProcessor):
+    """Emits the seconds at which a tile is fetched; the state is when its copy runs out."""
+
+    def __init__(self, keys: Sequence[str], ttl_seconds: int):
+        self.row, self.ttl = Row(*keys, "fetched_at"), ttl_seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.free_at = handle.getValueState("free_at", T.StructType([T.StructField("free_at", T.LongType())]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        # Distinct seconds only: small however hot the tile is.
+        seconds = sorted({row["fetched_at"] for row in rows} - {None})
+        known = self.free_at.get()
+        free_at = before = known[0] if known else -sys.maxsize
+        for second in seconds:
+            if second >= free_at:
+                free_at = second + self.ttl
+                yield self.row(*key, second)
+        if free_at != before:
+            self.free_at.update((free_at,))
+            if not known:
+                self._expire(free_at, timerValues)
+
+    def _expire(self, free_at: int, timerValues) -> None:
+        """One timer per tile; it is set again where the copy has been renewed meanwhile."""
+        self.handle.registerTimer(max(free_at * 1000, timerValues.getCurrentWatermarkInMs() + 1))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        known = self.free_at.get()
+        if known and known[0] * 1000 > timerValues.getCurrentWatermarkInMs():
+            self._expire(known[0], timerValues)
+        else:
+            self.free_at.clear()
+        return iter(())
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        free_at = initialState["fetched_at"] + self.ttl
+        self.free_at.update((free_at,))
+        self._expire(free_at, timerValues)
+
+    def close(self) -> None:
+        pass
+
 
-def _key_schema(df: DataFrame, keys: Sequence[str]) -> list[str]:
-    types = {f.name: f.dataType.simpleString() for f in df.schema}
-    return [f"`{k}` {types[k]}" for k in keys]
+def _output(df: DataFrame, names: Sequence[str], *more: T.StructField) -> T.StructType:
+    return T.StructType([*(T.StructField(c, df.schema[c].dataType) for c in names), *more])
 
 
 def fetch_stream(
@@ -27,95 +89,71 @@ def fetch_stream(
     lateness: str = "1 hour",
     keys: Sequence[str] = TILE,
     time: str = "time",
+    initial: DataFrame | None = None,
 ) -> DataFrame:
     """Requests that reach the upstream, per tile, as in ``first_fetches``.
 
     The state is one number per tile: when its copy runs out.  Inside a
     micro-batch a tile's requests are taken in event-time order, so the result
     does not depend on where batches are cut as long as files arrive in time
-    order.  The state goes once the watermark passes it.
+    order.  A timer removes the state once the watermark has passed it.  ``initial``
+    has each tile's last ``fetched_at`` from before, at most one row a tile.
     """
     timed = requests.select(
         *keys,
         F.col(time).cast("timestamp").alias("_t"),
         F.unix_timestamp(F.col(time).cast("timestamp")).alias("fetched_at"),
     ).withWatermark("_t", lateness)
+    schema = _output(timed, [*keys, "fetched_at"])
+    return _stateful(timed, keys, Fetches(keys, ttl_seconds), schema, "EventTime", initial)
 
-    def step(key, chunks, state):
-        import numpy as np
-        import pandas as pd
 
-        if state.hasTimedOut:
-            state.remove()
-            return
-        free_at = state.get[0] if state.exists else -(2**62)
-        # Distinct seconds only: small however hot the tile is.
-        seconds = np.empty(0, dtype="int64")
-        for pdf in chunks:
-            seconds = np.union1d(seconds, pdf["fetched_at"].to_numpy())
-        fetched = []
-        at = int(np.searchsorted(seconds, free_at))
-        while at < len(seconds):
-            fetched.append(int(seconds[at]))
-            free_at = fetched[-1] + ttl_seconds
-            at = int(np.searchsorted(seconds, free_at))
-        state.update((free_at,))
-        ends = free_at * 1000
-        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
-        if fetched:
-            rows = pd.DataFrame({"fetched_at": fetched})
-            for name, value in zip(reversed(keys), reversed(key)):
-                rows.insert(0, name, value)
-            yield rows
-
-    return timed.groupBy(*keys).applyInPandasWithState(
-        step,
-        outputStructType=", ".join([*_key_schema(timed, keys), "fetched_at bigint"]),
-        stateStructType="free_at bigint",
-        outputMode="append",
-        timeoutConf=GroupStateTimeout.EventTimeTimeout,
-    )
+class Changes(StatefulProcessor):
+    """Emits observations that differ from the one before; the state is the last one's tag and type."""
+
+    COLUMNS = ("written_at", "version", "etag", "content_type")
+
+    def __init__(self, keys: Sequence[str]):
+        self.row = Row(*keys, *self.COLUMNS, "previous_etag")
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        fields = [T.StructField(c, T.StringType()) for c in ("etag", "content_type")]
+        self.last = handle.getValueState("last", T.StructType(fields))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        last = self.last.get()
+        # Tags and types repeat, so they are kept once; a row then costs its time and version.
+        seen = sorted(
+            ((r["written_at"], r["version"], _kept(r["etag"]), _kept(r["content_type"])) for r in rows),
+            key=lambda r: [(v is not None, v) for v in r[:2]],
+        )
+        before = tuple(last) if last else None
+        for *place, tag, kind in seen:
+            if before is not None and before != (tag, kind):
+                yield self.row(*key, *place, tag, kind, before[0])
+            before = tag, kind
+        if seen and (last is None or before != tuple(last)):
+            self.last.update(before)
 
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.last.update((initialState["etag"], initialState["content_type"]))
 
-def change_stream(observations: DataFrame, keys: Sequence[str] = TILE) -> DataFrame:
+    def close(self) -> None:
+        pass
+
+
+def _kept(text: str | None) -> str | None:
+    return text and sys.intern(text)
+
+
+def change_stream(observations: DataFrame, keys: Sequence[str] = TILE, initial: DataFrame | None = None) -> DataFrame:
     """Alert when a tile's content or type differs from the observation before.
 
-    The first observation of a tile sets its baseline, each alert moves it.
+    The first observation of a tile sets its baseline, each later one moves it.  ``initial`` has
+    each tile's last ``etag`` and ``content_type`` from before, at most one row a tile.
     """
     seen = observations.select(
         *keys, "written_at", "version", etag("content").alias("etag"), "content_type"
     )
-    columns = ["written_at", "version", "etag", "content_type"]
-
-    def step(key, chunks, state):
-        import pandas as pd
-
-        parts = [pdf[columns] for pdf in chunks]
-        if not parts:
-            return
-        batch = pd.concat(parts).sort_values(["written_at", "version"], kind="stable")
-        previous = batch[["etag", "content_type"]].shift()
-        if state.exists:
-            previous.iloc[0] = list(state.get)
-            changed = pd.Series(True, index=batch.index)
-        else:
-            changed = pd.Series(range(len(batch)), index=batch.index) > 0
-        changed &= (previous["etag"] != batch["etag"]) | (
-            previous["content_type"].fillna("") != batch["content_type"].fillna("")
-        )
-        state.update(tuple(batch[["etag", "content_type"]].iloc[-1]))
-        alerts = batch[changed].assign(previous_etag=previous["etag"][changed])
-        if len(alerts):
-            for name, value in zip(reversed(keys), reversed(key)):
-                alerts.insert(0, name, value)
-            yield alerts
-
-    types = {f.name: f.dataType.simpleString() for f in seen.schema}
-    schema = _key_schema(seen, keys) + [f"{c} {types[c]}" for c in columns] + ["previous_etag string"]
-    return seen.groupBy(*keys).applyInPandasWithState(
-        step,
-        outputStructType=", ".join(schema),
-        stateStructType="etag string, content_type string",
-        outputMode="append",
-        timeoutConf=GroupStateTimeout.NoTimeout,
-    )
+    schema = _output(seen, [*keys, *Changes.COLUMNS], T.StructField("previous_etag", T.StringType()))
+    return _stateful(seen, keys, Changes(keys), schema, "None", initial)

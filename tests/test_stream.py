@@ -1,11 +1,15 @@
 """Streams give the batch result however the input is cut."""
 
+import datetime as dt
+import os
+import shutil
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators.store import change_points, first_fetches
+from tessera.functions.keys import etag
+from tessera.operators.store import TILE as KEYS, change_points, first_fetches
 from tessera.plans.queries.stream import finish
 from tessera.sources import derived as d
 from tessera.sources.events import to_tile_events
@@ -58,6 +62,54 @@ def test_alerts_match_batch(spark, split_requests, tmp_path):
     assert want.select(names).exceptAll(rows.select(names)).count() == 0
 
 
+def test_fetches_go_on_after_a_restart(spark, split_requests, tmp_path):
+    """Stopped after some files and started again, from a state that is read back in between."""
+    path, table = split_requests
+    files = sorted(os.listdir(path))
+    files = sorted((f for f in files if f.endswith(".parquet")), key=lambda f: spark.read.parquet(f"{path}/{f}").agg(F.min("time")).first()[0])
+    half = tmp_path / "half"
+    half.mkdir()
+    want = first_fetches(table, 86_400)
+    for part in (files[:4], files[4:]):
+        for f in part:
+            shutil.copy(f"{path}/{f}", half / f)
+            os.utime(half / f, (files.index(f) + 1e9, files.index(f) + 1e9))
+        rows = drain(stateful.fetch_stream(ingest.read_stream(spark, str(half), table.schema, files_per_trigger=1), 86_400), tmp_path)
+        state = spark.read.format("statestore").option("stateVarName", "free_at").load(f"{tmp_path}/checkpoint")
+        held = state.select("key.*", F.col("value.free_at").alias("free_at"))
+        last = rows.groupBy(*KEYS).agg((F.max("fetched_at") + 86_400).alias("free_at"))
+        # What has been held is the last fetch of its tile; copies that ran out are gone.
+        assert 0 < held.count() <= last.count() and held.exceptAll(last).isEmpty()
+    assert rows.exceptAll(want).isEmpty() and want.exceptAll(rows).isEmpty()
+    assert held.count() < last.count()
+
+
+def test_state_starts_from_a_batch_table(spark, split_requests, tmp_path):
+    path, table = split_requests
+    day = F.dayofmonth("time")
+    early, late = table.where(day < 15), table.where(day >= 15)
+    late.write.parquet(f"{tmp_path}/late")
+    known = first_fetches(early, 86_400).groupBy(*KEYS).agg(F.max("fetched_at").alias("fetched_at"))
+    source = ingest.read_stream(spark, f"{tmp_path}/late", table.schema)
+    got = drain(stateful.fetch_stream(source, 86_400, initial=known), tmp_path)
+    first_late = late.agg(F.min(F.unix_timestamp(F.col("time").cast("timestamp")))).first()[0]
+    want = first_fetches(table, 86_400).where(F.col("fetched_at") >= first_late)
+    assert want.count() > 10 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_alerts_start_from_a_batch_table(spark, tmp_path):
+    kind = "layer_name string, z int, x int, y int, written_at timestamp_ntz, version long, content binary, content_type string"
+    now = dt.datetime(2024, 1, 1)
+    rows = [("a", 0, 0, 0, now, 1, b"new", "t"), ("b", 0, 0, 0, now, 1, b"same", "t"), ("c", 0, 0, 0, now, 1, b"x", None), ("d", 0, 0, 0, None, None, b"x", "t")]
+    spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/seen")
+    tag = spark.range(1).select(etag(F.lit(b"same")).alias("e")).first()["e"]
+    before = [(n, 0, 0, 0, tag if n == "b" else "old", "t") for n in "ab"]
+    initial = spark.createDataFrame(before, "layer_name string, z int, x int, y int, etag string, content_type string")
+    source = ingest.read_stream(spark, f"{tmp_path}/seen", spark.read.parquet(f"{tmp_path}/seen").schema)
+    got = drain(stateful.change_stream(source, initial=initial), tmp_path).collect()
+    assert [(r["layer_name"], r["previous_etag"]) for r in got] == [("a", "old")]
+
+
 def test_ingest_resumes_without_doubles(spark, split_requests, tmp_path):
     target, checkpoint = f"{tmp_path}/events", f"{tmp_path}/cp"
     for _ in range(2):
