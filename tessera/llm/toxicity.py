@@ -7,10 +7,13 @@ pair, such as an insult with the mention of a group, counts beyond its parts.
 
 The model is fitted on the driver in numpy, by stochastic gradient descent with
 step sizes per weight, on at most ``LABELLED`` labelled rows, those with the
-smallest hash of their id.  Executors count terms and send only those that at least
-``LEAST_ROWS`` of these rows have and whose toxic share differs from that of all
-rows by ``LEAST_Z`` standard errors, at most ``TERMS``, the clearest first; a model
-with every rare term would learn the rows by heart.  Scores are then computed in one pass over all texts, without a shuffle.
+smallest hash of their id.  Every term that at least ``LEAST_ROWS`` of these rows have is
+in the model.  So that it does not learn the rows by heart, a term's weights decay
+strongly unless the rows speak for it, by itself or in a pair: its toxic share, or that
+of the rows which have it together with some other term, differs from the share of all
+rows by ``CLEAR`` or ``CLEAR_PAIR`` standard errors.  Pairs are counted among the
+``PAIRED`` terms that most rows have; so two words may say nothing each and all
+together.  Scores are then computed in one pass over all texts, without a shuffle.
 
 Defined results: a null or empty text has no terms and gets the model's base score;
 repeated rows get equal scores; of labels that contradict each other the largest
@@ -34,11 +37,12 @@ PREFIX = 5
 FACTORS = 8
 LABELLED = 20_000
 LEAST_ROWS = 5
-LEAST_Z = 4.0
-TERMS = 20_000
+PAIRED = 3072
+CLEAR, CLEAR_PAIR = 4.0, 7.0
 EPOCHS = 6
 RATE = 0.1
-DECAY = 2e-5
+#: Weight decay of terms that the rows speak for, and of all others.
+DECAY, STRONG_DECAY = 2e-5, 10.0
 LEAST_SCORE = 0.3
 HELD_OUT = 2
 
@@ -97,8 +101,10 @@ class Machine:
             out[text[at]] += sums[:, 0] + 0.5 * (sums[:, 1:] ** 2 - squares).sum(axis=1)
         return out
 
-    def fit(self, rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, decay: float = DECAY, seed: int = 6) -> None:
-        """Logistic loss; every weight's step shrinks with the squares of its gradients."""
+    def fit(
+        self, rows: list[np.ndarray], labels: np.ndarray, decay: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = 6
+    ) -> None:
+        """Logistic loss; every weight's step shrinks with the squares of its gradients, then the weight decays."""
         rng = np.random.default_rng(seed)
         squares = np.full_like(self.table, 1.0)
         share = labels.mean()
@@ -113,28 +119,53 @@ class Machine:
                 step = np.empty_like(found)
                 step[:, 0] = slope
                 step[:, 1:] = slope * (total - found[:, 1:])
-                step += decay * found
                 np.clip(step, -1, 1, out=step)
                 squares[at] += step * step
-                self.table[at] = found - rate * step / np.sqrt(squares[at])
+                sizes = rate / np.sqrt(squares[at])
+                self.table[at] = (found - sizes * step) / (1 + sizes * decay[at, None])
                 bias_squares += slope * slope
                 self.bias -= rate * slope / np.sqrt(bias_squares)
 
 
+def distance(n: np.ndarray, toxic: np.ndarray, share: float) -> np.ndarray:
+    """Standard errors between the toxic share of n rows and that of all rows; 0 for too few rows."""
+    spread = np.sqrt(np.maximum(n, 1) * share * (1 - share))
+    return np.where(n >= LEAST_ROWS, np.abs(toxic - n * share) / spread, 0.0)
+
+
+def clear_terms(rows: list[np.ndarray], labels: np.ndarray, n_terms: int, paired: int = PAIRED) -> np.ndarray:
+    """Whether the rows speak for each term, by itself or together with another."""
+    each, size = np.concatenate(rows), [len(r) for r in rows]
+    share = labels.mean()
+    n = np.bincount(each, minlength=n_terms)
+    out = distance(n, np.bincount(each, np.repeat(labels, size), minlength=n_terms), share) >= CLEAR
+    often = np.argsort(-n, kind="stable")[:paired]
+    place = np.full(n_terms, -1)
+    place[often] = np.arange(len(often))
+    both, toxic = (np.zeros((len(often), len(often)), np.float32) for _ in range(2))
+    for low in range(0, len(rows), 500):
+        block = np.zeros((len(rows[low : low + 500]), len(often)), np.float32)
+        for i, row in enumerate(rows[low : low + 500]):
+            at = place[row]
+            block[i, at[at >= 0]] = 1
+        both += block.T @ block
+        marked = block[labels[low : low + 500] > 0]
+        toxic += marked.T @ marked
+    for i in range(len(often)):
+        far = distance(both[i], toxic[i], share) >= CLEAR_PAIR
+        far[i] = False
+        if far.any():
+            out[often[i]] = True
+    return out
+
+
 def fitted(docs: DataFrame, labels: DataFrame) -> Machine:
     """A model of the labelled rows; ``labels`` has doc_id and label."""
     known = docs.join(F.broadcast(labels), "doc_id")
     sets = staged(terms_of(known), "terms")
-    total = sets.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
-    share = total[1] / max(total[0], 1)
-    met = sets.select("label", F.explode("terms").alias("bucket")).groupBy("bucket").agg(
-        F.count("*").alias("n"), F.sum("label").alias("toxic")
-    )
-    spread = max(share * (1 - share), 1e-12)
-    clear = F.abs(F.col("toxic") - F.col("n") * F.lit(share)) / F.sqrt(F.col("n") * F.lit(spread))
-    met = met.where(F.col("n") >= LEAST_ROWS).withColumn("z", clear).where(F.col("z") >= LEAST_Z)
-    met = met.orderBy(F.desc("z"), "bucket").limit(TERMS)
-    buckets = np.sort(np.array([r["bucket"] for r in met.select("bucket").collect()], np.int64))
+    met = sets.select(F.explode("terms").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    met = met.where(F.col("n") >= LEAST_ROWS).select("bucket").toArrow()  # as many rows as there are buckets, at most
+    buckets = np.sort(met.column("bucket").to_numpy().astype(np.int64))
     model = Machine(buckets)
     place = np.full(BUCKETS, -1, np.int32)
     place[buckets] = np.arange(len(buckets))
@@ -159,7 +190,9 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Machine:
     lists = sample.column("terms").combine_chunks()
     at = lists.offsets.to_numpy()
     flat = lists.flatten().to_numpy()
-    model.fit([flat[a:b] for a, b in zip(at[:-1] - at[0], at[1:] - at[0])], y)
+    rows = [flat[a:b] for a, b in zip(at[:-1] - at[0], at[1:] - at[0])]
+    clear = clear_terms(rows, y, len(buckets))
+    model.fit(rows, y, np.where(clear, DECAY, STRONG_DECAY).astype(np.float32))
     return model
 
 

@@ -31,6 +31,47 @@ def test_pairs_are_learned_beyond_their_parts(spark):
     assert np.mean([r.predicted == truth[r.doc_id] for r in test]) > 0.97
 
 
+def test_pairs_without_effect_of_their_parts(spark):
+    """Toxic is exactly one of two words: each by itself says nothing, nor does any sum of weights."""
+    rng = random.Random(2)
+    rows, labels = [], []
+    for i in range(4000):
+        one, other = rng.random() < 0.5, rng.random() < 0.5
+        words = [rng.choice("abcdefghijklmnopqrstuvwxyz") * 3 for _ in range(20)] + ["left"] * one + ["right"] * other
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(one != other)))
+    out = tx.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    truth = dict(labels)
+    assert np.mean([r.predicted == truth[r.doc_id] for r in out.collect() if r.held_out]) > 0.95
+
+
+def test_rare_pairs_of_common_words(spark):
+    """An insult with the mention of a group, in one row of twenty; both words are in a third of all rows."""
+    rng = random.Random(3)
+    rows, labels = [], []
+    for i in range(6000):
+        kind = rng.random()
+        words = [rng.choice("abcdefghijklmnopqrstuvwxyz") * 3 for _ in range(20)]
+        words += ["fool", "those"] if kind < 0.05 else ["fool"] if kind < 0.35 else ["those"] if kind < 0.65 else []
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(kind < 0.05)))
+    out = tx.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    truth = dict(labels)
+    test = [r for r in out.collect() if r.held_out]
+    assert np.mean([r.predicted for r in test if truth[r.doc_id]]) > 0.95
+    assert np.mean([r.predicted for r in test if not truth[r.doc_id]]) < 0.01
+
+
+def test_every_term_above_a_row_count_is_in_the_model(spark):
+    rng = random.Random(4)
+    rows = [(i, "every " + " ".join("".join(rng.choices("abcdefghijklmnop", k=2)) + "zz" for _ in range(30))) for i in range(900)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, label int")
+    model = tx.fitted(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert len(model.buckets) > 250 and np.isfinite(model.table).all()
+
+
 def test_held_out_rows_of_the_given_tables(spark):
     out = {r.doc_id: r for r in tx.op9_toxicity(spark, SF).collect()}
     labels = spark.read.parquet(f"{SF}/labels.parquet").collect()
