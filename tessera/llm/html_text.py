@@ -22,6 +22,10 @@ break; list items get ``- `` or their number, inner lists are indented; the cell
 of a table's column are padded to equal width, and ``colspan`` takes the room of
 its columns.
 
+Time grows with the page's length whatever its markup: see ``Tags`` and ``Opened``.
+Indents count up to ``INDENTS`` levels, columns are padded up to ``WIDE`` characters, and
+tables in more than ``TABLES`` tables are rows of the innermost of these.
+
 Defined results: a null page has an empty text; broken markup never fails; nesting
 of any depth is handled without recursion; repeated rows get equal rows; the rows'
 further columns are kept by ``rendered``.
@@ -31,7 +35,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +44,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import small_batches, table
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+#: A whole start or end tag, or the name of one whose end has to be looked for.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+NAME = re.compile(r"</?[a-zA-Z]")
+SIGNS = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none", re.I)
@@ -76,6 +84,10 @@ IMPLIED = {
     "tfoot": (CELLS | SECTIONS | {"tr", "caption", "colgroup"}, frozenset(("table",))),
     "body": (frozenset(("head",)), frozenset()),
 }
+#: End tags that close elements around the cell they are in.
+BEYOND_CELLS = frozenset("table tr tbody thead tfoot html body".split())
+#: Tables in tables beyond this are lines of the table around them; indents and columns are not padded beyond these.
+TABLES, INDENTS, WIDE = 8, 32, 200
 HEAD_ONLY = frozenset("base link meta title style script template noscript".split())
 
 
@@ -94,72 +106,125 @@ def attributes_of(text: str) -> dict[str, str]:
     return out
 
 
+class Tags:
+    """Tags of a page from left to right, in time that grows with its length.
+
+    A tag ends at the first ``>`` outside quotes.  A ``<`` that no such end follows is text.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.signs: list[int] | None = None
+
+    def ended(self, at: int) -> bool:
+        """Whether a tag that is open at ``at`` ends; looked up in a table made once, from the back."""
+        if self.signs is None:
+            self.signs = [m.start() for m in SIGNS.finditer(self.page)]
+            self.ends = [False] * (len(self.signs) + 1)
+            later: dict[str, int] = {}
+            for i in range(len(self.signs) - 1, -1, -1):
+                sign = self.page[self.signs[i]]
+                self.ends[i] = sign == ">" or (sign in later and self.ends[later[sign] + 1])
+                later[sign] = i
+        return self.ends[bisect_left(self.signs, at)]
+
+    def next(self, at: int) -> tuple[int, int, re.Match | None]:
+        """Start and end of the next tag or comment at or after ``at``, and its parts if it is a tag."""
+        page = self.page
+        while True:
+            start = page.find("<", at)
+            if start < 0:
+                return len(page), len(page), None
+            after = page[start + 1 : start + 2]
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else len(page), None
+            if start < self.last:
+                name = NAME.match(page, start)
+                # Once a tag without end has been met, all others are looked up before they are read.
+                if name and (self.signs is None or self.ended(name.end())):
+                    match = TAG.match(page, start)
+                    if match:
+                        return start, match.end(), match
+                    self.ended(start)
+                if after in ("!", "?", "/") and after and page[start + 2 : start + 3] != ">":
+                    return start, page.find(">", start) + 1, None
+            at = start + 1
+
+
+class Opened:
+    """The open elements, and where in the stack those of each name are."""
+
+    def __init__(self, root: Node):
+        self.stack: list[Node] = [root]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def close(self, at: int) -> None:
+        """Close the element at a place and all inside it."""
+        while len(self.stack) > at:
+            self.places[self.stack.pop().tag].pop()
+
+    def last(self, names: Iterable[str]) -> int:
+        """Place of the innermost open element of some names, or 0."""
+        return max((self.places[name][-1] for name in names if self.places.get(name)), default=0)
+
+    def close_first(self, names: frozenset[str], stop: frozenset[str]) -> None:
+        """Close the outermost open element of ``names`` inside the innermost of ``stop``."""
+        above = self.last(stop)
+        found = [places[bisect_right(places, above)] for name in names if (places := self.places.get(name)) and places[-1] > above]
+        if found:
+            self.close(min(found))
+
+
 def parse(page: str) -> Node:
     """The tree of a page."""
     root = Node("#root", {})
-    open_: list[Node] = [root]
-
-    def close_upto(at: int) -> None:
-        del open_[at:]
-
-    def close_first(names: frozenset[str], stop: frozenset[str]) -> None:
-        """Close the outermost open element of ``names`` above the nearest of ``stop``."""
-        found = None
-        for at in range(len(open_) - 1, 0, -1):
-            if open_[at].tag in stop:
-                break
-            if open_[at].tag in names:
-                found = at
-        if found:
-            close_upto(found)
-
+    opened, tags = Opened(root), Tags(page)
+    stack = opened.stack
     at, size = 0, len(page)
     while at < size:
-        match = TOKEN.search(page, at)
-        end = match.start() if match else size
-        if end > at:
-            text = html.unescape(page[at:end])
-            if open_[-1].tag == "head" and text.strip():
-                open_.pop()
-            open_[-1].children.append(text)
-        if not match:
-            break
-        at = match.end()
-        if not match[2]:
+        start, end, match = tags.next(at)
+        if start > at:
+            text = html.unescape(page[at:start])
+            if stack[-1].tag == "head" and text.strip():
+                opened.close(len(stack) - 1)
+            stack[-1].children.append(text)
+        at = end
+        if match is None:
             continue
         tag = match[2].lower()
         if match[1]:
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].tag == tag:
-                    close_upto(i)
-                    break
-                if open_[i].tag in CELLS and tag not in ("table", "tr", "tbody", "thead", "tfoot", "html", "body"):
-                    break
-            else:
-                if tag == "br":
-                    open_[-1].children.append(Node("br", {}))
+            place, cell = opened.last((tag,)), opened.last(CELLS)
+            if place and (place >= cell or tag in BEYOND_CELLS):
+                opened.close(place)
+            elif tag == "br" and not cell:
+                stack[-1].children.append(Node("br", {}))
             continue
-        if tag == "html" and len(open_) > 1:
+        if tag == "html" and len(stack) > 1:
             continue
-        if open_[-1].tag == "head" and tag not in HEAD_ONLY:
-            open_.pop()
+        if stack[-1].tag == "head" and tag not in HEAD_ONLY:
+            opened.close(len(stack) - 1)
         if tag in IMPLIED:
-            close_first(*IMPLIED[tag])
+            opened.close_first(*IMPLIED[tag])
         if tag in CLOSES_P:
-            close_first(frozenset(("p",)), frozenset(("table", "td", "th", "button", "caption")))
+            opened.close_first(frozenset(("p",)), frozenset(("table", "td", "th", "button", "caption")))
         if tag == "td" or tag == "th":
-            if open_[-1].tag in ("table", *SECTIONS):
+            if stack[-1].tag in ("table", *SECTIONS):
                 row = Node("tr", {})
-                open_[-1].children.append(row)
-                open_.append(row)
+                stack[-1].children.append(row)
+                opened.push(row)
         node = Node(tag, attributes_of(match[3]) if match[3].strip(" /\n\t") else {})
-        open_[-1].children.append(node)
+        stack[-1].children.append(node)
         if tag in RAW:
             stop = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
             node.children.append(page[at : stop.start() if stop else size])
             at = page.find(">", stop.start()) + 1 or size if stop else size
         elif tag not in VOID and not (match[3].endswith("/") and tag in ("path", "circle", "rect", "use")):
-            open_.append(node)
+            opened.push(node)
     return root
 
 
@@ -201,7 +266,7 @@ class Page:
             if self.gap > 1 and self.lines and self.lines[-1]:
                 self.lines.append("")
             self.gap = 0
-            indent = "".join(self.indents)
+            indent = "".join(self.indents[-INDENTS:])
             if self.marker is not None:
                 indent = indent[: max(0, len(indent) - len(self.marker))] + self.marker
                 self.marker = None
@@ -277,7 +342,7 @@ def aligned(rows: list[list[tuple[list[str], int]]]) -> list[str]:
             parts, column = [], 0
             for lines, span in row:
                 room = sum(widths[column : column + span]) + 2 * (span - 1)
-                parts.append((lines[i] if i < len(lines) else "").ljust(room))
+                parts.append((lines[i] if i < len(lines) else "").ljust(min(room, WIDE)))
                 column += span
             out.append("  ".join(parts).rstrip())
     return [x for x in out if x]
@@ -327,7 +392,7 @@ def render(root: Node) -> str:
             shown.children = [c for c in node.children if isinstance(c, Node) and c.tag == "summary"][:1]
             todo.append((shown, visible, pre))
             continue
-        if tag == "table":
+        if tag == "table" and len(tables) < TABLES:
             page.block(2)
             tables.append([])
 

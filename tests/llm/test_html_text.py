@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from html.parser import HTMLParser
 
 import pytest
@@ -106,3 +107,41 @@ def test_rows_keep_their_columns(spark):
     out = ht.rendered(df).collect()
     assert sorted((r.page_id or 0, r.text, r.row) for r in out) == [(0, "a", 6), (1, "", 5), (2, "", 7), (2, "", 7)]
     assert ht.rendered(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("bits", [
+    ["<b '"], ["<b "], ["<b \""], ["<"], ["<!"], ["</"], ["<b '", "x>"], ["<b '", '<i "'], ["<!-"], ["<a b=", "'>"], ["</p>", "<div>"],
+    ["<p>", "<div>"], ["<ul><li>x"], ["<blockquote>x"], ["<table><td>x"], ["<td>", "</p>"], ["<p><td>" + "<div>" * 90_000 + "</p>" * 90_000], ["<details>"], ["&"], ["<a x = ' "], ["\""],
+])
+def test_broken_markup_takes_time_in_proportion(bits):
+    """A megabyte of it; stray end tags inside deep elements among them."""
+    half = 500_000 // len("".join(bits)) + 1
+    pages = ["".join(bits) * 2 * half] if len(bits) == 1 else [bits[0] * half + "".join(bits[1:]) * half]
+    for page in pages:
+        page = page[:1_000_000]
+        began = time.process_time()
+        ht.page_text(page)
+        assert time.process_time() - began < 5, page[:40]
+
+
+def ends_one_by_one(page):
+    """Start and end of every tag, each searched for from its own ``<``."""
+    out, at = [], 0
+    whole = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]+>", re.S)
+    while match := whole.search(page, at):
+        out.append(match.span())
+        at = match.end()
+    return out
+
+
+def test_tags_end_where_a_search_from_each_finds_it():
+    rng = random.Random(6)
+    bits = ["<b", "<i ", "</u", "'", '"', ">", " ", "x", "=", "<!--", "-->", "<!", "/", "<", "<?"]
+    for _ in range(4000):
+        page = "".join(rng.choice(bits) for _ in range(rng.randint(0, 25)))
+        tags, at, got = ht.Tags(page), 0, []
+        while at < len(page):
+            start, at, _ = tags.next(at)
+            if start < len(page):
+                got.append((start, at))
+        assert got == ends_one_by_one(page), page
