@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import small_batches, table
 
 #: A whole start or end tag, or the name of one whose end has to be looked for.
-TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>\"']*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 NAME = re.compile(r"</?[a-zA-Z]")
 SIGNS = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -147,7 +147,7 @@ class Tags:
                     if match:
                         return start, match.end(), match
                     self.ended(start)
-                if after in ("!", "?", "/") and after and page[start + 2 : start + 3] != ">":
+                if after in ("!", "?", "/"):
                     return start, page.find(">", start) + 1, None
             at = start + 1
 

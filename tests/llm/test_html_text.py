@@ -127,7 +127,7 @@ def test_broken_markup_takes_time_in_proportion(bits):
 def ends_one_by_one(page):
     """Start and end of every tag, each searched for from its own ``<``."""
     out, at = [], 0
-    whole = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]+>", re.S)
+    whole = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>\"']*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
     while match := whole.search(page, at):
         out.append(match.span())
         at = match.end()
