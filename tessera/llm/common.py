@@ -45,6 +45,15 @@ def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers that are sent to all executors at most.
+FEW = 4_000_000
+
+
+def few(keys: DataFrame, most: int = FEW) -> DataFrame:
+    """Keys of rows to drop or keep: broadcast if counted to be few, so that no text is shuffled for them."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 def doc_key(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column), F.lit(NO_ID))
 

@@ -26,11 +26,14 @@ texts across classes are looked for by a prefix filter: of texts that are simila
 the last ``SIMILARITY`` of the weight, have one in common, and what follows the first common one must hold the overlap.
 Pairs within one class are never made; a shingle with many texts is dealt over slices of ``BLOCK_TEXTS``.
 
-**Verifying.**  Candidate pairs are grouped by the connected component of the
-candidate graph, large components in blocks of ``BLOCK_TEXTS`` texts, and
-compared exactly on their shingles inside tasks; a pair is skipped where its two
-texts are known to be linked already.  The links' connected components are the
-classes.
+**Verifying.**  Pairs whose signatures are too far apart go first, before any text is moved.  Of the
+others one pair per text is compared, chosen so that they form stars; of the rest
+only those whose texts are still in different classes.  So a text travels a few times,
+however many pairs it is in.  Pairs are grouped by the connected component of the
+candidate graph, large components in blocks of ``BLOCK_TEXTS`` texts or
+``BLOCK_BYTES``, and compared exactly on their shingles inside tasks; a pair is skipped
+where its two texts are known to be linked already.  The links' connected components
+are the classes.
 
 Recall is that of banding: a pair at similarity 0.8 is missed by all 32 bands
 with probability 5e-8, in small buckets and in those that overfill.
@@ -55,6 +58,7 @@ from tessera.llm.common import (
     Sequences,
     Words,
     doc_key,
+    few,
     keyed,
     mix,
     row_blocks,
@@ -75,6 +79,10 @@ BANDS = 32
 LEVELS = (4, 8, 12, 16, 24)
 PAIRS = 16
 BLOCK_TEXTS = 800
+#: Bytes of text of a part of a group, about.
+BLOCK_BYTES = 32 << 20
+#: Coordinates that texts which are surely similar agree on.
+CLOSE = 112
 #: Hash buckets of the shingle counts that order shingles from rare to common.
 COUNTED = 1 << 18
 #: Bounds on weights leave room for rounding, so that no pair at the threshold is lost.
@@ -173,17 +181,19 @@ def sketches(docs: DataFrame) -> DataFrame:
                     "two": signed(two.between(words.first[:-1], words.first[1:])),
                     "worded": np.diff(words.first) > 0,
                     "sig": pa.array([x.tobytes() for x in sig], pa.binary()),
+                    "small": pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary()),
+                    "size": np.diff(offsets[low : high + 1]),
                 })
 
     small_batches(docs.sparkSession)
     rows = keyed(docs).where(F.col("text").isNotNull()).select("text", "k", "t")
-    return rows.mapInArrow(scan, "k long, t long, one long, two long, worded boolean, sig binary")
+    return rows.mapInArrow(scan, "k long, t long, one long, two long, worded boolean, sig binary, small binary, size long")
 
 
 def distinct_texts(rows: DataFrame) -> DataFrame:
     """One row per different word sequence: ``node``, its hashes, its smallest row and its signature."""
-    least = rows.groupBy("one", "two", "worded").agg(F.min(F.struct("k", "t", "sig")).alias("least"))
-    flat = least.select("one", "two", "worded", "least.k", "least.t", "least.sig")
+    least = rows.groupBy("one", "two", "worded").agg(F.min(F.struct("k", "t", "sig", "small", "size")).alias("least"))
+    flat = least.select("one", "two", "worded", *(f"least.{c}" for c in ("k", "t", "sig", "small", "size")))
     return staged(flat.withColumn("node", F.monotonically_increasing_id()), "texts")
 
 
@@ -348,9 +358,7 @@ def linked(nodes: pd.DataFrame, pairs: pd.DataFrame, least: float) -> pd.DataFra
     if not len(nodes) or not len(pairs):
         return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
     at = {node: i for i, node in enumerate(nodes["node"])}
-    sig = np.frombuffer(b"".join(nodes["sig"]), np.uint32).reshape(len(nodes), COORDINATES)
     a, b = (np.array([at[x] for x in pairs[c]]) for c in ("a", "b"))
-    agree = np.concatenate([(sig[a[i : i + 4096]] == sig[b[i : i + 4096]]).sum(axis=1) for i in range(0, len(a), 4096)])
     raw = nodes["text"].str.encode("utf-8").tolist()
     ready: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -369,11 +377,7 @@ def linked(nodes: pd.DataFrame, pairs: pd.DataFrame, least: float) -> pd.DataFra
         return i
 
     links = []
-    # Six standard deviations below the threshold the exact comparison is left out.
-    floor = COORDINATES * least - 6 * np.sqrt(COORDINATES * least * (1 - least))
-    for p in np.argsort(-agree, kind="stable"):
-        if agree[p] < floor:
-            break
+    for p in np.argsort(-pairs["agree"].to_numpy(), kind="stable"):
         i, j = root(a[p]), root(b[p])
         if i != j and similarity(elements(a[p]), elements(b[p])) >= least:
             parent[max(i, j)] = min(i, j)
@@ -382,30 +386,90 @@ def linked(nodes: pd.DataFrame, pairs: pd.DataFrame, least: float) -> pd.DataFra
 
 
 def blocked(whole: DataFrame) -> DataFrame:
-    """Groups of candidates with the part of each text; large groups have several parts."""
-    sizes = whole.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK_TEXTS).alias("parts"))
-    placed = whole.join(sizes, "comp")
+    """Groups of candidates with the part of each text; groups of many or long texts have several parts."""
+    parts = F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum("size") / BLOCK_BYTES))
+    placed = whole.join(whole.groupBy("comp").agg(parts.alias("parts")), "comp")
     return staged(placed.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))), "placed")
 
 
-def compared(docs: DataFrame, texts: DataFrame, pairs: DataFrame, placed: DataFrame, least: float) -> DataFrame:
-    """Pairs of texts that are similar enough; per block only as many as connect its texts."""
+def agreeing(texts: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """Pairs with the number of coordinates on which they agree, as far as their texts can be similar enough.
+
+    Eight bits of each coordinate are compared, so a pair agrees on no fewer than it does.  Six standard
+    deviations below the threshold pairs are left out, before any text is moved.
+    """
+    floor = COORDINATES * least - 6 * np.sqrt(COORDINATES * least * (1 - least))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COORDINATES) for c in ("one", "other"))
+            agree = (one == other).sum(axis=1)
+            at = np.flatnonzero(agree >= floor)
+            rows = pa.array(at)
+            yield pa.RecordBatch.from_pydict({"a": batch.column("a").take(rows), "b": batch.column("b").take(rows), "agree": agree[at]})
+
+    side = texts.select("node", "small")
+    both = pairs.join(side.select(F.col("node").alias("a"), F.col("small").alias("one")), "a")
+    both = both.join(side.select(F.col("node").alias("b"), F.col("small").alias("other")), "b")
+    return both.select("a", "b", "one", "other").mapInArrow(count, "a long, b long, agree long")
+
+
+def stars(agreed: DataFrame) -> DataFrame:
+    """One pair for each text: of the others that agree well, with the one that has most pairs.
+
+    Such pairs meet in few centres, so where they hold they link a group of any size at once.
+    """
+    both = agreed.unionByName(agreed.select(F.col("b").alias("a"), F.col("a").alias("b"), "agree"))
+    degrees = both.groupBy(F.col("a").alias("b")).agg(F.count("*").alias("degree"))
+    order = F.struct(F.col("agree") >= CLOSE, "degree", "agree", "b")
+    picked = both.join(degrees, "b").groupBy("a").agg(F.max_by(F.struct("b", "agree"), order).alias("best"))
+    pair = picked.select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b"), "best.agree")
+    return pair.distinct()
+
+
+def connected(docs: DataFrame, texts: DataFrame, pairs: DataFrame, placed: DataFrame, least: float) -> DataFrame:
+    """Links that join all texts which the pairs join.
+
+    Stars are compared first; of all other pairs only those whose texts are then still apart.
+    """
+    agreed = staged(agreeing(texts, pairs, least), "agreeing")
+    first = staged(stars(agreed), "stars")
+    links = staged(compared(docs, texts, first, placed, least), "links")
+    classes = components(links, "starred")
+    rest = agreed.join(first.select("a", "b"), ["a", "b"], "left_anti")
+    for end in ("a", "b"):
+        rest = rest.join(classes.select(F.col("node").alias(end), F.col("comp").alias(f"of_{end}")), end, "left")
+    apart = F.coalesce("of_a", "a") != F.coalesce("of_b", "b")
+    rest = staged(rest.where(apart).select("a", "b", "agree"), "apart")
+    if rest.isEmpty():
+        return links
+    return staged(links.unionByName(compared(docs, texts, rest, placed, least)), "links")
+
+
+def memberships(pairs: DataFrame, placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs with their blocks, and the texts each block needs."""
     side = placed.select("node", "comp", "part")
     cut = pairs.join(side.withColumnRenamed("node", "a"), "a")
     cut = cut.join(side.select(F.col("node").alias("b"), F.col("part").alias("other")), "b")
     block = ["comp", "low", "high"]
-    cut = cut.select("comp", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "a", "b")
+    cut = cut.select("comp", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "a", "b", "agree")
     cut = staged(cut, "blocks")
-    members = cut.select(*block, F.col("a").alias("node")).unionByName(cut.select(*block, F.col("b").alias("node"))).distinct()
+    return cut, cut.select(*block, F.col("a").alias("node")).unionByName(cut.select(*block, F.col("b").alias("node"))).distinct()
+
+
+def compared(docs: DataFrame, texts: DataFrame, pairs: DataFrame, placed: DataFrame, least: float) -> DataFrame:
+    """Pairs of texts that are similar enough; per block only as many as connect its texts."""
+    block = ["comp", "low", "high"]
+    cut, members = memberships(pairs, placed)
     named = members.select("node").distinct()
-    wanted = staged(texts.join(named, "node").select("k", "t", "node", "sig"), "wanted")
+    wanted = staged(texts.join(named, "node").select("k", "t", "node"), "wanted")
     rows = flagged(docs.select("doc_id", "text"), wanted).dropDuplicates(["k", "t"])
-    carried = members.join(rows.join(wanted, ["k", "t"]).select("node", "sig", "text"), "node")
+    carried = members.join(rows.join(wanted, ["k", "t"]).select("node", "text"), "node")
 
     def compare(key, nodes: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
         return linked(nodes, pairs, least)
 
-    asked = cut.select(*(F.col(c).alias(f"of_{c}") for c in block), F.col("a").alias("a"), F.col("b").alias("b"))
+    asked = cut.select(*(F.col(c).alias(f"of_{c}") for c in block), "a", "b", "agree")
     asked = asked.groupBy(*(f"of_{c}" for c in block))
     return carried.groupBy(*block).cogroup(asked).applyInPandas(compare, "a long, b long")
 
@@ -413,14 +477,14 @@ def compared(docs: DataFrame, texts: DataFrame, pairs: DataFrame, placed: DataFr
 def linked_classes(docs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """``node, comp`` for every text that is similar to another."""
     pairs, ties, crowded = candidate_pairs(texts)
-    whole = staged(components(ties, "candidates"), "groups")
+    whole = staged(components(ties, "candidates").join(texts.select("node", "size"), "node"), "groups")
     placed = blocked(whole)
-    links = staged(compared(docs, texts, pairs, placed, least), "links")
+    links = connected(docs, texts, pairs, placed, least)
     found = components(links)
     crossing = None if crowded is None else crossing_pairs(docs, texts, crowded, whole, found, least)
     if crossing is None or crossing.isEmpty():
         return found
-    more = staged(compared(docs, texts, crossing, placed, least), "crossing_links")
+    more = connected(docs, texts, crossing, placed, least)
     return found if more.isEmpty() else components(links.unionByName(more))
 
 
@@ -456,7 +520,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = staged(found, "verdicts")
     key, tag = doc_key(), F.xxhash64("text")
     gone, again = found.where(~F.col("first")).select("k", "t"), found.where("first and n > 1").select("k", "t")
-    plain = staged(gone.unionByName(again), "gone")
+    plain = few(staged(gone.unionByName(again), "gone"))
+    again = few(again)
     rest = docs.join(plain, (key == plain["k"]) & (tag == plain["t"]), "left_anti")
     repeated = docs.join(again, (key == again["k"]) & (tag == again["t"]), "left_semi")
     single = repeated.dropDuplicates(["doc_id", "text"])

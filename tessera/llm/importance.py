@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORDS_AND_SIGNS, Words, doc_key, keyed, mix, row_blocks, small_batches, staged, table, text_buffer
+from tessera.llm.common import WORDS_AND_SIGNS, Words, doc_key, few, keyed, mix, row_blocks, small_batches, staged, table, text_buffer
 
 BUCKETS = 1 << 14
 LABELLED = 20_000
@@ -177,7 +177,7 @@ def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are kept."""
     found = resampled(docs, table(spark, sf_dir, "labels"))
-    gone = staged(found.where(~F.col("kept")).select("k", "t").distinct(), "rejected")
+    gone = few(staged(found.where(~F.col("kept")).select("k", "t").distinct(), "rejected"))
     same = (doc_key() == gone["k"]) & (F.xxhash64("text") == gone["t"])
     return docs.join(gone, same, "left_anti")
 
