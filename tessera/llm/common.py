@@ -7,6 +7,7 @@ have to be equal for a result, two independent hashes are compared.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,6 +55,14 @@ def few(keys: DataFrame, most: int = FEW) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= most else keys
 
 
+def give_back() -> None:
+    """Return freed memory to the system; Python workers stay for later tasks beside the executor's own memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def doc_key(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column), F.lit(NO_ID))
 

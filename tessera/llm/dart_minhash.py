@@ -59,6 +59,7 @@ from tessera.llm.common import (
     Words,
     doc_key,
     few,
+    give_back,
     keyed,
     mix,
     row_blocks,
@@ -170,7 +171,7 @@ def sketches(docs: DataFrame) -> DataFrame:
         for batch in batches:
             data, offsets = text_buffer(batch.column("text"))
             key, tag = batch.column("k"), batch.column("t")
-            for low, high in row_blocks(offsets, 1 << 18, 500):
+            for low, high in row_blocks(offsets, 1 << 17, 250):
                 words = Words(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
                 sig = signatures(*weights(*shingles(words)), high - low)
                 one, two = Sequences(words.hashes), Sequences(words.hashes, second=True)
@@ -184,6 +185,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     "small": pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary()),
                     "size": np.diff(offsets[low : high + 1]),
                 })
+        give_back()
 
     small_batches(docs.sparkSession)
     rows = keyed(docs).where(F.col("text").isNotNull()).select("text", "k", "t")
@@ -467,7 +469,9 @@ def compared(docs: DataFrame, texts: DataFrame, pairs: DataFrame, placed: DataFr
     carried = members.join(rows.join(wanted, ["k", "t"]).select("node", "text"), "node")
 
     def compare(key, nodes: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        return linked(nodes, pairs, least)
+        out = linked(nodes, pairs, least)
+        give_back()
+        return out
 
     asked = cut.select(*(F.col(c).alias(f"of_{c}") for c in block), "a", "b", "agree")
     asked = asked.groupBy(*(f"of_{c}" for c in block))
