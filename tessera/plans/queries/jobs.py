@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.keys import store_key
 from tessera.operators import raster as r
+from tessera.operators import rollup
 from tessera.operators import store as st
 from tessera.operators.layers import resolve_layers
 from tessera.operators.vector import TILE, explode_features, read_features
@@ -92,6 +93,16 @@ def raster_job(spark, sf):
     return r.pixels(built, raster.KEYS)
 
 
+def daily_report(spark, sf):
+    """Days of usage written in three runs as mergeable states, then one report over all of them."""
+    path = shared_dir(spark, "daily")
+    events = to_tile_events(d.tile_requests(spark, sf), d.LAYERS)
+    day = F.dayofmonth("time")
+    for run in (day <= 10, (day > 10) & (day <= 20), day > 20):
+        rollup.write_days(events.where(run), path)
+    return rollup.read_report(spark, path)
+
+
 def audit_job(spark, sf):
     out = jobs.store_audit(d.tile_store(spark, sf), d.previous_store(spark, sf), store._generated(spark, sf))
     return out["changes"]
@@ -108,6 +119,7 @@ QUERIES = {
     "vector_job": vector_job,
     "raster_job": raster_job,
     "audit_job": audit_job,
+    "daily_report": daily_report,
 }
 
 W = "WITH "
@@ -126,6 +138,10 @@ SQL = {
         count(*) FILTER ((x + y) % 7 = 0) AS failed, CAST(0 AS BIGINT) AS rejected_regions FROM t GROUP BY 1, 2""",
     "vector_job": W + vector._placed("[2, 4]") + " SELECT z, x, y, count(*) AS features, max(gid) AS last FROM placed GROUP BY z, x, y",
     "raster_job": raster.SQL["blend_multiply"],
+    "daily_report": W + sql.EV + """ SELECT CASE grouping(layer) * 2 + grouping(z) WHEN 3 THEN 'total' WHEN 2 THEN 'zoom' WHEN 1 THEN 'layer'
+        ELSE 'layer and zoom' END AS section, layer, z, count(*) AS tiles, max(time) AS last_seen,
+        CAST(round(avg(duration_ms)) AS INT) AS avg_duration_ms, CAST(sum(bytes) AS BIGINT) AS total_bytes,
+        count(DISTINCT nullif(user_id, '')) AS users FROM ev GROUP BY GROUPING SETS ((), (layer), (z), (layer, z))""",
     "audit_job": f"""SELECT layer_name, change, count(*) AS tiles FROM ({W}{store._STORE}, {store._PREV},
       {sql.latest('prev', 'o')}, {sql.latest('store', 'n')}
       SELECT layer_name, CASE WHEN o.content <> n.content OR o.content_type <> n.content_type THEN 'changed' ELSE 'same' END AS change

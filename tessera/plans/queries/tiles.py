@@ -170,6 +170,16 @@ def seed_plan(spark, sf):
     return seed.seed_plan(d.regions(spark, sf), on_limit="report")
 
 
+def missing_ranges(spark, sf):
+    """Gaps of a store that holds most tiles of the plan and some outside, found without expanding the plan."""
+    regions = d.regions(spark, sf)
+    ranges = seed.plan_ranges(seed.within_limits(regions))
+    x, y = F.col("x"), F.col("y")
+    store = seed.expand_plan(ranges).where((x * 5 + y * 3 + F.col("region_id")) % 4 != 0)
+    outside = store.select("layer_name", "z", (x + 1).alias("x"), "y").where((x + y) % 5 == 0)
+    return seed.missing_ranges(ranges, store.select("layer_name", "z", "x", "y").unionByName(outside).distinct())
+
+
 def plan_summary(spark, sf):
     return seed.plan_summary(seed_plan(spark, sf))
 
@@ -204,6 +214,7 @@ QUERIES = {
     "plan_guards": plan_guards,
     "rejected_regions": rejected_regions,
     "seed_plan": seed_plan,
+    "missing_ranges": missing_ranges,
     "plan_summary": plan_summary,
     "plan_summary_closed_form": plan_summary_closed_form,
     "tile_cover_function": tile_cover_function,
@@ -351,6 +362,11 @@ SQL = {
         WHEN tiles > 65535 THEN 'too many tiles in a run' END AS error FROM total""",
     "seed_plan": W + GOOD_PLAN + """ SELECT region_id, layer_name, step, z,
       CAST(x AS INT) AS x, CAST(y AS INT) AS y FROM plan""",
+    "missing_ranges": W + GOOD_PLAN + """, held AS (SELECT * FROM plan WHERE (x * 5 + y * 3 + region_id) % 4 <> 0),
+      store AS (SELECT layer_name, z, x, y FROM held UNION SELECT layer_name, z, x + 1, y FROM held WHERE (x + 1 + y) % 5 = 0),
+      lacking AS (SELECT DISTINCT layer_name, z, x, y FROM plan EXCEPT SELECT layer_name, z, x, y FROM store),
+      r AS (SELECT *, x - row_number() OVER (PARTITION BY layer_name, z, y ORDER BY x) AS island FROM lacking)
+      SELECT layer_name, z, CAST(y AS INT) AS y, CAST(min(x) AS INT) AS x0, CAST(max(x) + 1 AS INT) AS x1 FROM r GROUP BY layer_name, z, y, island""",
     "plan_summary": W + GOOD_PLAN + " SELECT layer_name, z, count(*) AS tiles FROM plan GROUP BY 1, 2",
     "tile_cover_function": W + _regions(zooms="[5]") + ", " + _STRICT + """ SELECT region_id,
       CAST(x AS INT) AS x, CAST(unnest(range(y0, y1)) AS INT) AS y FROM (SELECT *, unnest(range(x0, x1)) AS x FROM ranges)""",

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.tiles import (
@@ -235,3 +235,39 @@ def summary_from_ranges(ranges: DataFrame) -> DataFrame:
         .agg(F.sum("tiles").alias("tiles"))
     )
 
+
+def row_ranges(ranges: DataFrame) -> DataFrame:
+    """``layer_name, z, y, x0, x1`` of every row of tiles in a range table; x1 is the tile after the last."""
+    rows = ranges.where(F.col("tiles") > 0).withColumn("y", F.explode(F.sequence(F.col("range.y0"), F.col("range.y1") - 1)))
+    return rows.select("layer_name", "z", "y", F.col("range.x0").alias("x0"), F.col("range.x1").alias("x1"))
+
+
+def missing_ranges(ranges: DataFrame, store: DataFrame) -> DataFrame:
+    """What a plan has and a store lacks, as row ranges: ``layer_name, z, y, x0, x1``, disjoint and as long as can be.
+
+    No tile of the plan appears as a row, so a plan of zoom 21 costs its rows and the tiles that
+    the store has in them.  Along a row the ends of planned ranges and of stored tiles are
+    swept from west to east; a row holds at most 2**21 tiles.
+    """
+    row = ["layer_name", "z", "y"]
+    planned = row_ranges(ranges)
+    held = store.select(*row, "x").join(planned.select(*row).distinct(), row, "left_semi")
+    none = F.lit(0).cast("long")
+
+    def ends(df: DataFrame, first: Column, after: Column, name: str) -> DataFrame:
+        at = F.inline(F.array(F.struct(first.alias("x"), F.lit(1).alias("d")), F.struct(after.alias("x"), F.lit(-1).alias("d"))))
+        both = df.select(*row, at)
+        return both.select(*row, "x", *((F.col("d").cast("long") if c == name else none).alias(c) for c in ("plan", "have")))
+
+    swept = ends(planned, F.col("x0"), F.col("x1"), "plan").unionByName(ends(held, F.col("x"), F.col("x") + 1, "have"))
+    swept = swept.groupBy(*row, "x").agg(F.sum("plan").alias("plan"), F.sum("have").alias("have"))
+    along = Window.partitionBy(*row).orderBy("x")
+    so_far = along.rowsBetween(Window.unboundedPreceding, 0)
+    lacking = (F.sum("plan").over(so_far) > 0) & (F.sum("have").over(so_far) == 0)
+    # The last place of a row ends everything, so it never lacks and every stretch has an end.
+    marked = swept.select(*row, "x", lacking.alias("lacking"))
+    turns = marked.withColumn("before", F.coalesce(F.lag("lacking").over(along), F.lit(False)))
+    turns = turns.where(F.col("lacking") != F.col("before"))
+    closed = turns.select(*row, F.col("x").alias("x0"), "lacking", F.lead("x").over(along).alias("x1"))
+    return closed.where("lacking").select(*row, F.col("x0").cast("int").alias("x0"), F.col("x1").cast("int").alias("x1"))
+
