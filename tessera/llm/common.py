@@ -20,7 +20,7 @@ from tessera.session import shared_dir
 #: Stands for a missing doc_id wherever ids are compared: it is greater than all others.
 NO_ID = (1 << 63) - 1
 #: Bytes of text that are handled at a time inside a task.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: Rows of an Arrow batch; texts are long, so batches have few rows.
 BATCH_ROWS = 500
 

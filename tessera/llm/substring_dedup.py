@@ -45,6 +45,7 @@ from tessera.llm.common import (
     Sequences,
     Words,
     doc_key,
+    give_back,
     row_blocks,
     signed,
     small_batches,
@@ -118,6 +119,7 @@ def stretches(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, coordinat
                         "last": (last - begin).astype(np.int32),
                     }
                 yield pa.RecordBatch.from_pydict(out)
+        give_back()
 
     small_batches(docs.sparkSession)
     rows = docs.select("text", doc_key().alias("k"), F.xxhash64("text").alias("t"))
