@@ -16,10 +16,11 @@ similarity.
 
 **Joining.**  Equal texts are compacted first.  ``BANDS`` bands of four
 coordinates give buckets.  A bucket with up to ``PAIRS`` texts yields its pairs;
-larger ones are split by further coordinates of the band until they are small.
-Each text of a too large bucket is also paired with the bucket's hub: on the first
-level the text that meets most others, further down one drawn by hash.  So a group of any size costs a bounded number of
-candidates per text.
+in a larger one each text is paired with the bucket's hub, the text that meets most
+others.  Once these pairs are compared, the larger buckets whose texts are still in
+several classes, and only those, are split by further coordinates of the band
+until they are small, each again with a hub, drawn by hash; pairs within one class are left out.
+So a group of any size costs a bounded number of candidates per text, and one that its hubs hold together few.
 
 **Completing.**  Where the links so far leave the texts of a too large bucket in more than one class, all pairs of such
 texts across classes are looked for by a prefix filter: of texts that are similar enough, the rarest shingles, those before
@@ -76,7 +77,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 COORDINATES = 128
 BANDS = 32
-#: Coordinates of a band that make its key, level by level.
+#: Coordinates of a band that make its key, level by level; the deeper ones are for what the first leaves apart.
 LEVELS = (4, 8, 12, 16, 24)
 PAIRS = 16
 BLOCK_TEXTS = 800
@@ -240,40 +241,67 @@ def bucket_rows(texts: DataFrame, depth: int) -> DataFrame:
 
 
 def candidate_pairs(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Pairs ``a < b`` of nodes that are to be compared, edges that connect the same nodes, and crowded buckets.
+    """Pairs ``a < b`` of nodes that are to be compared first, edges that connect the same nodes, and crowded buckets.
 
     The number of pairs is linear in the texts.  The edges tie the texts of each bucket of the first
-    level to its smallest; all pairs lie within such buckets.  Crowded buckets (``key, node``) are those
-    of the first level that do not yield all their pairs; None if there are none.
+    level to its smallest; all similar pairs lie within such buckets.  Crowded buckets (``key, band, node``)
+    are those that do not yield all their pairs, only those with their hub; None if there are none.
     """
-    worded = texts.where("worded").select("node", "sig")
-    rows, out, ties, crowded = bucket_rows(worded, LEVELS[0]), [], None, None
-    for level, depth in enumerate(LEVELS):
-        any_hub = F.min_by("node", F.xxhash64("node", "key"))
-        sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), any_hub.alias("hub"))
-        met = staged(rows.join(sizes.where("n > 1"), "key"), "buckets")
-        small = met.where(F.col("n") <= PAIRS).select("key", "node")
-        left, right = small.withColumnRenamed("node", "a"), small.withColumnRenamed("node", "b")
-        out.append(left.join(right, "key").where("a < b").select("a", "b"))
-        large = met.where(F.col("n") > PAIRS)
-        if ties is None:
-            ties = met.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-        if large.isEmpty():
+    rows = bucket_rows(texts.where("worded").select("node", "sig"), LEVELS[0])
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"))
+    met = staged(rows.join(sizes.where("n > 1"), "key"), "buckets")
+    small = met.where(F.col("n") <= PAIRS).select("key", "node")
+    left, right = small.withColumnRenamed("node", "a"), small.withColumnRenamed("node", "b")
+    pairs = left.join(right, "key").where("a < b").select("a", "b")
+    ties = met.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    large = met.where(F.col("n") > PAIRS).select("key", "band", "node", "n")
+    if large.isEmpty():
+        return staged(pairs.distinct(), "pairs"), ties, None
+    reach = large.groupBy("node").agg(F.sum("n").alias("reach"))
+    placed = large.join(reach, "node")
+    hubs = placed.groupBy("key").agg(F.min_by("node", F.struct(-F.col("reach"), F.col("node"))).alias("hub"))
+    met_hub = large.join(hubs, "key").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
+    return staged(pairs.unionByName(met_hub.where("a < b")).distinct(), "pairs"), ties, large.select("key", "band", "node")
+
+
+def unsettled(crowded: DataFrame, found: DataFrame) -> DataFrame:
+    """``key, band, node, cls`` of the crowded buckets whose texts are in several of the classes ``node, comp``."""
+    held = crowded.join(found.withColumnRenamed("comp", "cls"), "node", "left").withColumn("cls", F.coalesce("cls", "node"))
+    return staged(of_several(held), "unsettled")
+
+
+def of_several(rows: DataFrame) -> DataFrame:
+    """Rows of the keys that have several classes."""
+    mixed = rows.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high")
+    return rows.join(mixed.select("key"), "key")
+
+
+def deeper_pairs(texts: DataFrame, held: DataFrame) -> DataFrame:
+    """Pairs ``a < b`` across classes from the deeper buckets of unsettled texts, as many as their number allows.
+
+    Buckets of up to PAIRS texts yield all such pairs, larger ones those with a hub drawn by hash;
+    buckets of one class yield nothing and are split no further.
+    """
+    texts = texts.select("node", "sig")
+    classes, out = held.select("node", "cls").distinct(), []
+    for depth in LEVELS[1:]:
+        reach = held.groupBy("node").agg(F.collect_list("band").alias("bands"))
+        rows = bucket_rows(texts.join(reach, "node"), depth).join(classes, "node")
+        sizes = of_several(rows).groupBy("key").agg(
+            F.count("*").alias("n"), F.min_by(F.struct("node", "cls"), F.xxhash64("node", "key")).alias("hub")
+        )
+        met = staged(rows.join(sizes, "key"), "deeper")
+        small = met.where(F.col("n") <= PAIRS)
+        left, right = (small.select("key", F.col("node").alias(x), F.col("cls").alias(f"of_{x}")) for x in ("a", "b"))
+        out.append(left.join(right, "key").where("a < b and of_a <> of_b").select("a", "b"))
+        held = met.where(F.col("n") > PAIRS)
+        out.append(held.where("hub.cls <> cls").select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b")))
+        if held.isEmpty():
             break
-        reach = large.groupBy("node").agg(F.sum("n").alias("reach"), F.collect_list("band").alias("bands"))
-        reach = staged(reach, "reach")
-        if level == 0:
-            crowded = large.select("key", "node")
-            placed = large.drop("hub").join(reach.select("node", "reach"), "node")
-            hubs = placed.groupBy("key").agg(F.min_by("node", F.struct(-F.col("reach"), F.col("node"))).alias("hub"))
-            large = placed.join(hubs, "key")
-        out.append(large.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")))
-        if depth != LEVELS[-1]:
-            rows = bucket_rows(worded.join(reach.select("node", "bands"), "node"), LEVELS[level + 1])
     pairs = out[0]
     for more in out[1:]:
         pairs = pairs.unionByName(more)
-    return staged(pairs.where("a < b").distinct(), "pairs"), ties, crowded
+    return staged(pairs.distinct(), "deeper_pairs")
 
 
 def ranked(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Iterator[tuple]:
@@ -316,17 +344,12 @@ def rare_shingles(rows: DataFrame, least: float) -> DataFrame:
     return out.mapInArrow(scan, "grp long, node long, cls long, token long, total double, rest double")
 
 
-def crossing_pairs(docs: DataFrame, texts: DataFrame, crowded: DataFrame, whole: DataFrame, found: DataFrame, least: float) -> DataFrame | None:
-    """All pairs ``a < b`` across classes that can be similar enough, of texts in crowded buckets of several classes.
+def crossing_pairs(docs: DataFrame, texts: DataFrame, held: DataFrame, whole: DataFrame, least: float) -> DataFrame:
+    """All pairs ``a < b`` across classes that can be similar enough, of the unsettled texts ``node, cls``.
 
-    ``found`` has the classes so far (``node, comp``), ``whole`` the groups that hold all candidates.  None if
-    every crowded bucket is in one class.
+    ``whole`` has the groups that hold all candidates.
     """
-    held = crowded.join(found.withColumnRenamed("comp", "cls"), "node", "left").withColumn("cls", F.coalesce("cls", "node"))
-    mixed = held.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high")
-    members = staged(held.join(mixed.select("key"), "key").select("node", "cls").distinct(), "unsettled")
-    if members.isEmpty():
-        return None
+    members = held.select("node", "cls").distinct()
     wanted = texts.select("k", "t", "node").join(members, "node")
     wanted = staged(wanted.join(whole.select("node", F.col("comp").alias("grp")), "node"), "unsettled_texts")
     rows = flagged(docs.select("doc_id", "text"), wanted).dropDuplicates(["k", "t"])
@@ -429,14 +452,15 @@ def stars(agreed: DataFrame) -> DataFrame:
     return pair.distinct()
 
 
-def connected(docs: DataFrame, texts: DataFrame, pairs: DataFrame, placed: DataFrame, least: float) -> DataFrame:
-    """Links that join all texts which the pairs join.
+def connected(docs: DataFrame, texts: DataFrame, pairs: DataFrame, placed: DataFrame, least: float, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Links that join all texts which the pairs join, beside those given, and the classes of all links.
 
     Stars are compared first; of all other pairs only those whose texts are then still apart.
     """
     agreed = staged(agreeing(texts, pairs, least), "agreeing")
     first = staged(stars(agreed), "stars")
-    links = staged(compared(docs, texts, first, placed, least), "links")
+    new = compared(docs, texts, first, placed, least)
+    links = staged(new if links is None else links.unionByName(new), "links")
     classes = components(links, "starred")
     rest = agreed.join(first.select("a", "b"), ["a", "b"], "left_anti")
     for end in ("a", "b"):
@@ -444,8 +468,9 @@ def connected(docs: DataFrame, texts: DataFrame, pairs: DataFrame, placed: DataF
     apart = F.coalesce("of_a", "a") != F.coalesce("of_b", "b")
     rest = staged(rest.where(apart).select("a", "b", "agree"), "apart")
     if rest.isEmpty():
-        return links
-    return staged(links.unionByName(compared(docs, texts, rest, placed, least)), "links")
+        return links, classes
+    links = staged(links.unionByName(compared(docs, texts, rest, placed, least)), "links")
+    return links, components(links)
 
 
 def memberships(pairs: DataFrame, placed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -483,13 +508,18 @@ def linked_classes(docs: DataFrame, texts: DataFrame, least: float = SIMILARITY)
     pairs, ties, crowded = candidate_pairs(texts)
     whole = staged(components(ties, "candidates").join(texts.select("node", "size"), "node"), "groups")
     placed = blocked(whole)
-    links = connected(docs, texts, pairs, placed, least)
-    found = components(links)
-    crossing = None if crowded is None else crossing_pairs(docs, texts, crowded, whole, found, least)
-    if crossing is None or crossing.isEmpty():
+    links, found = connected(docs, texts, pairs, placed, least)
+    if crowded is None:
         return found
-    more = connected(docs, texts, crossing, placed, least)
-    return found if more.isEmpty() else components(links.unionByName(more))
+    searches = (lambda held: deeper_pairs(texts, held), lambda held: crossing_pairs(docs, texts, held, whole, least))
+    for search in searches:
+        held = unsettled(crowded, found)
+        if held.isEmpty():
+            break
+        more = search(held)
+        if not more.isEmpty():
+            links, found = connected(docs, texts, more, placed, least, links)
+    return found
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
