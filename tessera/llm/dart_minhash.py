@@ -17,13 +17,10 @@ similarity.
 **Joining.**  Equal texts are compacted first.  ``BANDS`` bands of four
 coordinates give buckets.  A bucket with up to ``PAIRS`` texts yields its pairs;
 in a larger one each text is paired with the bucket's hub, the text that meets most
-others.  Once these pairs are compared, the larger buckets whose texts are still in
-several classes, and only those, are split by further coordinates of the band
-until they are small, each again with a hub, drawn by hash; pairs within one class are left out.
-So a group of any size costs a bounded number of candidates per text, and one that its hubs hold together few.
+others.  So a group of any size costs a bounded number of candidates per text.
 
-**Completing.**  Where the links so far leave the texts of a too large bucket in more than one class, all pairs of such
-texts across classes are looked for by a prefix filter: of texts that are similar enough, the rarest shingles, those before
+**Completing.**  Where the links so far leave the texts of a too large bucket in more than one class, all pairs
+across such classes are looked for by a prefix filter: of texts that are similar enough, the rarest shingles, those before
 the last ``SIMILARITY`` of the weight, have one in common, and what follows the first common one must hold the overlap.
 Pairs within one class are never made; a shingle with many texts is dealt over slices of ``BLOCK_TEXTS``.
 
@@ -77,8 +74,6 @@ SHINGLE = 5
 SIMILARITY = 0.8
 COORDINATES = 128
 BANDS = 32
-#: Coordinates of a band that make its key, level by level; the deeper ones are for what the first leaves apart.
-LEVELS = (4, 8, 12, 16, 24)
 PAIRS = 16
 BLOCK_TEXTS = 800
 #: Bytes of text of a part of a group, about.
@@ -200,108 +195,64 @@ def distinct_texts(rows: DataFrame) -> DataFrame:
     return staged(flat.withColumn("node", F.monotonically_increasing_id()), "texts")
 
 
-def band_coordinates(depth: int) -> np.ndarray:
-    """BANDS x depth numbers of coordinates; the first four of all bands are disjoint."""
-    own = np.arange(COORDINATES).reshape(BANDS, -1)
-    rng = np.random.default_rng(7)
-    rest = np.stack([rng.permutation(np.setdiff1d(np.arange(COORDINATES), x)) for x in own])
-    return np.concatenate((own, rest), axis=1)[:, :depth]
-
-
-def band_keys(sigs: list[bytes], depth: int) -> np.ndarray:
-    """Row per signature, column per band: key of the band's first ``depth`` coordinates."""
-    sig = np.frombuffer(b"".join(sigs), np.uint32).reshape(len(sigs), COORDINATES)
+def band_keys(sigs: list[bytes]) -> np.ndarray:
+    """Row per signature, column per band: key of the band's coordinates."""
+    sig = np.frombuffer(b"".join(sigs), np.uint32).reshape(len(sigs), BANDS, -1)
     out = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(sigs), BANDS)).copy()
-    for column in band_coordinates(depth).T:
-        out = mix(out * _STEP + sig[:, column].astype(np.uint64))
+    for i in range(sig.shape[2]):
+        out = mix(out * _STEP + sig[:, :, i].astype(np.uint64))
     return out
 
 
-def bucket_rows(texts: DataFrame, depth: int) -> DataFrame:
-    """``key, band, node`` for the bands named in ``bands`` (all where it is absent)."""
-    if "bands" not in texts.columns:
-        texts = texts.withColumn("bands", F.sequence(F.lit(0), F.lit(BANDS - 1)))
+def bucket_rows(texts: DataFrame) -> DataFrame:
+    """``key, node`` for every band of every text."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sigs = batch.column("sig").to_pylist()
-            keys = band_keys(sigs, depth)
-            sizes = np.diff(batch.column("bands").offsets.to_numpy())
-            bands = batch.column("bands").flatten().to_numpy().astype(np.int64)
-            row = np.repeat(np.arange(len(sigs)), sizes)
-            yield pa.RecordBatch.from_pydict({
-                "key": signed(keys[row, bands]),
-                "band": bands.astype(np.int32),
-                "node": batch.column("node").to_numpy()[row],
-            })
-
-    return texts.select("node", "sig", "bands").mapInArrow(scan, "key long, band int, node long")
+            if batch.num_rows:
+                keys = band_keys(batch.column("sig").to_pylist())
+                node = np.repeat(batch.column("node").to_numpy(), BANDS)
+                yield pa.RecordBatch.from_pydict({"key": signed(keys.ravel()), "node": node})
+
+    return texts.select("node", "sig").mapInArrow(scan, "key long, node long")
 
 
 def candidate_pairs(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Pairs ``a < b`` of nodes that are to be compared first, edges that connect the same nodes, and crowded buckets.
+    """Pairs ``a < b`` of nodes that are to be compared first, edges that connect the same nodes, and crowded texts.
 
-    The number of pairs is linear in the texts.  The edges tie the texts of each bucket of the first
-    level to its smallest; all similar pairs lie within such buckets.  Crowded buckets (``key, band, node``)
-    are those that do not yield all their pairs, only those with their hub; None if there are none.
+    The number of pairs is linear in the texts.  The edges tie the texts of each bucket to its smallest;
+    all similar pairs lie within buckets.  Crowded texts (``node, keys``) are those in buckets that do not
+    yield all their pairs, only those with their hub; None if there are none.
     """
-    rows = bucket_rows(texts.where("worded").select("node", "sig"), LEVELS[0])
+    rows = bucket_rows(texts.where("worded"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"))
     met = staged(rows.join(sizes.where("n > 1"), "key"), "buckets")
     small = met.where(F.col("n") <= PAIRS).select("key", "node")
     left, right = small.withColumnRenamed("node", "a"), small.withColumnRenamed("node", "b")
     pairs = left.join(right, "key").where("a < b").select("a", "b")
     ties = met.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    large = met.where(F.col("n") > PAIRS).select("key", "band", "node", "n")
-    if large.isEmpty():
+    # A text has at most BANDS keys, so its list is short.
+    crowded = met.where(F.col("n") > PAIRS).groupBy("node").agg(F.collect_list("key").alias("keys"), F.sum("n").alias("reach"))
+    crowded = staged(crowded, "crowded")
+    if crowded.isEmpty():
         return staged(pairs.distinct(), "pairs"), ties, None
-    reach = large.groupBy("node").agg(F.sum("n").alias("reach"))
-    placed = large.join(reach, "node")
-    hubs = placed.groupBy("key").agg(F.min_by("node", F.struct(-F.col("reach"), F.col("node"))).alias("hub"))
-    met_hub = large.join(hubs, "key").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
-    return staged(pairs.unionByName(met_hub.where("a < b")).distinct(), "pairs"), ties, large.select("key", "band", "node")
+    each = crowded.select(F.explode("keys").alias("key"), "node", "reach")
+    hubs = each.groupBy("key").agg(F.min_by("node", F.struct(-F.col("reach"), F.col("node"))).alias("hub"))
+    met_hub = each.join(hubs, "key").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
+    return staged(pairs.unionByName(met_hub.where("a < b")).distinct(), "pairs"), ties, crowded.select("node", "keys")
 
 
 def unsettled(crowded: DataFrame, found: DataFrame) -> DataFrame:
-    """``key, band, node, cls`` of the crowded buckets whose texts are in several of the classes ``node, comp``."""
-    held = crowded.join(found.withColumnRenamed("comp", "cls"), "node", "left").withColumn("cls", F.coalesce("cls", "node"))
-    return staged(of_several(held), "unsettled")
-
-
-def of_several(rows: DataFrame) -> DataFrame:
-    """Rows of the keys that have several classes."""
-    mixed = rows.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high")
-    return rows.join(mixed.select("key"), "key")
+    """``node, cls`` of the crowded texts in classes that share a crowded bucket with another class.
 
-
-def deeper_pairs(texts: DataFrame, held: DataFrame) -> DataFrame:
-    """Pairs ``a < b`` across classes from the deeper buckets of unsettled texts, as many as their number allows.
-
-    Buckets of up to PAIRS texts yield all such pairs, larger ones those with a hub drawn by hash;
-    buckets of one class yield nothing and are split no further.
+    Buckets are looked at by class, so a large class is one row of each of its buckets.
     """
-    texts = texts.select("node", "sig")
-    classes, out = held.select("node", "cls").distinct(), []
-    for depth in LEVELS[1:]:
-        reach = held.groupBy("node").agg(F.collect_list("band").alias("bands"))
-        rows = bucket_rows(texts.join(reach, "node"), depth).join(classes, "node")
-        sizes = of_several(rows).groupBy("key").agg(
-            F.count("*").alias("n"), F.min_by(F.struct("node", "cls"), F.xxhash64("node", "key")).alias("hub")
-        )
-        met = staged(rows.join(sizes, "key"), "deeper")
-        small = met.where(F.col("n") <= PAIRS)
-        left, right = (small.select("key", F.col("node").alias(x), F.col("cls").alias(f"of_{x}")) for x in ("a", "b"))
-        out.append(left.join(right, "key").where("a < b and of_a <> of_b").select("a", "b"))
-        held = met.where(F.col("n") > PAIRS)
-        out.append(held.where("hub.cls <> cls").select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b")))
-        if held.isEmpty():
-            break
-    pairs = out[0]
-    for more in out[1:]:
-        pairs = pairs.unionByName(more)
-    return staged(pairs.distinct(), "deeper_pairs")
+    held = crowded.join(found.withColumnRenamed("comp", "cls"), "node", "left").withColumn("cls", F.coalesce("cls", "node"))
+    held = staged(held, "held")
+    by_class = held.select(F.explode("keys").alias("key"), "cls").distinct()
+    several = by_class.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    apart = by_class.join(several, "key").select("cls").distinct()
+    return staged(held.select("node", "cls").join(apart, "cls"), "unsettled")
 
 
 def ranked(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Iterator[tuple]:
@@ -349,8 +300,7 @@ def crossing_pairs(docs: DataFrame, texts: DataFrame, held: DataFrame, whole: Da
 
     ``whole`` has the groups that hold all candidates.
     """
-    members = held.select("node", "cls").distinct()
-    wanted = texts.select("k", "t", "node").join(members, "node")
+    wanted = texts.select("k", "t", "node").join(held, "node")
     wanted = staged(wanted.join(whole.select("node", F.col("comp").alias("grp")), "node"), "unsettled_texts")
     rows = flagged(docs.select("doc_id", "text"), wanted).dropDuplicates(["k", "t"])
     rows = staged(rows.join(wanted, ["k", "t"]).select("text", "node", "cls", "grp"), "unsettled_rows")
@@ -452,25 +402,30 @@ def stars(agreed: DataFrame) -> DataFrame:
     return pair.distinct()
 
 
-def connected(docs: DataFrame, texts: DataFrame, pairs: DataFrame, placed: DataFrame, least: float, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Links that join all texts which the pairs join, beside those given, and the classes of all links.
+def connected(
+    docs: DataFrame, texts: DataFrame, pairs: DataFrame, placed: DataFrame, least: float, found: DataFrame | None = None
+) -> DataFrame:
+    """Classes ``node, comp`` of the texts that similar pairs join, and of the classes found before.
 
     Stars are compared first; of all other pairs only those whose texts are then still apart.
     """
     agreed = staged(agreeing(texts, pairs, least), "agreeing")
     first = staged(stars(agreed), "stars")
-    new = compared(docs, texts, first, placed, least)
-    links = staged(new if links is None else links.unionByName(new), "links")
-    classes = components(links, "starred")
+    found = joined_classes(found, compared(docs, texts, first, placed, least))
     rest = agreed.join(first.select("a", "b"), ["a", "b"], "left_anti")
     for end in ("a", "b"):
-        rest = rest.join(classes.select(F.col("node").alias(end), F.col("comp").alias(f"of_{end}")), end, "left")
+        rest = rest.join(found.select(F.col("node").alias(end), F.col("comp").alias(f"of_{end}")), end, "left")
     apart = F.coalesce("of_a", "a") != F.coalesce("of_b", "b")
     rest = staged(rest.where(apart).select("a", "b", "agree"), "apart")
-    if rest.isEmpty():
-        return links, classes
-    links = staged(links.unionByName(compared(docs, texts, rest, placed, least)), "links")
-    return links, components(links)
+    return found if rest.isEmpty() else joined_classes(found, compared(docs, texts, rest, placed, least))
+
+
+def joined_classes(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Classes of the links and of earlier classes, each of which counts as a star, so few rounds are needed."""
+    links = staged(links, "links")
+    if found is not None:
+        links = links.unionByName(found.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b")))
+    return components(links, "classes_so_far")
 
 
 def memberships(pairs: DataFrame, placed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -508,18 +463,14 @@ def linked_classes(docs: DataFrame, texts: DataFrame, least: float = SIMILARITY)
     pairs, ties, crowded = candidate_pairs(texts)
     whole = staged(components(ties, "candidates").join(texts.select("node", "size"), "node"), "groups")
     placed = blocked(whole)
-    links, found = connected(docs, texts, pairs, placed, least)
+    found = connected(docs, texts, pairs, placed, least)
     if crowded is None:
         return found
-    searches = (lambda held: deeper_pairs(texts, held), lambda held: crossing_pairs(docs, texts, held, whole, least))
-    for search in searches:
-        held = unsettled(crowded, found)
-        if held.isEmpty():
-            break
-        more = search(held)
-        if not more.isEmpty():
-            links, found = connected(docs, texts, more, placed, least, links)
-    return found
+    held = unsettled(crowded, found)
+    if held.isEmpty():
+        return found
+    more = crossing_pairs(docs, texts, held, whole, least)
+    return found if more.isEmpty() else connected(docs, texts, more, placed, least, found)
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:

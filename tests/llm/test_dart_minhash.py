@@ -69,7 +69,7 @@ def test_equals_comparing_all_pairs(spark):
         assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
 
 
-def test_large_groups_go_through_deeper_buckets(spark, monkeypatch):
+def test_large_groups_in_crowded_buckets(spark, monkeypatch):
     monkeypatch.setattr(dm, "PAIRS", 4)
     monkeypatch.setattr(dm, "BLOCK_TEXTS", 20)
     rows = made(5, groups=3, copies=80)
