@@ -152,11 +152,11 @@ def bounds_of_words(data: np.ndarray, starts: np.ndarray, kinds: np.ndarray) ->
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def _hash_block(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    power, inverse = powers(_BASE, len(data) + 1)
+def _hash_block(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
+    power, inverse = powers(_BASE_2 if second else _BASE, len(data) + 1)
     total = np.empty(len(data) + 1, np.uint64)
     total[0] = 0
-    np.cumsum(_VALUES[data] * power[: len(data)], out=total[1:])
+    np.cumsum((mix(_VALUES) if second else _VALUES)[data] * power[: len(data)], out=total[1:])
     return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
@@ -171,15 +171,17 @@ def lowered(data: np.ndarray) -> np.ndarray:
 class Words:
     """Words of a few texts: bounds in the buffer, hashes, and first word of each text.
 
-    ``prefixes`` has the hashes of the words' first ``prefix`` bytes.
+    ``prefixes`` has the hashes of the words' first ``prefix`` bytes, ``seconds`` independent hashes of the words.
 
     ``first`` has one entry more than there are texts: text i has the words
     ``first[i]`` to ``first[i + 1]``.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray = WORDS, hashed: bool = True, prefix: int = 0):
+    def __init__(
+        self, data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray = WORDS, hashed: bool = True, prefix: int = 0, second: bool = False
+    ):
         self.data, self.offsets = data, offsets
-        starts, ends, hashes, heads, low = [], [], [], [], 0
+        starts, ends, hashes, heads, others, low = [], [], [], [], [], 0
         while low < len(data):
             high = min(low + BLOCK, len(data))
             if high < len(data):  # cut where no word is cut
@@ -200,12 +202,15 @@ class Words:
                 hashes.append(_hash_block(part, s, e))
             if prefix:
                 heads.append(_hash_block(part, s, np.minimum(s + prefix, e)))
+            if second:
+                others.append(_hash_block(part, s, e, second=True))
             low = high
         empty = np.zeros(0, np.int64)
         self.starts = np.concatenate(starts) if starts else empty
         self.ends = np.concatenate(ends) if ends else empty
         self.hashes = np.concatenate(hashes) if hashes else empty.astype(np.uint64)
         self.prefixes = np.concatenate(heads) if heads else empty.astype(np.uint64)
+        self.seconds = np.concatenate(others) if others else empty.astype(np.uint64)
         self.first = np.searchsorted(self.starts, offsets)
 
     def text_of(self) -> np.ndarray:

@@ -28,21 +28,25 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches, staged, table
+from tessera.llm.common import Words, give_back, row_blocks, small_batches, staged, table
 
 WINDOW = 2048
 STEP = 8
 DEPTH = 3
 END_ID = 1
-#: Words a task remembers the ids of; beyond it starts anew.
-CACHE_WORDS = 1_000_000
+#: Words a worker remembers the ids of, and the ids they have; beyond it starts anew.
+CACHE_WORDS = 500_000
+CACHE_IDS = 2_500_000
+#: Lower-cased words remembered as Python objects, which take ten times the memory.
+CACHE_PARTS = 50_000
+#: Bytes of text that are encoded at a time.
+ENCODED = 1 << 18
 BUCKETS = 1 << 18
 
 #: A word of plain Latin letters and the signs after it.
@@ -65,7 +69,8 @@ def byte_letters() -> list[str]:
 class Encoder:
     """Token ids as little-endian unsigned 32-bit numbers, looked up word by word.
 
-    The tokenizer never joins over white space, so a word is encoded once and looked up after.  A new
+    The tokenizer never joins over white space, so a word is encoded once and looked up after, by two
+    independent hashes in sorted arrays; the ids of all remembered words lie in one array.  A new
     word of Latin letters goes to the tokenizer's model directly, its signs apart, which skips the
     steps that leave such words as they are; everything else goes through the whole tokenizer.  Whether
     the short way holds is tried out when the tokenizer is loaded.
@@ -76,7 +81,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.forget()
         self.parts: dict[str, bytes] = {}
         self.letters = {chr(c): "".join(byte_letters()[b] for b in chr(c).encode()) for c in range(0x80, 0x100)}
         self.letters = str.maketrans(self.letters)
@@ -85,9 +90,14 @@ class Encoder:
         words = ["".join(rng.choice(alphabet, n)) + sign for n in (1, 2, 3, 5, 8, 13) for sign in ("", ",", "!!", ".)") for _ in range(8)]
         self.short_way = True
         self.short_way = all(self.encode(w.encode()) == self.whole(w) for w in words)
-        self.known.clear()
         self.parts.clear()
 
+    def forget(self) -> None:
+        """Word hashes in order, the second hash of each, where its ids begin and how many there are."""
+        self.first, self.second = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.at, self.n = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids = np.zeros(0, "<u4")
+
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
@@ -112,16 +122,45 @@ class Encoder:
             ids += signs
         return ids
 
-    def encode_all(self, texts: list[bytes]) -> list[bytes]:
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        if len(self.parts) > CACHE_PARTS:
             self.parts.clear()
-        split = [text.split() for text in texts]
-        for word in set(chain.from_iterable(split)).difference(known):
-            known[word] = self.encode(word)
-        look = known.__getitem__
-        return [b"".join(map(look, words)) for words in split]
+        return [self.encode(word) for word in words]
+
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        offsets = np.concatenate(([0], np.cumsum([len(text) for text in texts]))).astype(np.int64)
+        out: list[bytes] = []
+        for low, high in row_blocks(offsets, ENCODED):
+            out += self.encode_block(texts[low:high], offsets[low : high + 1] - offsets[low])
+        return out
+
+    def encode_block(self, texts: list[bytes], offsets: np.ndarray) -> list[bytes]:
+        raw = b"".join(texts)
+        words = Words(np.frombuffer(raw, np.uint8), offsets, second=True)
+        if len(self.first) > CACHE_WORDS or len(self.ids) > CACHE_IDS:
+            self.forget()
+        first, index, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
+        second = words.seconds[index]
+        place = np.searchsorted(self.first, first)
+        held = place < len(self.first)
+        held[held] = self.first[place[held]] == first[held]
+        if (second[inverse] != words.seconds).any() or (self.second[place[held]] != second[held]).any():
+            # Different words with one hash: nothing is looked up.
+            return [b"".join(self.encode_words(text.split())) for text in texts]
+        new = np.flatnonzero(~held)
+        bounds = zip(words.starts[index[new]].tolist(), words.ends[index[new]].tolist())
+        fresh = self.encode_words([raw[start:end] for start, end in bounds])
+        n = np.array([len(ids) // 4 for ids in fresh], np.int32)
+        at = len(self.ids) + np.cumsum(n, dtype=np.int64) - n
+        for name, values in (("first", first[new]), ("second", second[new]), ("at", at), ("n", n)):
+            setattr(self, name, np.insert(getattr(self, name), place[new], values))
+        self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(fresh), "<u4")))
+        place = np.searchsorted(self.first, first)[inverse]
+        n = self.n[place].astype(np.int64)
+        ends = np.concatenate(([0], np.cumsum(n)))
+        ids = self.ids[np.repeat(self.at[place] - ends[:-1], n) + np.arange(ends[-1])]
+        cuts = ends[words.first]
+        return [ids[low:high].tobytes() for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -142,9 +181,9 @@ def pieces_of(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = EN
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).fill_null(b"").to_pylist()
             ids_of = batch.column("doc_id").to_pylist()
-            for low in range(0, len(texts), 64):
+            for low in range(0, len(texts), 256):
                 out: dict[str, list] = {c: [] for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
-                for doc_id, ids in zip(ids_of[low : low + 64], encode_all(texts[low : low + 64], path)):
+                for doc_id, ids in zip(ids_of[low : low + 256], encode_all(texts[low : low + 256], path)):
                     ids += end
                     total = len(ids) // 4
                     for start in range(0, total, window):
@@ -157,6 +196,7 @@ def pieces_of(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = EN
                         out["ids"].append(part if len(part) < 4 * window else None)
                 kinds = [pa.int64()] * 5 + [pa.binary()]
                 yield pa.RecordBatch.from_pydict({c: pa.array(v, k) for (c, v), k in zip(out.items(), kinds)})
+            give_back()
 
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text")

@@ -96,3 +96,30 @@ def test_repeats_never_need_more_than_there_is():
 
 def test_empty_table(spark):
     assert pk.packed(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_remembered_words_take_bounded_memory(monkeypatch):
+    """Ids stay right when the memory of words starts anew, and new words take no Python objects that stay."""
+    monkeypatch.setattr(pk, "CACHE_WORDS", 2000)
+    monkeypatch.setattr(pk, "CACHE_PARTS", 500)
+    rng = random.Random(7)
+    encoder = pk.Encoder(pk.default_tokenizer())
+    texts = [" ".join("".join(rng.choice("abcdeé,!") for _ in range(rng.randint(1, 6))) for _ in range(400)) for _ in range(40)]
+    texts += ["", " \n"] + texts[:3]
+    for text in texts:
+        got = np.frombuffer(encoder.encode_all([text.encode()])[0], "<u4").tolist()
+        assert got == TOKENIZER.encode(text, add_special_tokens=False).ids
+        assert len(encoder.first) == len(encoder.n) <= 2000 + 400 and len(encoder.parts) <= 500 + 400
+    together = encoder.encode_all([text.encode() for text in texts])
+    assert together == [pk.array("I", TOKENIZER.encode(text, add_special_tokens=False).ids).tobytes() for text in texts]
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    import tessera.llm.common as common
+
+    real = common._hash_block
+    monkeypatch.setattr(common, "_hash_block", lambda d, s, e, second=False: real(d, s, e, second) if second else np.zeros(len(s), np.uint64))
+    encoder = pk.Encoder(pk.default_tokenizer())
+    for text in ("one two one", "three", "one"):
+        got = np.frombuffer(encoder.encode_all([text.encode()])[0], "<u4").tolist()
+        assert got == TOKENIZER.encode(text, add_special_tokens=False).ids
