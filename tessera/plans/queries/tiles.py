@@ -9,6 +9,7 @@ from tessera.functions.keys import parse_tile_path, tile_key
 from tessera.plans import seed
 from tessera.plans.queries import sql
 from tessera.plans.render import register_tile_cover
+from tessera.session import written
 from tessera.sources import derived as d
 
 
@@ -172,12 +173,13 @@ def seed_plan(spark, sf):
 
 def missing_ranges(spark, sf):
     """Gaps of a store that holds most tiles of the plan and some outside, found without expanding the plan."""
-    regions = d.regions(spark, sf)
-    ranges = seed.plan_ranges(seed.within_limits(regions))
+    regions = seed.spread_regions(d.regions(spark, sf))
+    # Guards and covers are the costly part; they are worked out once.
+    ranges = written(seed.plan_ranges(seed.within_limits(regions)), "ranges")
     x, y = F.col("x"), F.col("y")
     store = seed.expand_plan(ranges).where((x * 5 + y * 3 + F.col("region_id")) % 4 != 0)
-    outside = store.select("layer_name", "z", (x + 1).alias("x"), "y").where((x + y) % 5 == 0)
-    return seed.missing_ranges(ranges, store.select("layer_name", "z", "x", "y").unionByName(outside).distinct())
+    held = F.when((x + 1 + y) % 5 == 0, F.array(x, x + 1)).otherwise(F.array(x))
+    return seed.missing_ranges(ranges, store.select("layer_name", "z", F.explode(held).alias("x"), "y").distinct())
 
 
 def plan_summary(spark, sf):

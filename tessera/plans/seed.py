@@ -19,6 +19,7 @@ from tessera.functions.tiles import (
     tiles_per_axis,
     zoom_list,
 )
+from tessera.session import written
 
 # Limits of a seed run.
 TILES_PER_ZOOM = 10_000
@@ -96,6 +97,14 @@ def split_date_line(area) -> Column:
     return F.when(b["west"] > b["east"], F.array(left, right)).otherwise(F.array(b))
 
 
+def spread_regions(regions: DataFrame) -> DataFrame:
+    """Regions dealt out over all cores: a file of few row groups would be planned in as many tasks.
+
+    They are written, since Spark moves the guards' filter in front of a shuffle.
+    """
+    return written(regions.repartition(3 * regions.sparkSession.sparkContext.defaultParallelism), "regions")
+
+
 def plan_ranges(regions: DataFrame, strict: bool = False) -> DataFrame:
     """One row per region and zoom with its range and count.  Narrow.
 
@@ -246,11 +255,11 @@ def missing_ranges(ranges: DataFrame, store: DataFrame) -> DataFrame:
     """What a plan has and a store lacks, as row ranges: ``layer_name, z, y, x0, x1``, disjoint and as long as can be.
 
     No tile of the plan appears as a row, so a plan of zoom 21 costs its rows and the tiles that
-    the store has in them.  Along a row the ends of planned ranges and of stored tiles are
-    swept from west to east; a row holds at most 2**21 tiles.
+    the store has in them.  Ranges that several regions share count once.  Along a row the ends of
+    planned ranges and of stored tiles are swept from west to east; a row holds at most 2**21 tiles.
     """
     row = ["layer_name", "z", "y"]
-    planned = row_ranges(ranges)
+    planned = row_ranges(ranges.select("layer_name", "z", "range", "tiles").distinct()).distinct()
     held = store.select(*row, "x").join(planned.select(*row).distinct(), row, "left_semi")
     none = F.lit(0).cast("long")
 

@@ -101,3 +101,23 @@ def test_a_deep_plan_is_never_expanded(spark):
     rows = box["y1"] - box["y0"]
     assert found.count() == rows - 1 + 1000
     assert found.agg(F.sum(F.col("x1") - F.col("x0"))).first()[0] == (box["x1"] - box["x0"]) * rows - 1000
+
+
+def test_shared_ranges_are_swept_once(spark):
+    """Many regions over the same box cost what one costs: their ranges meet before a row of tiles appears."""
+    one = regions(spark, [(10.0, 20.0, 20.0, 40.0)], "3-6")
+    many = one.drop("region_id").crossJoin(spark.range(500).withColumnRenamed("id", "region_id")).select("region_id", "layer_name", "area", "zooms")
+    store = seed.expand_plan(seed.plan_ranges(one)).where("(x + y) % 3 = 0").select("layer_name", "z", "x", "y").distinct()
+    names = ["layer_name", "z", "y", "x0", "x1"]
+    a, b = (seed.missing_ranges(seed.plan_ranges(r), store) for r in (one, many))
+    assert sorted(a.select(names).collect()) == sorted(b.select(names).collect()) and a.count() > 5
+    plan = b._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Aggregate [layer_name" in line and "range#" in line for line in plan.splitlines()) == 2, "once for each use of the rows"
+
+
+def test_regions_of_one_file_are_planned_by_all_cores(spark, tmp_path):
+    regions(spark, [(10.0, 12.0, 20.0 + i, 22.0 + i) for i in range(200)], "3,4").coalesce(1).write.parquet(f"{tmp_path}/r")
+    read = spark.read.parquet(f"{tmp_path}/r")
+    spread = seed.spread_regions(read)
+    assert len(spread.inputFiles()) >= spark.sparkContext.defaultParallelism > len(read.inputFiles())
+    assert sorted(r[0] for r in spread.select("region_id").collect()) == list(range(200))
