@@ -1,7 +1,7 @@
 """Keyed streaming state: upstream fetches under a lifetime, change alerts.
 
-Both are stateful processors with one small value per tile, kept in RocksDB, so state may
-outgrow memory and a micro-batch touches only the tiles that it has rows for.  The values
+Both are stateful processors with one small value per tile, or per block of 256 tiles, kept in RocksDB, so
+state may outgrow memory and a micro-batch touches only the tiles or blocks that it has rows for.  The values
 can start from a batch table, and be read with Spark's ``statestore`` source.
 """
 
@@ -108,35 +108,55 @@ def fetch_stream(
     return _stateful(timed, keys, Fetches(keys, ttl_seconds), schema, "EventTime", initial)
 
 
+#: Blocks of 2**BLOCK_SHIFT by as many tiles share one value of a change stream.
+BLOCK_SHIFT = 4
+
+
 class Changes(StatefulProcessor):
-    """Emits observations that differ from the one before; the state is the last one's tag and type."""
+    """Emits observations that differ from the one before; the state is the last tag and type of a block's tiles.
+
+    Every value read or written is a round trip to the worker, so a block of 16 x 16 tiles has one value:
+    an array per key column, and one each of tags and types.
+    """
 
     COLUMNS = ("written_at", "version", "etag", "content_type")
 
-    def __init__(self, keys: Sequence[str]):
-        self.row = Row(*keys, *self.COLUMNS, "previous_etag")
+    def __init__(self, keys: T.StructType):
+        self.keys = keys.names
+        texts = [T.StructField(c, T.StringType()) for c in ("etag", "content_type")]
+        self.state = T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in (*keys, *texts)])
+        self.row = Row(*self.keys, *self.COLUMNS, "previous_etag")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        fields = [T.StructField(c, T.StringType()) for c in ("etag", "content_type")]
-        self.last = handle.getValueState("last", T.StructType(fields))
+        self.last = handle.getValueState("last", self.state)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        last = self.last.get()
-        # Tags and types repeat, so they are kept once; a row then costs its time and version.
-        seen = sorted(
-            ((r["written_at"], r["version"], _kept(r["etag"]), _kept(r["content_type"])) for r in rows),
-            key=lambda r: [(v is not None, v) for v in r[:2]],
-        )
-        before = tuple(last) if last else None
-        for *place, tag, kind in seen:
-            if before is not None and before != (tag, kind):
-                yield self.row(*key, *place, tag, kind, before[0])
-            before = tag, kind
-        if seen and (last is None or before != tuple(last)):
-            self.last.update(before)
+        known = self.last.get()
+        n = len(self.keys)
+        last = {tuple(v[:n]): tuple(v[n:]) for v in zip(*known)} if known else {}
+        # Keys, tags and types repeat, so they are kept once; a row then costs its time and version.
+        seen: dict[tuple, list[tuple]] = {}
+        for r in rows:
+            place = r["written_at"], r["version"], _kept(r["etag"]), _kept(r["content_type"])
+            seen.setdefault(tuple(r[c] for c in self.keys), []).append(place)
+        changed = False
+        for tile, places in seen.items():
+            places.sort(key=lambda r: [(v is not None, v) for v in r[:2]])
+            first = before = last.get(tile)
+            for *place, tag, kind in places:
+                if before is not None and before != (tag, kind):
+                    yield self.row(*tile, *place, tag, kind, before[0])
+                before = tag, kind
+            last[tile] = before
+            changed |= first != before
+        if changed:
+            self._keep(last)
+
+    def _keep(self, last: dict[tuple, tuple]) -> None:
+        self.last.update(tuple(list(c) for c in zip(*((*tile, *value) for tile, value in last.items()))))
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        self.last.update((initialState["etag"], initialState["content_type"]))
+        self._keep({tuple(r[c] for c in self.keys): (r["etag"], r["content_type"]) for r in initialState["tiles"]})
 
     def close(self) -> None:
         pass
@@ -156,4 +176,8 @@ def change_stream(observations: DataFrame, keys: Sequence[str] = TILE, initial:
         *keys, "written_at", "version", etag("content").alias("etag"), "content_type"
     )
     schema = _output(seen, [*keys, *Changes.COLUMNS], T.StructField("previous_etag", T.StringType()))
-    return _stateful(seen, keys, Changes(keys), schema, "None", initial)
+    block = {f"_{c}": F.shiftright(c, BLOCK_SHIFT) if c in ("x", "y") else F.col(c) for c in keys}
+    if initial is not None:
+        tiles = F.collect_list(F.struct(*keys, "etag", "content_type")).alias("tiles")
+        initial = initial.withColumns(block).groupBy(*block).agg(tiles)
+    return _stateful(seen.withColumns(block), list(block), Changes(_output(seen, keys)), schema, "None", initial)

@@ -205,3 +205,24 @@ def test_a_recorder_counts_a_replayed_batch_once(spark, split_requests, tmp_path
     run()
     assert calls.count(calls[2]) == 2 and len(set(calls)) == 7
     assert spark.read.parquet(f"{tmp_path}/rows").count() == split_requests[1].count()
+
+
+def test_alerts_of_one_block_share_a_value(spark, tmp_path):
+    """Tiles of a block keep their own order and baseline, over batches, beside an initial state and with null keys."""
+    kind = "layer_name string, z int, x int, y int, written_at timestamp_ntz, version long, content binary, content_type string"
+    at = [dt.datetime(2024, 1, 1) + dt.timedelta(days=i) for i in range(3)]
+    path = tmp_path / "seen"
+    tiles = [("a", 9, x, y) for x in (0, 1, 15, 16, None) for y in (0, 17)] + [(None, 9, 1, 0)]
+    for i, time_ in enumerate(at):
+        rows = [(*t, time_, i, b"%d" % (0 if t[2] == 1 else i), "t") for t in tiles]
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(path))
+    tag = spark.range(1).select(etag(F.lit(b"0")).alias("e")).first()["e"]
+    before = [("a", 9, 15, 0, tag, "t"), ("a", 9, 15, 17, "old", None), ("a", 9, 14, 0, "old", "t")]
+    initial = spark.createDataFrame(before, "layer_name string, z int, x int, y int, etag string, content_type string")
+    source = ingest.read_stream(spark, str(path), spark.read.parquet(str(path)).schema, files_per_trigger=1)
+    got = drain(stateful.change_stream(source, initial=initial), tmp_path).collect()
+    want = {(*t, i) for t in tiles for i in (1, 2) if t[2] != 1} | {("a", 9, 15, 17, 0)}
+    assert len(got) == len(want) and {(r["layer_name"], r["z"], r["x"], r["y"], r["version"]) for r in got} == want
+    state = spark.read.format("statestore").option("stateVarName", "last").load(f"{tmp_path}/checkpoint")
+    held = state.select("key.*", F.explode(F.arrays_zip("value.x", "value.y")).alias("t"))
+    assert state.count() < len(tiles) and held.count() == len(tiles) + 1
