@@ -54,7 +54,7 @@ def windowed_usage(spark, sf):
 
 def fetch_stream(spark, sf):
     out = shared_dir(spark, "fetches")
-    rows = stateful.fetch_stream(request_stream(spark, sf), stateful.TTL_KEY_VALUE)
+    rows = stateful.fetch_stream(request_stream(spark, sf), stateful.TTL_KEY_VALUE, buckets=stateful.BUCKETS)
     finish(ingest.append_stream(rows, f"{out}/rows", f"{out}/checkpoint", available_now=True))
     return spark.read.parquet(f"{out}/rows")
 

@@ -1,7 +1,7 @@
 """Keyed streaming state: upstream fetches under a lifetime, change alerts.
 
-Both are stateful processors with one small value per tile, or per block of 256 tiles, kept in RocksDB, so
-state may outgrow memory and a micro-batch touches only the tiles or blocks that it has rows for.  The values
+Both are stateful processors with one small value per tile, or per block or bucket of tiles, kept in RocksDB, so
+state may outgrow memory and a micro-batch touches only the tiles, blocks or buckets that it has rows for.  The values
 can start from a batch table, and be read with Spark's ``statestore`` source.
 """
 
@@ -79,6 +79,68 @@ class Fetches(StatefulProcessor):
         pass
 
 
+#: Buckets of tiles of a large fetch stream.
+BUCKETS = 1 << 14
+
+
+class BucketFetches(StatefulProcessor):
+    """``Fetches`` with one value per bucket of tiles; the state is when the copies of its tiles run out.
+
+    Every key, value and timer is a round trip to the worker, so there are as many as buckets, not tiles.
+    A value has an array per key column and one of ends.  Its timer is that of the copy that runs out first.
+    """
+
+    def __init__(self, keys: T.StructType, ttl_seconds: int):
+        self.keys, self.ttl = keys.names, ttl_seconds
+        self.state = T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in (*keys, T.StructField("free_at", T.LongType()))])
+        self.row = Row(*self.keys, "fetched_at")
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", self.state)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        seen: dict[tuple, set[int]] = {}
+        for row in rows:
+            if row["fetched_at"] is not None:
+                seen.setdefault(tuple(row[c] for c in self.keys), set()).add(row["fetched_at"])
+        known = self._held()
+        held, changed = dict(known), False
+        for tile, seconds in seen.items():
+            free_at = held.get(tile, -sys.maxsize)
+            for second in sorted(seconds):
+                if second >= free_at:
+                    held[tile] = free_at = second + self.ttl
+                    changed = True
+                    yield self.row(*tile, second)
+        if changed:
+            self._keep(held, timerValues, bool(known))
+
+    def _held(self) -> dict[tuple, int]:
+        return {tuple(v[:-1]): v[-1] for v in zip(*(self.held.get() or ()))}
+
+    def _keep(self, held: dict[tuple, int], timerValues, timed: bool) -> None:
+        """Write what has not run out; ``timed`` if a timer is set already, which then sets the next."""
+        watermark = timerValues.getCurrentWatermarkInMs()
+        left = [(*tile, free_at) for tile, free_at in held.items() if free_at * 1000 > watermark]
+        if not left:
+            self.held.clear()
+            return
+        self.held.update(tuple(list(c) for c in zip(*left)))
+        if not timed:
+            self.handle.registerTimer(min(v[-1] for v in left) * 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self._keep(self._held(), timerValues, False)
+        return iter(())
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self._keep({tuple(r[c] for c in self.keys): r["fetched_at"] + self.ttl for r in initialState["tiles"]}, timerValues, False)
+
+    def close(self) -> None:
+        pass
+
+
 def _output(df: DataFrame, names: Sequence[str], *more: T.StructField) -> T.StructType:
     return T.StructType([*(T.StructField(c, df.schema[c].dataType) for c in names), *more])
 
@@ -90,6 +152,7 @@ def fetch_stream(
     keys: Sequence[str] = TILE,
     time: str = "time",
     initial: DataFrame | None = None,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Requests that reach the upstream, per tile, as in ``first_fetches``.
 
@@ -97,7 +160,8 @@ def fetch_stream(
     micro-batch a tile's requests are taken in event-time order, so the result
     does not depend on where batches are cut as long as files arrive in time
     order.  A timer removes the state once the watermark has passed it.  ``initial``
-    has each tile's last ``fetched_at`` from before, at most one row a tile.
+    has each tile's last ``fetched_at`` from before, at most one row a tile.  With
+    ``buckets`` tiles share that many state values, by their hash; a stream keeps its number.
     """
     timed = requests.select(
         *keys,
@@ -105,7 +169,13 @@ def fetch_stream(
         F.unix_timestamp(F.col(time).cast("timestamp")).alias("fetched_at"),
     ).withWatermark("_t", lateness)
     schema = _output(timed, [*keys, "fetched_at"])
-    return _stateful(timed, keys, Fetches(keys, ttl_seconds), schema, "EventTime", initial)
+    if buckets is None:
+        return _stateful(timed, keys, Fetches(keys, ttl_seconds), schema, "EventTime", initial)
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("_bucket")
+    if initial is not None:
+        initial = initial.groupBy(bucket).agg(F.collect_list(F.struct(*keys, "fetched_at")).alias("tiles"))
+    processor = BucketFetches(_output(timed, keys), ttl_seconds)
+    return _stateful(timed.select("*", bucket), ["_bucket"], processor, schema, "EventTime", initial)
 
 
 #: Blocks of 2**BLOCK_SHIFT by as many tiles share one value of a change stream.

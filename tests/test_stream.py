@@ -226,3 +226,45 @@ def test_alerts_of_one_block_share_a_value(spark, tmp_path):
     state = spark.read.format("statestore").option("stateVarName", "last").load(f"{tmp_path}/checkpoint")
     held = state.select("key.*", F.explode(F.arrays_zip("value.x", "value.y")).alias("t"))
     assert state.count() < len(tiles) and held.count() == len(tiles) + 1
+
+
+def test_fetches_of_one_bucket_share_a_value(spark, tmp_path):
+    """Tiles of a bucket keep their own ends, over batches, beside an initial state and with null keys; what ran out goes."""
+    kind = "layer_name string, z int, x int, y int, time timestamp_ntz"
+    now, day = dt.datetime(2024, 1, 10), dt.timedelta(days=1)
+    tiles = [("a", 9, x, y) for x in (0, 1, 15, None) for y in (0, 17)] + [(None, 9, 1, 0)]
+    # The last request of each tile: the first tile's copy holds, each other one's runs out on a day of its own.
+    steps = [[(*t, now + i * day / 2) for t in tiles] for i in range(3)]
+    steps += [[(*tiles[0], now + 9 * day + i * day / 48) for i in range(40)] + [(*tiles[1], None)], [(*tiles[0], now + 10 * day)]]
+    path = tmp_path / "seen"
+    for rows in steps:
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(path))
+    table = spark.read.parquet(str(path))
+    before = [(*tiles[1], 1704801600), (*tiles[2], 1704000000), ("z", 9, 0, 0, 1704801600)]  # Jan 9 12:00, Dec 31, Jan 9 12:00
+    initial = spark.createDataFrame(before, "layer_name string, z int, x int, y int, fetched_at long")
+    source = ingest.read_stream(spark, str(path), table.schema, files_per_trigger=1)
+    got = drain(stateful.fetch_stream(source, 86_400, initial=initial, buckets=2), tmp_path)
+    earlier = spark.createDataFrame([(*r[:4], dt.datetime(1970, 1, 1) + dt.timedelta(seconds=r[4])) for r in before], kind)
+    named = {"layer_name": "none", "x": -1}  # the batch operator tells rows with null keys apart
+    want = first_fetches(table.where("time is not null").unionByName(earlier).na.fill(named), 86_400).where("fetched_at >= 1704844800")
+    got = got.na.fill(named)
+    assert want.count() == 19 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    state = spark.read.format("statestore").option("stateVarName", "held").load(f"{tmp_path}/checkpoint")
+    held = state.select(F.explode(F.arrays_zip("value.layer_name", "value.z", "value.x", "value.y", "value.free_at")).alias("t")).select("t.*")
+    assert [tuple(r) for r in held.collect()] == [(*tiles[0], 1704844800 + 11 * 86_400)]
+    first = spark.read.format("statestore").option("stateVarName", "held").option("batchId", 1).load(f"{tmp_path}/checkpoint")
+    assert 0 < first.count() <= 2 and first.select(F.explode("value.free_at")).count() >= len(tiles)
+
+
+def test_the_query_of_fetches_shares_values(spark, tmp_path, monkeypatch):
+    """As many state values as buckets, however many tiles."""
+    from tessera.plans.queries import stream as queries
+
+    place = str(tmp_path / "out")
+    monkeypatch.setattr(queries, "shared_dir", lambda *_: place)
+    monkeypatch.setattr(stateful, "BUCKETS", 3)
+    rows = queries.fetch_stream(spark, SF)
+    want = first_fetches(d.tile_requests(spark, SF), stateful.TTL_KEY_VALUE)
+    assert rows.exceptAll(want).isEmpty() and want.exceptAll(rows).isEmpty()
+    state = spark.read.format("statestore").option("batchId", 0).option("stateVarName", "held").load(f"{place}/checkpoint")
+    assert state.count() == 3 and state.agg(F.sum(F.size("value.free_at"))).first()[0] > 100
