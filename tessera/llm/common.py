@@ -8,7 +8,8 @@ have to be equal for a result, two independent hashes are compared.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,51 @@ def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     what has been written is not computed again.
     """
     path = shared_dir(df.sparkSession, name)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+#: Folders of the tables staged in each open ``scratch`` block, the innermost last.
+_scopes: list[list[str]] = []
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table as ``staged`` returned it, once no plan that is still to run reads it."""
+    _delete(table.sparkSession, table.staged_at)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables staged inside the block are deleted at its end, also if it fails.
+
+    What is to outlive the block is staged by the function it yields; a plan that leaves the block may
+    read such tables only.
+    """
+    made: list[str] = []
+    _scopes.append(made)
+
+    def lasting(df: DataFrame, name: str) -> DataFrame:
+        out = staged(df, name)
+        _scopes[-1].remove(out.staged_at)
+        if len(_scopes) > 1:
+            _scopes[-2].append(out.staged_at)
+        return out
+
+    try:
+        yield lasting
+    finally:
+        _scopes.pop()
+        for folder in made:
+            _delete(spark, folder)
 
 
 #: Rows of a few numbers that are sent to all executors at most.

@@ -61,6 +61,7 @@ from tessera.llm.common import (
     keyed,
     mix,
     row_blocks,
+    scratch,
     signed,
     small_batches,
     staged,
@@ -329,7 +330,10 @@ def similarity(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.n
 
 
 def linked(nodes: pd.DataFrame, pairs: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Links among the pairs of one block, found from the likeliest on; what is linked already is skipped."""
+    """Links among the pairs of one block, found from the likeliest on; what is linked already is skipped.
+
+    Returned are the links of each text to the smallest that it is so connected with: as many, but stars.
+    """
     if not len(nodes) or not len(pairs):
         return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
     at = {node: i for i, node in enumerate(nodes["node"])}
@@ -351,13 +355,13 @@ def linked(nodes: pd.DataFrame, pairs: pd.DataFrame, least: float) -> pd.DataFra
             parent[i] = i = parent[parent[i]]
         return i
 
-    links = []
     for p in np.argsort(-pairs["agree"].to_numpy(), kind="stable"):
         i, j = root(a[p]), root(b[p])
         if i != j and similarity(elements(a[p]), elements(b[p])) >= least:
             parent[max(i, j)] = min(i, j)
-            links.append((pairs["a"].iloc[p], pairs["b"].iloc[p]))
-    return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
+    names = nodes["node"].to_numpy()
+    least = pd.Series(names).groupby([root(i) for i in range(len(names))]).transform("min").to_numpy()
+    return pd.DataFrame({"a": least, "b": names})[least != names]
 
 
 def blocked(whole: DataFrame) -> DataFrame:
@@ -476,12 +480,13 @@ def linked_classes(docs: DataFrame, texts: DataFrame, least: float = SIMILARITY)
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """``doc_id, k, t, class_id, first`` per row; ``first`` marks the class's one row to keep (with its copies)."""
     rows = staged(sketches(docs), "sketches")
-    texts = distinct_texts(rows)
-    found = linked_classes(docs, texts, least)
-    joined = texts.select("one", "two", "worded", "node", "k", "t").join(found, "node", "left")
-    joined = joined.withColumn("comp", F.coalesce("comp", "node"))
-    smallest = joined.groupBy("comp").agg(F.min(F.struct("k", "t")).alias("kept"))
-    classes = staged(joined.join(smallest, "comp").select("one", "two", "worded", "kept"), "classes")
+    with scratch(docs.sparkSession) as lasting:
+        texts = distinct_texts(rows)
+        found = linked_classes(docs, texts, least)
+        joined = texts.select("one", "two", "worded", "node", "k", "t").join(found, "node", "left")
+        joined = joined.withColumn("comp", F.coalesce("comp", "node"))
+        smallest = joined.groupBy("comp").agg(F.min(F.struct("k", "t")).alias("kept"))
+        classes = lasting(joined.join(smallest, "comp").select("one", "two", "worded", "kept"), "classes")
     found = rows.select("k", "t", "one", "two", "worded").join(classes, ["one", "two", "worded"])
     found = found.select("k", "t", "kept").unionByName(
         keyed(docs).where(F.col("text").isNull()).select("k", "t", F.struct("k", "t").alias("kept"))
@@ -501,8 +506,9 @@ def op8_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class: the one with the smallest doc_id."""
-    found = near_duplicates(docs).groupBy("k", "t", "first").agg(F.count("*").alias("n"))
-    found = staged(found, "verdicts")
+    with scratch(spark) as lasting:
+        found = near_duplicates(docs).groupBy("k", "t", "first").agg(F.count("*").alias("n"))
+        found = lasting(found, "verdicts")
     key, tag = doc_key(), F.xxhash64("text")
     gone, again = found.where(~F.col("first")).select("k", "t"), found.where("first and n > 1").select("k", "t")
     plain = few(staged(gone.unionByName(again), "gone"))

@@ -36,7 +36,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import few, staged, table
+from tessera.llm.common import few, scratch, staged, table
 from tessera.llm.spans import merge_spans
 
 ITEM_WORDS = 10
@@ -192,8 +192,10 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs; rows of one text share its fate."""
     numbered = docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text")
-    found = contamination(numbered, table(spark, sf_dir, "benchmark"))[0]
-    bad = few(staged(found.where("contaminated").select(F.col("doc_id").alias("bad")).distinct(), "contaminated"))
+    with scratch(spark) as lasting:
+        found = contamination(numbered, table(spark, sf_dir, "benchmark"))[0]
+        bad = lasting(found.where("contaminated").select(F.col("doc_id").alias("bad")).distinct(), "contaminated")
+    bad = few(bad)
     return docs.join(bad, F.xxhash64(docs["doc_id"], docs["text"]) == bad["bad"], "left_anti")
 
 

@@ -47,6 +47,7 @@ from tessera.llm.common import (
     doc_key,
     give_back,
     row_blocks,
+    scratch,
     signed,
     small_batches,
     staged,
@@ -212,10 +213,9 @@ def cut_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """Every row of ``docs`` with ``n_words``, ``n_removed``, ``kept_sha256`` and ``kept_text``.
 
     The kept text keeps the spacing between words that stay.  Columns of the input with one of these
-    four names are replaced.
+    four names are replaced.  The spans are read more than once, so they should be written already.
     """
     small_batches(docs.sparkSession)
-    spans = staged(spans, "spans")
     listed = spans.groupBy("k", "t").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), "text", doc_key().alias("k"), F.xxhash64("text").alias("t"))
     bucket = F.pmod(F.xxhash64("k", "t"), F.lit(BUCKETS))
@@ -269,7 +269,9 @@ def cut_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
     """Rows of ``docs`` with the repeated spans found, counted and cut out."""
-    return cut_spans(docs, repeated_spans(docs, window, kmer))
+    with scratch(docs.sparkSession) as lasting:
+        spans = lasting(repeated_spans(docs, window, kmer), "spans")
+    return cut_spans(docs, spans)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

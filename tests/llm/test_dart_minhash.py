@@ -1,9 +1,14 @@
+import os
 import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
+import pytest
 
 from tessera.llm import dart_minhash as dm
+from tessera.llm import phrase_index, substring_dedup
+from tessera.llm.common import scratch, staged
 from tessera.llm.graph import components
 
 SF = "/root/testdata/sf0.001"
@@ -179,3 +184,54 @@ def test_components_of_chains_and_stars(spark):
     out = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(out[i] == 2 for i in range(100, 161)) and all(out[i] == 500 for i in range(500, 560))
     assert len(out) == 61 + 1 + 60
+
+
+def scratch_tables(spark):
+    """Names of the tables in the shared folder, by how often they are there."""
+    return Counter(x.rsplit("-", 1)[0] for x in os.listdir(spark.conf.get("spark.checkpoint.dir")))
+
+
+def test_rounds_replace_each_other_and_stars_need_none(spark):
+    chain, star = [(i, i + 1) for i in range(40)], [(7, i) for i in range(8, 40)]
+    for name, edges in (("of_chain", chain), ("of_star", star)):
+        out = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long"), name).collect()}
+        assert set(out.values()) == {min(out)} and scratch_tables(spark)[name] == 1
+
+
+def test_links_of_a_block_are_stars():
+    text = " ".join(f"w{i}" for i in range(300))
+    nodes = pd.DataFrame({"node": [31, 4, 15, 9, 26], "text": [text + f" x{i}" for i in range(4)] + ["others are apart"]})
+    pairs = pd.DataFrame([(15, 31, 9), (9, 15, 8), (4, 9, 7), (9, 26, 1)], columns=["a", "b", "agree"])
+    links = dm.linked(nodes, pairs, 0.8)
+    assert sorted(zip(links["a"], links["b"])) == [(4, 9), (4, 15), (4, 31)]
+
+
+def test_stages_leave_only_what_their_result_reads(spark):
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in made(11)], SCHEMA)
+    for stage, left in ((dm.stage, {"verdicts", "gone"}), (substring_dedup.stage, {"spans"})):
+        before = scratch_tables(spark)
+        out = stage(spark, docs, "")
+        assert set(scratch_tables(spark) - before) == left and out.count() == len(out.collect()) > 0
+
+
+def test_decontamination_leaves_only_what_its_result_reads(spark, tmp_path):
+    spark.createDataFrame([(1, made(11)[0][1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in made(11)], SCHEMA)
+    before = scratch_tables(spark)
+    out = phrase_index.stage(spark, docs, str(tmp_path))
+    assert set(scratch_tables(spark) - before) == {"contaminated"} and 0 < out.count() < docs.count()
+
+
+def test_scratch_is_deleted_also_on_failure(spark):
+    rows = spark.range(3)
+    with scratch(spark) as keep:
+        with scratch(spark) as lasting:
+            staged(rows, "inner")
+            outer = lasting(rows, "outer")
+        assert scratch_tables(spark)["inner"] == 0 and outer.count() == 3
+        kept = keep(outer, "kept")
+    assert scratch_tables(spark)["outer"] == 0 and kept.count() == 3
+    with pytest.raises(ValueError), scratch(spark):
+        staged(rows, "failed")
+        raise ValueError
+    assert scratch_tables(spark)["failed"] == 0
